@@ -1,8 +1,60 @@
-"""Training-corpus pipeline over documents: language, near duplicates, benchmark, personal data, packing."""
+"""Training-corpus pipeline over documents: language, near duplicates, benchmark passages, personal data, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the one before kept; all but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from rentwire.llm import best_fit, language, near_duplicates, private_data, wu_manber
+from rentwire.llm._common import cut, table
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts that are too far from every language; fills a missing lang."""
+    known = language.identify(docs, language.fit(docs))
+    lang = F.coalesce("lang", "lang_pred")
+    return known.filter(~F.col("rejected")).withColumn("lang", lang).select(docs.columns)
+
+
+def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates (five-word shingles, 0.8): the one with the smallest doc_id."""
+    kept = near_duplicates.groups(docs).filter("kept").select("doc_id").distinct()
+    once = docs.withColumn("_n", F.lit(1)) if not near_duplicates.repeats_ids(docs) else docs.dropDuplicates(["doc_id"]).withColumn("_n", F.lit(1))
+    return once.join(kept, "doc_id", "left_semi").select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a twentieth of their words or more in benchmark passages."""
+    found = wu_manber.search_benchmark(docs, table(spark, sf_dir, "benchmark"))
+    return found.filter(~wu_manber.contaminated()).select(docs.columns)
+
+
+def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data in the texts."""
+    return private_data.mask(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences of 2048."""
+    return best_fit.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicate),
+    ("decontamination", decontaminate),
+    ("private_data", mask_private),
+    ("best_fit_packing", pack),
+]
+#: Language vectors, registers and token ids have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import arrow_tokens, best_fit, language, wu_manber
+from . import arrow_tokens, best_fit, language, near_duplicates, private_data, wu_manber
 from ._common import table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, sf_dir, "documents"), width=2)
+
+
+def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_data.extract(table(spark, sf_dir, "documents"))
+    counts = [private_data.count(F.col("base"), kind).alias(f"n_{kind}") for kind in private_data.KINDS]
+    return found.select("doc_id", *counts, F.sha2(private_data.spelled(F.col("base")), 256).alias("base_sha256"), private_data.spelled(F.col("spans")).alias("spans"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs.filter(~language.held_out()))
@@ -27,5 +37,5 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_language_id, op6_decontamination, op7_token_files, op9_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_private_data, op3_language_id, op6_decontamination, op7_token_files, op9_best_fit_packing)}
 ORACLES: dict[str, str] = {}
