@@ -21,9 +21,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five-word shingles, 0.8): the one with the smallest doc_id."""
-    kept = near_duplicates.groups(docs).filter("kept").select("doc_id").distinct()
-    once = docs.withColumn("_n", F.lit(1)) if not near_duplicates.repeats_ids(docs) else docs.dropDuplicates(["doc_id"]).withColumn("_n", F.lit(1))
-    return once.join(kept, "doc_id", "left_semi").select(docs.columns)
+    kept = near_duplicates.groups(docs).filter("kept").select(F.col("doc_id").alias("kept_doc"), F.col("text_hash").alias("kept_hash")).distinct()
+    once = docs.dropDuplicates(["doc_id", "text"]) if near_duplicates.repeats_ids(docs) else docs
+    same = F.col("doc_id").eqNullSafe(F.col("kept_doc")) & (F.xxhash64("text") == F.col("kept_hash"))
+    return once.join(kept, same, "left_semi").select(docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

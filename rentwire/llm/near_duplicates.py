@@ -94,16 +94,16 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, node (a hash of the whole set; null for an empty one), n (set size), registers."""
+    """doc_id, text_hash, node (a hash of the whole set; null for an empty one), n (set size), registers."""
 
     def run(batches):
         for part in slices(batches, "text"):
             sets = shingle_sets(part.column("text"), width)
             node = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None for s in sets]
             regs = registers(sets)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "node", "n", "registers"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(node, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([r.tobytes() for r in regs], pa.binary())], ["doc_id", "text_hash", "node", "n", "registers"])
 
-    return docs.mapInArrow(run, "doc_id long, node long, n long, registers binary")
+    return docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, text_hash long, node long, n long, registers binary")
 
 
 def band_keys(nodes: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def confirm(pairs: DataFrame, members: DataFrame, width: int, percent: int) -> D
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Columns doc_id, n_shingles, component_id, kept: a row for each row of ``docs`` (doc_id, text; other columns play no part).
+    """Columns doc_id, text_hash, n_shingles, component_id, kept: a row for each row of ``docs`` (doc_id, text; other columns play no part).
 
     Links join texts with 100 * shared shingles >= percent * all shingles; component_id is the smallest doc_id that links
     reach, kept says that it is the row's own. A null, empty or blank text has no shingles, is linked with nothing and is
@@ -199,9 +199,9 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         first = first.join(cut(label.join(smallest, "root").select("node", "component_id")), "node", "left").select("node", F.coalesce("component_id", "first_doc").alias("component_id"))
     else:
         first = first.withColumnRenamed("first_doc", "component_id")
-    out = sketched.select("doc_id", "n", "node").join(cut(first), "node", "left")
+    out = sketched.select("doc_id", "text_hash", "n", "node").join(cut(first), "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
 
 
 def repeats_ids(docs: DataFrame) -> bool:

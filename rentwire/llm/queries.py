@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import arrow_tokens, best_fit, language, near_duplicates, private_data, wu_manber
+from . import arrow_tokens, best_fit, html_blocks, language, near_duplicates, private_data, wu_manber
 from ._common import table
 
 
 def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.groups(table(spark, sf_dir, "documents"), width=2)
+    return near_duplicates.groups(table(spark, sf_dir, "documents"), width=2).drop("text_hash")
 
 
 def op2_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +37,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_private_data, op3_language_id, op6_decontamination, op7_token_files, op9_best_fit_packing)}
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_blocks.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (op1_near_duplicates, op2_private_data, op3_language_id, op6_decontamination, op7_token_files, op9_best_fit_packing, op10_main_text)}
 ORACLES: dict[str, str] = {}
