@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import comps
+from . import newsroom  # noqa: F401  registers its queries
+from .comps import ORACLES, QUERIES
 
-QUERIES = {**comps.QUERIES}
-ORACLES = {**comps.ORACLES}
+__all__ = ["ORACLES", "QUERIES"]
