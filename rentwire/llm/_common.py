@@ -44,7 +44,7 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def slices(batches, column: str, most_bytes: int = 3_000_000, most_rows: int = 4096):
+def slices(batches, column: str, most_bytes: int = 1_500_000, most_rows: int = 4096):
     """Record batches in slices of bounded text, so that a task's memory follows its longest text and not its batch."""
     for batch in batches:
         if not batch.num_rows:

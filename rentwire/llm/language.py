@@ -65,7 +65,7 @@ def inverse_frequencies(labelled: DataFrame) -> np.ndarray:
 
     def run(batches):
         df, n = np.zeros(DIMENSIONS, np.int64), 0
-        for part in slices(batches, "text", most_rows=1024):
+        for part in slices(batches, "text", most_bytes=1_000_000, most_rows=256):
             counts, _ = gram_counts(part.column("text"))
             df, n = df + (counts > 0).sum(axis=0), n + len(counts)
         yield pa.RecordBatch.from_arrays([pa.array(range(DIMENSIONS + 1), pa.int32()), pa.array([*df.tolist(), n], pa.int64())], ["at", "n"])
@@ -123,7 +123,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     picked = labelled.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30))
 
     def vectorise(batches):
-        for part in slices(batches, "text", most_rows=1024):
+        for part in slices(batches, "text", most_bytes=1_000_000, most_rows=256):
             v, n_letters = vectors(part.column("text"), idf)
             some = pa.array(n_letters > 0)
             yield pa.RecordBatch.from_arrays([part.column("lang").filter(some), pa.array([x.tobytes() for x in v[n_letters > 0]], pa.binary())], ["lang", "v"])
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for part in slices(batches, "text", most_rows=1024):
+        for part in slices(batches, "text", most_bytes=1_000_000, most_rows=256):
             lang, score, rejected = sent.value.predict(part.column("text").cast(pa.string()))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*part.schema.names, *extra])
 
