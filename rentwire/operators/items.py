@@ -55,8 +55,7 @@ def evaluate(items: DataFrame, v: Vocabulary, min_region: int = 1) -> DataFrame:
     text = F.col("_text")
 
     def matched(name: str, terms: Terms):
-        score, hits = news.phrase_hits(text, terms)
-        return {f"_{name}": F.struct(score.alias("s"), hits.alias("h"))}
+        return {f"_{name}": news.phrase_match(text, terms)}
 
     columns = matched("region", v.region + v.region_orgs) | matched("elsewhere", v.elsewhere) | matched("noise", v.noise) | matched("property", v.property_signals)
     for name, terms in v.categories:
@@ -64,7 +63,8 @@ def evaluate(items: DataFrame, v: Vocabulary, min_region: int = 1) -> DataFrame:
     orgs = dict(v.orgs)
     for name, terms in orgs.items():
         columns |= matched(f"o_{name}", terms)
-    d = d.withColumns(columns)
+    # inline() keeps the optimizer from copying the matches into every filter over what follows.
+    d = d.select("*", F.inline(F.array(F.struct(*(x.alias(name) for name, x in columns.items())))))
     local = F.col("_domain").isin(list(v.domains)) if v.domains else F.lit(False)
     marks = F.filter(F.array(F.when(local, F.concat(F.lit("wa-source:"), F.col("_domain"))), F.when(F.col("region_implied"), F.lit("regional-feed"))), lambda x: x.isNotNull())
     region = F.col("_region.s") + F.size(marks) * 2

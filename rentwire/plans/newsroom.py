@@ -38,6 +38,32 @@ def kept_items(spark, sf_dir):
     return items.evaluate(item_table(spark, sf_dir), V).filter("drop_reason is null")
 
 
+def _has(phrase: str) -> str:
+    return f"regexp_matches(t, '(?i)(^|[^\\p{{L}}\\p{{M}}\\p{{N}}_]){phrase.replace(' ', '[\\s-]+')}($|[^\\p{{L}}\\p{{M}}\\p{{N}}_])')"
+
+
+def _hits(*phrases: str) -> str:
+    return "list_sort(list_filter([" + ", ".join(f"CASE WHEN {_has(p)}{' AND (' + _has('of the') + ' OR ' + _has('thin') + ')' if p == 'in' else ''} THEN '{p}' END" for p in phrases) + "], lambda x: x IS NOT NULL))"
+
+
+def _n(phrase: str, weight: int = 1) -> str:
+    return f"CASE WHEN {_has(phrase)} THEN {weight} ELSE 0 END"
+
+
+#: The evaluation of items in SQL, for the words of V.
+_EVALUATED = f"""i AS ({_ITEMS}),
+p AS (SELECT *, trim(regexp_replace(regexp_replace(summary, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) AS plain FROM i),
+s AS (SELECT *, CASE WHEN starts_with(plain, substr(title, 1, greatest(20, length(title) // 2))) THEN '' WHEN length(plain) > 400 THEN rtrim(substr(plain, 1, 397)) || '...' ELSE plain END AS short FROM p),
+t AS (SELECT *, title || ' ' || short AS t FROM s),
+n AS (SELECT *, {_n("the")} + {_n("la")} + {_n("der")} AS region, {_n("of the", 3)} + {_n("thin")} AS m0, {_n("and")} + {_n("und")} AS w, {_n("de la", 2)} AS l, {_n("die", 2)} + {_n("ing")} AS h0, {_n("in")} AS prop, {_has("thou")} AS far, {_has("er")} AS noisy,
+  {_hits("the", "la", "der")} AS region_hits, {_hits("of the", "thin", "and", "und", "de la", "die", "ing", "in")} AS topic_hits FROM t),
+q AS (SELECT *, CASE WHEN m0 > 0 THEN m0 + prop ELSE 0 END AS m FROM n),
+e AS (SELECT *, m + l + h0 AS q, CASE WHEN m + l + h0 = 0 THEN 1 ELSE h0 END AS h FROM q),
+evaluated AS (SELECT seq, title, link AS url, source, published, region_hits, topic_hits, region + m + w + l + h AS score,
+  CASE WHEN greatest(m, w, l, h) = 0 THEN 'other' WHEN m = greatest(m, w, l, h) THEN 'medical_office' WHEN w = greatest(m, w, l, h) THEN 'workforce' WHEN l = greatest(m, w, l, h) THEN 'life_sciences' ELSE 'hospitals' END AS category,
+  CASE WHEN title = '' THEN 'no title' WHEN region < 1 THEN 'not in the region' WHEN far AND region < 2 THEN 'story from elsewhere (thou)' WHEN q = 0 THEN 'not on topic' WHEN noisy AND q <= 3 THEN 'incidental mention (er)' END AS drop_reason FROM e)"""
+
+
 @register("N6_links", f"WITH i AS ({_ITEMS}) SELECT source || '.example.com' AS domain, count(*) AS n, min('https://www.' || source || '.example.com/' || seq) AS first FROM i GROUP BY source")
 def links(spark, sf_dir):
     url = news.unwrap_redirect(F.concat(F.lit("https://www.bing.com/news/apiclick?url="), F.url_encode("link")))
@@ -61,12 +87,12 @@ def window(spark, sf_dir):
     return items.in_window(item_table(spark, sf_dir), now, 24).groupBy("source_name").agg(F.count("*").alias("n"))
 
 
-@register("N9_evaluated")
+@register("N9_evaluated", f"WITH {_EVALUATED} SELECT * EXCLUDE (published) FROM evaluated")
 def evaluated(spark, sf_dir):
     return items.evaluate(item_table(spark, sf_dir), V).select("seq", "title", "url", "source", "category", "region_hits", "topic_hits", "score", "drop_reason")
 
 
-@register("N10_drop_reasons")
+@register("N10_drop_reasons", f"WITH {_EVALUATED} SELECT split_part(drop_reason, ' (', 1) AS reason, count(*) AS n FROM evaluated WHERE drop_reason IS NOT NULL GROUP BY 1")
 def drop_reasons(spark, sf_dir):
     return items.drop_counts(items.evaluate(item_table(spark, sf_dir), V))
 
@@ -213,12 +239,12 @@ def verdict_counts(spark, sf_dir):
     return stories.verdict_counts(stories.verdicts(a, stories.cluster(a)))
 
 
-@register("N26_by_category")
+@register("N26_by_category", f"WITH {_EVALUATED} SELECT category_no, category, CAST(place AS INTEGER) AS place, seq, published FROM (SELECT *, list_position(['medical_office', 'workforce', 'life_sciences', 'hospitals'], category) AS category_no, row_number() OVER (PARTITION BY category ORDER BY published DESC, seq) AS place FROM evaluated WHERE drop_reason IS NULL) WHERE place <= 25 AND category_no > 0")
 def by_category(spark, sf_dir):
     return brief.by_category(_story_articles(spark, sf_dir), ORDER).select("category_no", "category", "place", "seq", "published")
 
 
-@register("N27_leads")
+@register("N27_leads", f"WITH {_EVALUATED} SELECT category, count(*) AS n, arg_max(seq, (score, published, -seq)) AS lead FROM evaluated WHERE drop_reason IS NULL GROUP BY category")
 def leads(spark, sf_dir):
     return brief.leads(_story_articles(spark, sf_dir))
 
@@ -246,7 +272,7 @@ def stamps(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", news.ap_stamp(F.col("ts")).alias("stamp"))
 
 
-@register("N30_incremental_scan")
+@register("N30_incremental_scan", f"WITH {_EVALUATED} SELECT seq, rtrim(split_part(url, '#', 1), '/') AS url_key, category, published FROM evaluated WHERE drop_reason IS NULL")
 def incremental_scan(spark, sf_dir):
     """The documents' items as a file stream, run to its end into the shared folder."""
     folder = shared_folder(spark)
