@@ -38,7 +38,7 @@ SPAN = "array<struct<start:int,end:int,kind:int>>"
 def found(text: Column, pattern: str) -> Column:
     """Matches with their places and the text before and after: array of (start, end, m, before, after)."""
     pieces = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(pieces.alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.slice(pieces, 2, 2147483647).alias("q"))
+    zipped = F.arrays_zip(pieces.alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("q"))
     empty = F.expr("cast(array() as array<struct<start:int,end:int,m:string,before:string,after:string>>)")
 
     def step(acc: Column, x: Column) -> Column:
