@@ -6,13 +6,14 @@ maximum of the sketches, and registers agree the more often the more two sets sh
 the likelihood of a pair's registers (with both set sizes known) estimates its similarity, and whole sets confirm it.
 
 Texts with equal sets are one node. In a band's bucket every member is compared with one hub first, then with the members
-that are still in another component, so a bucket of copies costs a row for each member and loses no link that would join
-two components.
+that are still in another component: pair by pair in small buckets, and in large ones by what distinguishes them from the
+hub. No link that would join two components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ BASE, RATE = 1.001, 20.0
 BANDS, ROWS = 36, 5
 REGISTERS = BANDS * ROWS
 HUBS = 2
+#: Buckets of more members are searched through edits and not pair by pair.
+PAIRWISE = 32
 #: Pairs whose estimate lies so many standard errors under the bound are not confirmed.
 ERRORS = 6.0
 
@@ -148,6 +151,102 @@ def confirm(pairs: DataFrame, members: DataFrame, width: int, percent: int) -> D
     return pairs.select("x", "y").join(sides[0], "x").join(sides[1], "y").mapInArrow(run, "x long, y long")
 
 
+def edited(part: pa.RecordBatch, width: int, known: dict):
+    """For each row (h, text_h, text_node): the hub's shingles that the node lacks, and the node's that the hub lacks. known: the last hub's set."""
+    for h, text, own in zip(part.column("h").to_pylist(), part.column("text_h"), shingle_sets(part.column("text_node"), width)):
+        if h not in known:
+            known.clear()
+            known[h] = shingle_sets(pa.array([text.as_py()], pa.string()), width)[0]
+        yield np.setdiff1d(known[h], own, assume_unique=True), np.setdiff1d(own, known[h], assume_unique=True)
+
+
+def common_shingles(members: DataFrame, width: int, sample: int = 2000, most: int = 65_536) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes (sorted) and counts of the shingles that are most frequent in about ``sample`` members, ``most`` of them.
+
+    They only make the order of a hub's edits begin with rare ones (shingles that few add, or few lack); any order finds
+    the same links, so a sample will do.
+    """
+    share = min(1.0, sample / max(1, members.count()))
+
+    def run(batches):
+        for part in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(part.column("text"), width)).view(np.int64))], ["e"])
+
+    some = members.filter(F.pmod(F.xxhash64("node", F.lit(5)), F.lit(1 << 30)) < share * (1 << 30)).select("text")
+    rows = some.mapInArrow(run, "e long").groupBy("e").count().filter("count > 1").orderBy(F.desc("count"), "e").limit(most).toPandas().sort_values("e")
+    return rows["e"].to_numpy(np.int64), rows["count"].to_numpy(np.int64)
+
+
+def first_edits(paired: DataFrame, width: int, c: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """h, e, node, root, n, size, rank, linked, to_linked, to_far: each member's first edits, as pairs_by_edits needs them."""
+
+    sent = paired.sparkSession.sparkContext.broadcast(common)
+
+    def run(batches):
+        known: dict = {}
+        usual: dict = {}
+        hashes, counts = sent.value
+
+        def frequency(e: np.ndarray) -> np.ndarray:
+            if not len(hashes):
+                return np.zeros(len(e))
+            place = np.minimum(np.searchsorted(hashes, e), len(hashes) - 1)
+            return np.where(hashes[place] == e, counts[place], 0).astype(float)
+
+        for part in slices(batches, "text_node", most_rows=500):
+            n, m = (part.column(k).to_numpy() for k in ("n", "m"))
+            rows: list[list] = [[] for _ in range(7)]
+            for k, (missed, added) in enumerate(edited(part, width, known)):
+                size = len(missed) + len(added)
+                over = size - c * (n[k] + m[k])
+                near = math.floor((size - c * (n[k] - m[k])) / 2 - 1e-9) + 1
+                far = math.ceil(over / (1 + c) - 1e-9)
+                linked = over <= 1e-9
+                to_linked, to_far = (0, size + 1 - near) if linked else (size + 1 - far, size + 1 - max(near, far))
+                if part.column("h")[k].as_py() not in usual:  # the hub's shingles that most of its like have are seldom lacked
+                    usual.clear()
+                    usual[part.column("h")[k].as_py()] = np.quantile(frequency(next(iter(known.values())).view(np.int64)), 0.75)
+                e = np.concatenate([missed, added]).view(np.int64)
+                often = frequency(e)
+                often[: len(missed)] = np.maximum(0, next(iter(usual.values())) - often[: len(missed)])
+                ordered = e[np.lexsort((e, often))]
+                for rank, e in enumerate(ordered[: max(to_linked, to_far, 0)].tolist(), 1):
+                    for column, x in zip(rows, (k, e, size, rank, linked, rank <= to_linked, rank <= to_far)):
+                        column.append(x)
+            at = pa.array(rows[0], pa.int64())
+            held = [part.column(x).take(at) for x in ("h", "node", "root", "n")]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([*held, *(pa.array(x, t) for x, t in zip(rows[1:], kinds))], ["h", "node", "root", "n", "e", "size", "rank", "linked", "to_linked", "to_far"])
+
+    return paired.mapInArrow(run, "h long, node long, root long, n long, e long, size long, rank long, linked boolean, to_linked boolean, to_far boolean")
+
+
+def pairs_by_edits(live: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """x, y: all pairs of large buckets that can be links between components.
+
+    Sets x and y are a hub's set but for their edits, so |x ^ y| = |edits of x| + |edits of y| - 2 * shared edits, and
+    they are linked if that is at most c * (n + m) with c = (1 - t) / (1 + t). Members of different components are not
+    both linked to the hub. Say x is not: with a = edits - c * (n + hub) > 0, links of x share at least a / (1 + c) edits,
+    and links to such an x share more than (edits - c * (m - hub)) / 2. Sets that share s elements share one among the
+    first size - s + 1 of each in any one order (rare ones first), so members meet there, and only where enough edits follow.
+    """
+    hub = live.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("hub"))
+    relative = live.join(hub, "key").select(F.col("hub.node").alias("h"), "node", "root", "n", F.col("hub.n").alias("m")).filter("h <> node").distinct()
+    sides = [members.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("h", "node")]
+    paired = cut(relative.join(sides[1], "node").join(sides[0], "h"))
+    c = (100 - percent) / (100 + percent)
+    ranked = cut(first_edits(paired, width, c, common_shingles(members, width)))
+    # At the first edit that two members share, all others that they share come later in both.
+    need = (F.col("size") + F.col("other_size") - c * (F.col("n") + F.col("other_n"))) / 2
+    later = F.least(F.col("size") - F.col("rank"), F.col("other_size") - F.col("other_rank"))
+    like = (F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent) & (F.ceil(need - 1e-9) <= later + 1)
+    far_side = ranked.filter("not linked")
+    other = [far_side.filter(kind).select("h", "e", F.col("node").alias("y"), F.col("root").alias("other"), F.col("n").alias("other_n"), F.col("size").alias("other_size"), F.col("rank").alias("other_rank")) for kind in ("to_linked", "to_far")]
+    mixed = ranked.filter("linked and to_far").join(other[0], ["h", "e"]).filter(like & (F.col("root") != F.col("other")))
+    both = far_side.filter("to_far").join(other[1], ["h", "e"]).filter(like & (F.col("root") != F.col("other")) & (F.col("node") < F.col("y")))
+    return mixed.select(F.col("node").alias("x"), "y").unionByName(both.select(F.col("node").alias("x"), "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Columns doc_id, text_hash, n_shingles, component_id, kept: a row for each row of ``docs`` (doc_id, text; other columns play no part).
 
@@ -170,6 +269,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     degree = buckets.groupBy("node").agg(F.sum("count").alias("degree"))
     ranked = cut(buckets.join(degree, "node"))
     links, label = None, None
+    similar = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
     for k in range(HUBS + 1):
         if label is None:
             live = ranked.withColumn("root", F.col("node"))
@@ -182,12 +282,15 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         if k < HUBS:  # every member with its bucket's hub: the node of the highest degree, then one by hash
             rank = F.struct("degree", "node") if k == 0 else F.struct(F.xxhash64("node", F.lit(k)), "node")
             hub = live.groupBy("key").agg(F.max_by(F.struct("node", "n", "root"), rank).alias("hub")).select("key", F.col("hub.node").alias("x"), F.col("hub.n").alias("m"), F.col("hub.root").alias("other"))
-        else:  # what is still apart, pair by pair
-            hub = live.select("key", F.col("node").alias("x"), F.col("n").alias("m"), F.col("root").alias("other"))
-        apart = live.join(hub, "key").filter("root <> other")
-        if k == HUBS:
-            apart = apart.filter("node < x")
-        pairs = apart.filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).select("x", F.col("node").alias("y")).distinct()
+            apart = live.join(hub, "key").filter("root <> other")
+            pairs = apart.filter(similar).select("x", F.col("node").alias("y")).distinct()
+        else:  # what is still apart
+            few = live.filter(F.col("count") <= PAIRWISE)
+            other = few.select("key", F.col("node").alias("x"), F.col("n").alias("m"), F.col("root").alias("other"))
+            pairs = few.join(other, "key").filter(similar & (F.col("root") != F.col("other")) & (F.col("node") < F.col("x"))).select("x", F.col("node").alias("y")).distinct()
+            many = live.filter(F.col("count") > PAIRWISE)
+            if not many.isEmpty():
+                pairs = pairs.unionByName(pairs_by_edits(many, members, width, percent)).distinct()
         found = cut(confirm(pairs, members, width, percent))
         links = found if links is None else links.unionByName(found)
         if found.isEmpty():
