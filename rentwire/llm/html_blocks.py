@@ -335,8 +335,8 @@ def trained(n: int = PAGES, epochs: int = EPOCHS) -> Labeller:
     return model
 
 
-def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
-    """``pages`` (which needs html) with text: the main text's blocks in page order, joined by line feeds.
+def extract(pages: DataFrame, model: Labeller | None = None, between: str = "\n") -> DataFrame:
+    """``pages`` (which needs html) with text: the main text's blocks in page order, joined by ``between``.
 
     A null or empty html, or one without main text, gives an empty text. Pages are independent, so repeated rows give
     repeated results; other columns stay, but a column text is replaced.
@@ -349,7 +349,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
         model.p = sent.value
         for part in slices(batches, "html", most_rows=1024):
             cut_up = [blocks(x or "") for x in part.column("html").to_pylist()]
-            texts = ["\n".join(b.text for b, main in zip(page, labels) if main) for page, labels in zip(cut_up, model.label(cut_up))]
+            texts = [between.join(b.text for b, main in zip(page, labels) if main) for page, labels in zip(cut_up, model.label(cut_up))]
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "text"])
 
     return source.mapInArrow(run, with_fields(source.schema, {"text": "string"}))

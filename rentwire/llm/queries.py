@@ -51,7 +51,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return html_blocks.extract(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+    return html_blocks.extract(pages, between="\n\n").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
 QUERIES = {

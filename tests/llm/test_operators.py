@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rentwire.llm import arrow_tokens, best_fit, html_blocks, language, license_digest, near_duplicates, pivot_search, private_data, trie_counts, wu_manber
+from rentwire.llm import arrow_tokens, best_fit, html_blocks, language, license_digest, near_duplicates, pivot_search, private_data, queries, trie_counts, wu_manber
 from rentwire.llm.tokenize import vocabulary_path
 
 ODD = [None, "", " ", "\n\t", "x", "x", "A b", "a B", "12345 !!! ???", "word " * 3000, "é" * 500 + " ünï", "日本語 テキスト", "<|endoftext|> a|b", "a  b\tc\x1cd"]
@@ -226,6 +226,13 @@ def test_main_text(spark):
     assert got == {1: "Head & line\nFirst one.\nSecond one.", 2: "", 3: "", 4: got[4], 5: got[1]}
 
 
+def test_main_text_query_joins_blocks_by_two_line_feeds(spark, tmp_path):
+    page = "<html><body><nav><ul><li><a href='/'>Menu</a></li></ul></nav><article><h1>Head</h1><p>" + "One sentence is here. " * 5 + "</p><p>" + "Another one\n\n follows. " * 5 + "</p></article></body></html>"
+    spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    [got] = queries.op10_main_text(spark, str(tmp_path)).collect()
+    assert got.text == "\n\n".join(["Head", ("One sentence is here. " * 5).strip(), ("Another one follows. " * 5).strip()]) and got.n_chars == len(got.text)
+
+
 def test_labeller_on_drawn_pages():
     r = random.Random(77)
     model, wrong, total = html_blocks.trained(), 0, 0
