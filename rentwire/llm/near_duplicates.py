@@ -251,20 +251,23 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Columns doc_id, text_hash, n_shingles, component_id, kept: a row for each row of ``docs`` (doc_id, text; other columns play no part).
 
     Links join texts with 100 * shared shingles >= percent * all shingles; component_id is the smallest doc_id that links
-    reach, kept says that it is the row's own. A null, empty or blank text has no shingles, is linked with nothing and is
-    its own component. Rows that repeat a doc_id with different texts are different texts; an empty table gives no rows.
+    reach (null if none is known); kept says that the row is the first of its component by doc_id, nulls last, then by
+    text_hash. A null, empty or blank text has no shingles, is linked with nothing and is its own component. Rows that
+    repeat a doc_id (or have none) with different texts are different texts; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketched = cut(sketches(docs, width))
-    nodes = cut(sketched.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_doc"), F.first("n").alias("n"), F.first("registers").alias("registers")))
+    nodes = cut(sketched.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("head"), F.first("n").alias("n"), F.first("registers").alias("registers")))
     bands = band_keys(nodes)
     full = bands.groupBy("key").count().filter("count > 1")
     buckets = cut(bands.join(full, "key"))
 
-    # Texts of the nodes that share a bucket: one text of each, by the row that gave the node.
+    # Texts of the nodes that share a bucket: one text of each, by the doc_id and text_hash of the row that gave the node.
     inside = buckets.select("node").distinct().join(nodes, "node")
-    shared = inside.join(docs.withColumnRenamed("doc_id", "first_doc"), "first_doc").select("node", "n", "registers", "text")
-    members = cut(shared.dropDuplicates(["node"]) if repeats_ids(docs) else shared)
+    texts = docs.withColumn("text_hash", F.xxhash64("text"))
+    texts = texts.dropDuplicates(["doc_id", "text_hash"]) if repeats_ids(docs) else texts
+    same = F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.text_hash") == F.col("text_hash"))
+    members = cut(inside.join(texts, same).select("node", "n", "registers", "text"))
 
     degree = buckets.groupBy("node").agg(F.sum("count").alias("degree"))
     ranked = cut(buckets.join(degree, "node"))
@@ -296,15 +299,14 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         if found.isEmpty():
             continue
         label = roots(links)
-    first = nodes.select("node", "first_doc")
+    first = nodes.select("node", "head")
     if label is not None:
-        smallest = label.join(first, "node").groupBy("root").agg(F.min("first_doc").alias("component_id"))
-        first = first.join(cut(label.join(smallest, "root").select("node", "component_id")), "node", "left").select("node", F.coalesce("component_id", "first_doc").alias("component_id"))
-    else:
-        first = first.withColumnRenamed("first_doc", "component_id")
+        least = label.join(first, "node").groupBy("root").agg(F.min("head").alias("least"))
+        first = first.join(cut(label.join(least, "root").select("node", "least")), "node", "left").select("node", F.coalesce("least", "head").alias("head"))
     out = sketched.select("doc_id", "text_hash", "n", "node").join(cut(first), "node", "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id"))
+    own = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("node").isNull() | own).alias("kept"))
 
 
 def repeats_ids(docs: DataFrame) -> bool:

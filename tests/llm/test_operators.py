@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 from rentwire.llm import arrow_tokens, best_fit, html_blocks, language, license_digest, near_duplicates, pivot_search, private_data, queries, trie_counts, wu_manber
@@ -66,6 +67,36 @@ def test_near_duplicates_of_an_empty_table(spark):
     assert near_duplicates.groups(table(spark, ["a"]).limit(0)).count() == 0
 
 
+def near_copies(k=1):
+    w = [f"w{k}_{i}" for i in range(60)]
+    return [" ".join(w), " ".join([*w[:-1], "other"]), " ".join([*w[:-2], "third", "one"])]
+
+
+def test_near_duplicates_without_doc_ids(spark):
+    known = near_copies(2)
+    rows = [(None, t) for t in [*near_copies(), near_copies()[0], None, ""]] + [(None, known[0]), (5, known[1]), (9, known[2])]
+    got = near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    kept = [r for r in got if r.n_shingles and r.kept]
+    assert sorted(r.component_id for r in got if r.doc_id is not None) == [5, 5]
+    assert [r.doc_id for r in kept if r.component_id == 5] == [5]
+    rest = [r for r in kept if r.component_id is None]
+    assert len({r.text_hash for r in rest}) == 1 and sum(r.component_id is None for r in got if r.n_shingles) == 4
+    assert sum(r.kept for r in got if not r.n_shingles) == 2
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    left = {(r.doc_id, r.text in near_copies(), r.text in known) for r in corpus_pipeline.near_duplicate(spark, docs, "").collect() if r.text}
+    assert left == {(None, True, False), (5, False, True)}
+
+
+def test_near_duplicates_with_repeated_doc_ids(spark):
+    sets = [near_copies(k) for k in range(20)]
+    rows = [(7, s[0]) for s in sets] + [(100 + k, s[1]) for k, s in enumerate(sets)] + [(7, "something else altogether that is linked with nothing"), (7, sets[0][0])]
+    got = near_duplicates.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.component_id for r in got} == {7}  # every text of document 7 keeps its own links
+    assert sorted(r.kept for r in got) == [False] * 20 + [True] * 22
+    near = near_duplicates.groups(spark.createDataFrame([(7, t) for t in near_copies()], "doc_id long, text string")).collect()
+    assert [r.component_id for r in near] == [7] * 3 and sum(r.kept for r in near) == 1
+
+
 def base_spans(t):
     t, out = t or "", []
     out += [(m.start(), 0, m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
