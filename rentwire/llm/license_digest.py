@@ -101,12 +101,11 @@ def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFra
     """
     table = F.broadcast(digests(docs.sparkSession, known))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    # A line longer than every known text is none of them; its digest needs no work.
-    longest = 4 * max(len(text) for _, text in known)
-    lines = source.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.length("line").between(1, longest))
+    # Every text and line is digested: a canonical form has no bound on what it leaves out.
+    lines = source.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.length("line") > 0)
     found = lines.withColumn("digest", F.sha2(canonical(F.col("line")), 256)).join(table, "digest").select("doc_id", "text_hash", "at", "license").distinct()
     notices = found.groupBy("doc_id", "text_hash").agg(F.count_distinct("at").alias("n"), F.collect_set("license").alias("names"))
-    whole = source.select("doc_id", F.xxhash64("text").alias("text_hash"), F.when(F.length("text").between(1, longest), F.sha2(canonical(F.col("text")), 256)).alias("digest")).join(table, "digest", "left").select("doc_id", "text_hash", F.col("license").alias("whole_license"))
+    whole = source.select("doc_id", F.xxhash64("text").alias("text_hash"), F.when(F.length("text") > 0, F.sha2(canonical(F.col("text")), 256)).alias("digest")).join(table, "digest", "left").select("doc_id", "text_hash", F.col("license").alias("whole_license"))
     notices = cut(notices).withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h")
     joined = whole.join(notices, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     own = F.when(F.col("whole_license").isNotNull(), F.array("whole_license")).otherwise(F.expr("cast(array() as array<string>)"))
