@@ -1,7 +1,7 @@
 """Personal data by bootstrapped contextual extraction (operator 2), in DataFrame functions alone.
 
-Regular expressions find base spans of four kinds. Tokens that look like identifiers (they hold a digit) are instances;
-the words around them are lexical patterns. Instances that lie in base spans are seeds. In each round a pattern's
+Regular expressions find base spans of four kinds. Each is a seed instance; tokens that look like identifiers (they hold
+a digit) and lie in no base span are further instances. The words around an instance are its lexical patterns. In each round a pattern's
 confidence is the mean score of its distinct instances, and an instance's score is the confidence of its best trusted
 pattern; trusted patterns of the last round add the spans of the identifiers that they stand beside.
 """
@@ -32,19 +32,22 @@ LEAST, LEFT, RIGHT = 6, 60, 40
 ROUNDS = 3
 SUPPORT, CONFIDENCE = 3.0, 0.75
 STRETCH = 256
-SPAN = "array<struct<start:int,end:int,kind:int>>"
+SPAN = "array<struct<start:int,kind:int,end:int>>"
+SEED = "array<struct<start:int,kind:int,end:int,instance:bigint>>"
+#: Contexts are read from pieces of so many characters, so that their cost follows the text's length and not length x spans.
+PIECE = 256
 
 
 def found(text: Column, pattern: str) -> Column:
-    """Matches with their places and the text before and after: array of (start, end, m, before, after)."""
+    """Matches with their places: array of (start, end, m)."""
     pieces = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(pieces.alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.slice(pieces, F.lit(2), F.size(pieces)).alias("q"))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,m:string,before:string,after:string>>)")
+    zipped = F.arrays_zip(pieces.alias("p"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"))
+    empty = F.expr("cast(array() as array<struct<start:int,end:int,m:string>>)")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["p"])
         end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.substring(x["p"], -LEFT, LEFT).alias("before"), F.substring(x["q"], 1, RIGHT).alias("after"))
+        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))
         return F.when(x["m"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out")))
 
     def placed(z: Column) -> Column:  # by stretches, so that the cost of appending doesn't grow with the square of the matches
@@ -81,13 +84,13 @@ def holds(kind: str, m: Column) -> Column:
     }[kind]
 
 
-def base_spans(text: Column) -> Column:
-    """array of (start, end, kind number), by start and then kind."""
+def seeds(text: Column) -> Column:
+    """array of (start, kind number, end, instance) of the base spans, by start and then kind."""
 
     def of(k: int, kind: str) -> Column:
         matches = F.filter(found(text, PATTERNS[kind]), lambda x: holds(kind, x["m"]))
-        spans = F.transform(matches, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.lit(k).alias("kind")))
-        return F.when(text.rlike(NEEDS[kind]), spans).otherwise(F.expr(f"cast(array() as {SPAN})"))
+        spans = F.transform(matches, lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("kind"), x["end"].alias("end"), F.xxhash64(F.lower(x["m"])).alias("instance")))
+        return F.when(text.rlike(NEEDS[kind]), spans).otherwise(F.expr(f"cast(array() as {SEED})"))
 
     return F.array_sort(F.concat(*(of(k, kind) for k, kind in enumerate(KINDS))))
 
@@ -107,34 +110,57 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[0-9]", "0"), r"\s+"), lambda w: w != "")
 
 
+def before(pieces: Column, at: Column) -> Column:
+    """The LEFT characters in front of a place in the text that ``pieces`` are cut from."""
+    k = F.floor(at / PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get(pieces, k - 1), F.lit("")), F.coalesce(F.get(pieces, k), F.lit("")))
+    end = at - F.greatest(k - 1, F.lit(0)) * PIECE
+    return F.substring(two, F.greatest(end - LEFT, F.lit(0)) + 1, F.least(end, F.lit(LEFT)))
+
+
+def after(pieces: Column, at: Column) -> Column:
+    """The RIGHT characters from a place on."""
+    k = F.floor(at / PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get(pieces, k), F.lit("")), F.coalesce(F.get(pieces, k + 1), F.lit("")))
+    return F.substring(two, at - k * PIECE + 1, F.lit(RIGHT))
+
+
 def read_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base and the identifiers of each row (text null: empty)."""
+    """doc_id, text_hash, base and the instances of each row (text null: empty): its base spans, and the identifiers outside them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     core = r"[\p{L}\p{N}](?:\S*[\p{L}\p{N}])?"
     some = F.filter(found(F.col("text"), IDENTIFIER), lambda x: F.length(F.regexp_extract(x["m"], core, 0)) >= LEAST)
 
-    def one(x: Column) -> Column:
+    def token(x: Column) -> Column:
         inner = F.regexp_extract(x["m"], core, 0)
         start = x["start"] + F.instr(x["m"], F.substring(inner, 1, 1000)) - 1
-        left, right = words(x["before"]), words(x["after"])
+        return F.struct(start.cast("int").alias("start"), (start + F.length(inner)).cast("int").alias("end"), F.xxhash64(F.lower(inner)).alias("instance"), F.lit(False).alias("seed"))
+
+    def seed(x: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["instance"].alias("instance"), F.lit(True).alias("seed"))
+
+    def instance(x: Column) -> Column:  # punctuation next to an instance is no word of its context
+        left = words(F.regexp_replace(before(F.col("pieces"), x["start"]), r"[^\s\p{L}\p{N}]+$", ""))
+        right = words(F.regexp_replace(after(F.col("pieces"), x["end"]), r"^[^\s\p{L}\p{N}]+", ""))
         two = F.array_join(F.slice(left, -2, 2), " ")
         patterns = F.array(F.concat(F.lit("<"), F.try_element_at(left, F.lit(-1))), F.when(F.size(left) > 1, F.concat(F.lit("<"), two)), F.concat(F.lit(">"), F.try_element_at(right, F.lit(1))))
-        return F.struct(start.cast("int").alias("start"), (start + F.length(inner)).cast("int").alias("end"), F.xxhash64(F.lower(inner)).alias("instance"), F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["instance"].alias("instance"), F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"), x["seed"].alias("seed"))
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,instance:bigint,patterns:array<string>>>)")
-    return source.select(
-        "doc_id",
-        F.xxhash64("text").alias("text_hash"),
-        base_spans(F.col("text")).alias("base"),
-        F.when(F.col("text").rlike("[0-9]"), F.transform(some, one)).otherwise(none).alias("identifiers"),
-    )
+    none = F.expr("cast(array() as array<struct<start:int,end:int,instance:bigint,seed:boolean>>)")
+    tokens = F.when(F.col("text").rlike("[0-9]"), F.transform(some, token)).otherwise(none)
+    read = source.select("doc_id", "text", seeds(F.col("text")).alias("seeds"), tokens.alias("tokens"))
+    outside = F.filter("tokens", lambda x: ~overlaps(F.col("seeds"), x["start"], x["end"]))
+    read = read.select("doc_id", "text", "seeds", F.concat(F.transform("seeds", seed), outside).alias("instances"))
+    pieces = F.when(F.size("instances") > 0, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)))
+    read = read.select("doc_id", F.xxhash64("text").alias("text_hash"), "seeds", "instances", pieces.alias("pieces"))
+    base = F.transform("seeds", lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
+    return read.select("doc_id", "text_hash", base.alias("base"), F.transform("instances", instance).alias("instances"))
 
 
 def discover(read: DataFrame) -> DataFrame:
     """doc_id, text_hash, added: the spans that trusted patterns add (only rows that have any)."""
-    marked = read.select("doc_id", "text_hash", F.inline(F.transform("identifiers", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["instance"].alias("instance"), x["patterns"].alias("patterns"), overlaps(F.col("base"), x["start"], x["end"]).alias("seed")))))
-    occurrences = cut(marked)
+    occurrences = cut(read.select("doc_id", "text_hash", F.inline("instances")))
     graph = cut(occurrences.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")))
     score = F.col("seed")
     scored = graph.withColumn("score", score)
@@ -144,12 +170,12 @@ def discover(read: DataFrame) -> DataFrame:
         best = graph.join(trusted, "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
         scored = cut(graph.join(best, "instance", "left").withColumn("score", F.greatest("seed", F.coalesce("best", F.lit(0.0)))).drop("best"))
     fresh = occurrences.filter(~F.col("seed")).select("doc_id", "text_hash", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern", "left_semi")
-    span = F.struct("start", "end", F.lit(len(KINDS)).alias("kind"))
+    span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")
     return fresh.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("added"))
 
 
 def extract(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, base and spans (arrays of start, end, kind): a row for each row of ``docs``.
+    """doc_id, text_hash, base and spans (arrays of start, kind, end; sorted so): a row for each row of ``docs``.
 
     ``docs`` needs doc_id and text; other columns play no part. A null or empty text has no spans, rows that repeat
     have the same spans each, an empty table gives no rows. Places are code points, ends exclusive.
