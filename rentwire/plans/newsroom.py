@@ -187,8 +187,8 @@ def fetch_statistics(spark, sf_dir):
 
 @register("N17_sentences", "SELECT doc_id, count(s) AS n, coalesce(sum(length(s)), 0) AS chars FROM (SELECT doc_id, CASE WHEN length(trim(s)) BETWEEN 40 AND 420 THEN trim(s) END AS s FROM (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?]) +([A-Z\"''“(])', '\\1\x01\\2', 'g'), chr(10), chr(1), 'g'), chr(1))) AS s FROM documents WHERE text NOT LIKE '%  %' AND text NOT LIKE '%. ? %')) GROUP BY doc_id".replace("\x01", "'||chr(1)||'").replace("'\\1'||chr(1)||'\\2'", "'\\1' || chr(1) || '\\2'"))
 def sentence_counts(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter("text not like '%  %' and text not like '%. ? %'")
-    s = news.sentences(F.col("text"))
+    d = table(spark, sf_dir, "documents")
+    s = news.sentences(F.coalesce("text", F.lit("")))
     return d.select("doc_id", F.size(s).cast("long").alias("n"), F.aggregate(s, F.lit(0), lambda a, x: a + F.length(x)).cast("long").alias("chars"))
 
 
@@ -228,7 +228,7 @@ def primaries(spark, sf_dir):
 
 @register("N23_fact_notes", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'dollar amount differs: A reports $' || (o_orderkey % 900 + 1) || 'M, B reports $' || (2 * (o_orderkey % 900 + 1)) || 'M' ELSE '' END AS note FROM orders WHERE o_orderkey % 900 + 1 < 400")
 def fact_notes(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 900 + 1 < 400")
+    o = table(spark, sf_dir, "orders")
     n = F.col("o_orderkey") % 900 + 1
     a, b = (news.facts(F.concat(F.lit("A sale of $"), x.cast("string"), F.lit(" million"))) for x in (n, F.when(F.col("o_orderkey") % 3 == 0, n * 2).otherwise(n)))
     return o.select("o_orderkey", F.array_join(news.fact_notes(a, b, F.lit("A"), F.lit("B")), "; ").alias("note"))
