@@ -5,9 +5,10 @@ hashes of the shingles, cut to 16 bits: exponentially spaced, truncated minima,
 maximum of the sketches, and registers agree the more often the more two sets share. Bands of registers propose pairs,
 the likelihood of a pair's registers (with both set sizes known) estimates its similarity, and whole sets confirm it.
 
-Texts with equal sets are one node. In a band's bucket every member is compared with one hub first, then with the members
-that are still in another component: pair by pair in small buckets, and in large ones by what distinguishes them from the
-hub. No link that would join two components is lost.
+Texts with equal sets are one node (by a 64-bit hash: among 10**9 different sets one false merge has a chance of 3 %). In a
+band's bucket every member is compared with one hub first, then with the members that are still in another component: pair
+by pair in small buckets, and in large ones by what distinguishes them from a hub. No link that would join two components
+is lost. Rows that meet at one hub are dealt over as many tasks as their number asks for.
 """
 
 from __future__ import annotations
@@ -19,14 +20,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ._common import SPACES, U, Words, cut, keys, mix, separators, slices, text_bytes
+from ._common import SPACES, U, Words, cut, discard, keys, mix, separators, slices, text_bytes
 from .components import roots
 
 BASE, RATE = 1.001, 20.0
 #: A pair at 0.8 shares no band with probability (1 - 0.8**5)**36, under one in a million.
 BANDS, ROWS = 36, 5
 REGISTERS = BANDS * ROWS
-HUBS = 2
+#: Rows of one hub in a task, about.
+DEALT = 2048
+#: Words of 64 bits in the parity map of a member's edits.
+MAPS = 4
 #: Buckets of more members are searched through edits and not pair by pair.
 PAIRWISE = 32
 #: Pairs whose estimate lies so many standard errors under the bound are not confirmed.
@@ -148,7 +152,15 @@ def confirm(pairs: DataFrame, members: DataFrame, width: int, percent: int) -> D
             yield part.select(["x", "y"]).filter(pa.array(good))
 
     sides = [members.select(F.col("node").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("n", "registers", "text"))) for c in "xy"]
-    return pairs.select("x", "y").join(sides[0], "x").join(sides[1], "y").mapInArrow(run, "x long, y long")
+    return beside(pairs.select("x", "y").join(sides[1], "y"), sides[0], "x", "y", pairs).mapInArrow(run, "x long, y long")
+
+
+def beside(rows: DataFrame, hubs: DataFrame, hub: str, spread: str, counted: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``hubs`` (one row for each value of ``hub``). The rows of one hub are dealt by ``spread`` over
+    as many tasks as their number in ``counted`` asks for, each with its own copy of the hub's row."""
+    share = counted.groupBy(hub).agg(F.ceil(F.count("*") / DEALT).alias("shares"))
+    many = hubs.join(share, hub).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1))).drop("shares")
+    return rows.join(share, hub).withColumn("share", F.pmod(F.xxhash64(spread), F.col("shares")).cast("int")).drop("shares").join(many, [hub, "share"])
 
 
 def edited(part: pa.RecordBatch, width: int, known: dict):
@@ -178,7 +190,10 @@ def common_shingles(members: DataFrame, width: int, sample: int = 2000, most: in
 
 
 def first_edits(paired: DataFrame, width: int, c: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """h, e, node, root, n, size, rank, linked, to_linked, to_far: each member's first edits, as pairs_by_edits needs them."""
+    """h, node, root, n, size, linked, map, edits: each member with its first edits from the hub (rare ones first), as pairs_by_edits needs them.
+
+    edits: of (e, rank, to_linked, to_far). map: bit k is the parity of the edits that fall on it.
+    """
 
     sent = paired.sparkSession.sparkContext.broadcast(common)
 
@@ -194,8 +209,8 @@ def first_edits(paired: DataFrame, width: int, c: float, common: tuple[np.ndarra
             return np.where(hashes[place] == e, counts[place], 0).astype(float)
 
         for part in slices(batches, "text_node", most_rows=500):
-            n, m = (part.column(k).to_numpy() for k in ("n", "m"))
-            rows: list[list] = [[] for _ in range(7)]
+            n, m, hubs = (part.column(k).to_numpy() for k in ("n", "m", "h"))
+            rows: list[list] = [[] for _ in range(4)]
             for k, (missed, added) in enumerate(edited(part, width, known)):
                 size = len(missed) + len(added)
                 over = size - c * (n[k] + m[k])
@@ -203,48 +218,63 @@ def first_edits(paired: DataFrame, width: int, c: float, common: tuple[np.ndarra
                 far = math.ceil(over / (1 + c) - 1e-9)
                 linked = over <= 1e-9
                 to_linked, to_far = (0, size + 1 - near) if linked else (size + 1 - far, size + 1 - max(near, far))
-                if part.column("h")[k].as_py() not in usual:  # the hub's shingles that most of its like have are seldom lacked
+                if hubs[k] not in usual:  # the hub's shingles that most of its like have are seldom lacked
                     usual.clear()
-                    usual[part.column("h")[k].as_py()] = np.quantile(frequency(next(iter(known.values())).view(np.int64)), 0.75)
+                    usual[hubs[k]] = np.quantile(frequency(next(iter(known.values())).view(np.int64)), 0.75)
                 e = np.concatenate([missed, added]).view(np.int64)
                 often = frequency(e)
                 often[: len(missed)] = np.maximum(0, next(iter(usual.values())) - often[: len(missed)])
                 ordered = e[np.lexsort((e, often))]
-                for rank, e in enumerate(ordered[: max(to_linked, to_far, 0)].tolist(), 1):
-                    for column, x in zip(rows, (k, e, size, rank, linked, rank <= to_linked, rank <= to_far)):
-                        column.append(x)
-            at = pa.array(rows[0], pa.int64())
-            held = [part.column(x).take(at) for x in ("h", "node", "root", "n")]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([*held, *(pa.array(x, t) for x, t in zip(rows[1:], kinds))], ["h", "node", "root", "n", "e", "size", "rank", "linked", "to_linked", "to_far"])
-
-    return paired.mapInArrow(run, "h long, node long, root long, n long, e long, size long, rank long, linked boolean, to_linked boolean, to_far boolean")
-
-
-def pairs_by_edits(live: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
-    """x, y: all pairs of large buckets that can be links between components.
-
-    Sets x and y are a hub's set but for their edits, so |x ^ y| = |edits of x| + |edits of y| - 2 * shared edits, and
-    they are linked if that is at most c * (n + m) with c = (1 - t) / (1 + t). Members of different components are not
-    both linked to the hub. Say x is not: with a = edits - c * (n + hub) > 0, links of x share at least a / (1 + c) edits,
-    and links to such an x share more than (edits - c * (m - hub)) / 2. Sets that share s elements share one among the
-    first size - s + 1 of each in any one order (rare ones first), so members meet there, and only where enough edits follow.
+                bit = (mix(e.view(U)) >> U(32)) % U(64 * MAPS)
+                odd = np.bincount(bit.astype(np.int64), minlength=64 * MAPS).astype(np.uint8) & 1
+                first = ordered[: max(to_linked, to_far, 0)].tolist()
+                for column, x in zip(rows, (size, linked, np.packbits(odd, bitorder="little").view(np.int64).tolist(), [{"e": x, "rank": rank, "to_linked": rank <= to_linked, "to_far": rank <= to_far} for rank, x in enumerate(first, 1)])):
+                    column.append(x)
+            held = [part.column(x) for x in ("h", "node", "root", "n")]
+            kinds = (pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.struct([("e", pa.int64()), ("rank", pa.int64()), ("to_linked", pa.bool_()), ("to_far", pa.bool_())])))
+            yield pa.RecordBatch.from_arrays([*held, *(pa.array(x, t) for x, t in zip(rows, kinds))], ["h", "node", "root", "n", "size", "linked", "map", "edits"])
+
+    return paired.mapInArrow(run, "h long, node long, root long, n long, size long, linked boolean, map array<bigint>, edits array<struct<e:bigint,rank:bigint,to_linked:boolean,to_far:boolean>>")
+
+
+def pairs_by_edits(live: DataFrame, members: DataFrame, width: int, percent: int, made: list[str]) -> DataFrame:
+    """x, y: pairs of large buckets that can be links, all but those that join no two components.
+
+    A bucket's members are described by their edits from one set h: the hub of the bucket, or a hub of more degree that
+    stands in a bucket with it, so that few hubs serve many buckets. For sets x and y, |x ^ y| = |edits of x| + |edits of y| -
+    2 * shared edits, and they are linked if that is at most c * (n + m) with c = (1 - t) / (1 + t). Two that are both linked to
+    h meet there: each is a pair with h, unless its component is h's. Else say x is not linked to h: with a = edits - c * (n +
+    hub) > 0, links of x share at least a / (1 + c) edits, and links to such an x share more than (edits - c * (m - hub)) / 2.
+    Sets that share s elements share one among the first size - s + 1 of each in any one order (rare ones first), so members
+    meet there, and only where enough edits follow and the parity maps of their edits differ in few enough bits.
     """
-    hub = live.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("hub"))
-    relative = live.join(hub, "key").select(F.col("hub.node").alias("h"), "node", "root", "n", F.col("hub.n").alias("m")).filter("h <> node").distinct()
-    sides = [members.select(F.col("node").alias(c), F.col("text").alias(f"text_{c}")) for c in ("h", "node")]
-    paired = cut(relative.join(sides[1], "node").join(sides[0], "h"))
+    hub = live.groupBy("key").agg(F.max_by(F.struct("degree", "node", "n", "root"), F.struct("degree", "node")).alias("hub"), F.count("*").alias("held"))
+    hub = cut(hub, made)
+    of_hubs = live.join(hub.select(F.col("hub.node").alias("node")).distinct(), "node", "left_semi").select("key", F.col("node").alias("low"))
+    above = of_hubs.join(hub, "key").groupBy("low").agg(F.max("hub").alias("up"))
+    hub = hub.select("key", F.col("hub.node").alias("low")).join(above, "low").select("key", "up")
+    relative = live.join(hub, "key").select(F.col("up.node").alias("h"), "node", "root", "n", F.col("up.n").alias("m"), F.col("up.root").alias("hub_root")).filter("h <> node").distinct()
+    relative = cut(relative, made)
+    texts = members.select("node", F.col("text").alias("text_node"))
+    hubs = members.select(F.col("node").alias("h"), F.col("text").alias("text_h"))
+    paired = beside(relative.join(texts, "node"), hubs, "h", "node", relative)
     c = (100 - percent) / (100 + percent)
-    ranked = cut(first_edits(paired, width, c, common_shingles(members, width)))
+    ranked = cut(first_edits(paired.select("h", "node", "root", "n", "m", "text_node", "text_h"), width, c, common_shingles(members, width)), made)
+    to_hub = ranked.filter("linked").join(relative.select("h", "node", "hub_root"), ["h", "node"]).filter("root <> hub_root").select(F.col("h").alias("x"), F.col("node").alias("y"))
     # At the first edit that two members share, all others that they share come later in both.
     need = (F.col("size") + F.col("other_size") - c * (F.col("n") + F.col("other_n"))) / 2
     later = F.least(F.col("size") - F.col("rank"), F.col("other_size") - F.col("other_rank"))
+    apart = sum((F.bit_count(F.col("map")[k].bitwiseXOR(F.col("other_map")[k])) for k in range(MAPS)), F.lit(0))
     like = (F.least("n", "other_n") * 100 >= F.greatest("n", "other_n") * percent) & (F.ceil(need - 1e-9) <= later + 1)
-    far_side = ranked.filter("not linked")
-    other = [far_side.filter(kind).select("h", "e", F.col("node").alias("y"), F.col("root").alias("other"), F.col("n").alias("other_n"), F.col("size").alias("other_size"), F.col("rank").alias("other_rank")) for kind in ("to_linked", "to_far")]
-    mixed = ranked.filter("linked and to_far").join(other[0], ["h", "e"]).filter(like & (F.col("root") != F.col("other")))
-    both = far_side.filter("to_far").join(other[1], ["h", "e"]).filter(like & (F.col("root") != F.col("other")) & (F.col("node") < F.col("y")))
-    return mixed.select(F.col("node").alias("x"), "y").unionByName(both.select(F.col("node").alias("x"), "y")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    like = like & (apart <= c * (F.col("n") + F.col("other_n")) + 1e-9) & (F.col("root") != F.col("other"))
+    columns = ["h", "node", "root", "n", "size", "map"]
+    spread = lambda rows, kind: rows.select(*columns, F.inline(F.filter("edits", lambda x: x[kind]))).select("e", "rank", *columns)
+    far = ranked.filter("not linked")
+    other = [spread(far, kind).select("h", "e", F.col("node").alias("y"), F.col("root").alias("other"), F.col("n").alias("other_n"), F.col("size").alias("other_size"), F.col("rank").alias("other_rank"), F.col("map").alias("other_map")) for kind in ("to_linked", "to_far")]
+    mixed = spread(ranked.filter("linked"), "to_far").join(other[0], ["h", "e"]).filter(like)
+    both = spread(far, "to_far").join(other[1], ["h", "e"]).filter(like & (F.col("node") < F.col("y")))
+    pairs = mixed.select(F.col("node").alias("x"), "y").unionByName(both.select(F.col("node").alias("x"), "y")).unionByName(to_hub)
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
 def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -256,54 +286,54 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     repeat a doc_id (or have none) with different texts are different texts; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made: list[str] = []
     sketched = cut(sketches(docs, width))
-    nodes = cut(sketched.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("head"), F.first("n").alias("n"), F.first("registers").alias("registers")))
+    nodes = cut(sketched.filter("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("head"), F.first("n").alias("n"), F.first("registers").alias("registers")), made)
     bands = band_keys(nodes)
     full = bands.groupBy("key").count().filter("count > 1")
-    buckets = cut(bands.join(full, "key"))
+    buckets = cut(bands.join(full, "key"), made)
 
     # Texts of the nodes that share a bucket: one text of each, by the doc_id and text_hash of the row that gave the node.
     inside = buckets.select("node").distinct().join(nodes, "node")
     texts = docs.withColumn("text_hash", F.xxhash64("text"))
     texts = texts.dropDuplicates(["doc_id", "text_hash"]) if repeats_ids(docs) else texts
     same = F.col("head.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("head.text_hash") == F.col("text_hash"))
-    members = cut(inside.join(texts, same).select("node", "n", "registers", "text"))
+    members = cut(inside.join(texts, same).select("node", "n", "registers", "text"), made)
 
     degree = buckets.groupBy("node").agg(F.sum("count").alias("degree"))
-    ranked = cut(buckets.join(degree, "node"))
-    links, label = None, None
+    live = cut(buckets.join(degree, "node").withColumn("root", F.col("node")), made)
     similar = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    for k in range(HUBS + 1):
-        if label is None:
-            live = ranked.withColumn("root", F.col("node"))
-        else:
-            live = cut(ranked.join(label, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    links, label = None, None
+    for to_hubs in (True, False):
+        if label is not None:
+            live = live.drop("root").join(label, "node", "left").withColumn("root", F.coalesce("root", "node"))
             mixed = live.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a <> b").select("key")
-            live = cut(live.join(mixed, "key"))
+            live = cut(live.join(mixed, "key"), made)
             if live.isEmpty():
                 break
-        if k < HUBS:  # every member with its bucket's hub: the node of the highest degree, then one by hash
-            rank = F.struct("degree", "node") if k == 0 else F.struct(F.xxhash64("node", F.lit(k)), "node")
-            hub = live.groupBy("key").agg(F.max_by(F.struct("node", "n", "root"), rank).alias("hub")).select("key", F.col("hub.node").alias("x"), F.col("hub.n").alias("m"), F.col("hub.root").alias("other"))
-            apart = live.join(hub, "key").filter("root <> other")
-            pairs = apart.filter(similar).select("x", F.col("node").alias("y")).distinct()
+        if to_hubs:  # every member with its bucket's hub, the node of the highest degree
+            hub = live.groupBy("key").agg(F.max_by(F.struct("node", "n"), F.struct("degree", "node")).alias("hub"), F.max("count").alias("held"))
+            hub = hub.select("key", F.col("hub.node").alias("x"), F.col("hub.n").alias("m"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("held") / DEALT).cast("int") - 1)).alias("share"))
+            dealt = live.withColumn("share", F.pmod(F.xxhash64("node"), F.ceil(F.col("count") / DEALT)).cast("int"))
+            pairs = dealt.join(hub, ["key", "share"]).filter((F.col("x") != F.col("node")) & similar).select("x", F.col("node").alias("y")).distinct()
         else:  # what is still apart
             few = live.filter(F.col("count") <= PAIRWISE)
             other = few.select("key", F.col("node").alias("x"), F.col("n").alias("m"), F.col("root").alias("other"))
             pairs = few.join(other, "key").filter(similar & (F.col("root") != F.col("other")) & (F.col("node") < F.col("x"))).select("x", F.col("node").alias("y")).distinct()
             many = live.filter(F.col("count") > PAIRWISE)
             if not many.isEmpty():
-                pairs = pairs.unionByName(pairs_by_edits(many, members, width, percent)).distinct()
-        found = cut(confirm(pairs, members, width, percent))
+                pairs = pairs.unionByName(pairs_by_edits(many, members, width, percent, made)).distinct()
+        found = cut(confirm(cut(pairs, made), members, width, percent), made)
         links = found if links is None else links.unionByName(found)
-        if found.isEmpty():
-            continue
-        label = roots(links)
+        if not found.isEmpty():
+            label = roots(links, made)
     first = nodes.select("node", "head")
     if label is not None:
         least = label.join(first, "node").groupBy("root").agg(F.min("head").alias("least"))
-        first = first.join(cut(label.join(least, "root").select("node", "least")), "node", "left").select("node", F.coalesce("least", "head").alias("head"))
-    out = sketched.select("doc_id", "text_hash", "n", "node").join(cut(first), "node", "left")
+        first = first.join(label.join(least, "root").select("node", "least"), "node", "left").select("node", F.coalesce("least", "head").alias("head"))
+    first = cut(first)
+    discard(docs.sparkSession, made)
+    out = sketched.drop("registers").join(first, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("head.doc_id"))
     own = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("text_hash") == F.col("head.text_hash"))
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("node").isNull() | own).alias("kept"))
