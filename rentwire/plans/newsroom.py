@@ -185,7 +185,10 @@ def fetch_statistics(spark, sf_dir):
     return pages.status_counts(_articles(spark, sf_dir))
 
 
-@register("N17_sentences", "SELECT doc_id, count(s) AS n, coalesce(sum(length(s)), 0) AS chars FROM (SELECT doc_id, CASE WHEN length(trim(s)) BETWEEN 40 AND 420 THEN trim(s) END AS s FROM (SELECT doc_id, unnest(string_split(regexp_replace(regexp_replace(text, '([.!?]) +([A-Z\"''“(])', '\\1\x01\\2', 'g'), chr(10), chr(1), 'g'), chr(1))) AS s FROM documents WHERE text NOT LIKE '%  %' AND text NOT LIKE '%. ? %')) GROUP BY doc_id".replace("\x01", "'||chr(1)||'").replace("'\\1'||chr(1)||'\\2'", "'\\1' || chr(1) || '\\2'"))
+_SPLIT = "regexp_replace(replace(coalesce(text, ''), chr(10), chr(1)), '([.!?])\\s+([A-Z\"''“(])', '\\1' || chr(1) || '\\2', 'g')"
+
+
+@register("N17_sentences", f"SELECT doc_id, count(s) AS n, coalesce(sum(length(s)), 0) AS chars FROM (SELECT doc_id, CASE WHEN length(trim(s)) BETWEEN 40 AND 420 THEN trim(s) END AS s FROM (SELECT doc_id, unnest(string_split({_SPLIT}, chr(1))) AS s FROM documents)) GROUP BY doc_id")
 def sentence_counts(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     s = news.sentences(F.coalesce("text", F.lit("")))
@@ -226,7 +229,10 @@ def primaries(spark, sf_dir):
     return stories.dedupe(a, stories.cluster(a)).select("seq", "title", "source")
 
 
-@register("N23_fact_notes", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'dollar amount differs: A reports $' || (o_orderkey % 900 + 1) || 'M, B reports $' || (2 * (o_orderkey % 900 + 1)) || 'M' ELSE '' END AS note FROM orders WHERE o_orderkey % 900 + 1 < 400")
+_SPOKEN = "CASE WHEN {0} >= 1000 THEN '$' || rtrim(rtrim(printf('%.3f', {0} / 1000.0), '0'), '.') || 'B' ELSE '$' || {0} || 'M' END"
+
+
+@register("N23_fact_notes", f"SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'dollar amount differs: A reports ' || {_SPOKEN.format('n')} || ', B reports ' || {_SPOKEN.format('(2 * n)')} ELSE '' END AS note FROM (SELECT o_orderkey, o_orderkey % 900 + 1 AS n FROM orders)")
 def fact_notes(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     n = F.col("o_orderkey") % 900 + 1
