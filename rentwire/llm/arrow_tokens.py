@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ._common import partitions, shared_folder, slices
-from .tokenize import encoder, vocabulary_path
+from .tokenize import SLICE, encoder, vocabulary_path
 
 #: Sequences in a record batch.
 IN_BATCH = 64
@@ -76,7 +76,7 @@ def write_tokens(docs: DataFrame, folder: str, length: int = 2048, vocabulary: s
             mask = np.arange(len(ids)) < n
             sinks[0].writer.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(ids), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=schema))
 
-        for some in slices(batches, "text"):
+        for some in slices(batches, "text", most_bytes=SLICE):
             if not sinks:
                 sinks = [Sink(f"{folder}/tokens-{part:06d}.arrow", schema), Sink(f"{folder}/places-{part:06d}.arrow", PLACES)]
             ids, counts = encode.encode(some.column("text"))

@@ -1,12 +1,15 @@
 """Best-fit packing of token sequences (operator 9).
 
-Method, bulk-synchronous best-fit: pieces are range-sorted by length; rounds go from the longest length down. In a round
-all pieces of one length and all open gaps, sorted by size, are matched by a successor sweep: each piece takes the
-smallest gap that holds it. Pieces that want the same gaps are dealt by rank, gaps shrink, and the round repeats on what
-shrank and still fits; pieces without a gap open sequences. Pieces of one length are interchangeable, and so are gaps of
-one size, so the sweep runs over runs (length, how many) of which there are at most ``capacity``, whatever the input
-holds. The plan that it returns says which ranks of a length go to which sequences; every piece finds its place by its
-distributed rank.
+Method, bulk-synchronous best-fit: pieces are range-sorted by length over all tasks, each task counts its runs of equal
+length, and every piece knows its rank among those of its length. Rounds go from the longest length down: the pieces of one
+length are matched with the open gaps by a successor sweep (the smallest gap that holds them), those that want gaps of one
+size are dealt to them by rank, the gaps shrink, and the round repeats on what shrank and still fits; pieces without a gap
+open sequences. At the end every piece finds its place by its rank, in a join that all tasks share.
+
+What is distributed and what is not: pieces are sorted, ranked and placed in all tasks. The sweep itself sees no pieces but
+the runs (length, how many), at most ``capacity`` of them whatever the input holds, as pieces of one length are
+interchangeable and so are gaps of one size. That histogram is swept in one task; dealing 2,048 rows over tasks would only
+add a shuffle to each round.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, Window as W
 
 from ._common import cut, partitions, slices
-from .tokenize import encoder, vocabulary_path
+from .tokenize import SLICE, encoder, vocabulary_path
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLAN = "length long, first_rank long, n long, first_sequence long, offset long"
@@ -31,17 +34,20 @@ def cut_pieces(docs: DataFrame, capacity: int, vocabulary: str, end_id: int, dro
 
     def run(batches):
         encode = encoder(vocabulary, drops_space).encode
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", most_bytes=SLICE):
             ids, counts = encode(part.column("text"))
-            ends, rows = np.cumsum(counts), [[], [], [], [], []]
-            for doc, n, end in zip(part.column("doc_id").to_pylist(), counts.tolist(), ends.tolist()):
-                own = np.append(ids[end - n : end], end_id).astype("<u4")
-                first = len(own) % capacity or min(capacity, len(own))
-                edges = [0, *range(first, len(own) + 1, capacity)]
-                for k, (a, b) in enumerate(zip(edges, edges[1:])):
-                    for column, x in zip(rows, (doc, k, a, b - a, zlib.crc32(own[a:b].tobytes()))):
-                        column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            ids = np.insert(ids, np.cumsum(counts), end_id).astype("<u4")
+            counts = counts + 1
+            pieces = -(-counts // capacity)
+            row = np.repeat(np.arange(len(counts)), pieces)
+            piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+            first = (counts - (pieces - 1) * capacity)[row]
+            start = np.where(piece == 0, 0, first + (piece - 1) * capacity)
+            length = np.where(piece == 0, first, capacity)
+            at = (np.cumsum(counts) - counts)[row] + start
+            whole = memoryview(ids.tobytes())
+            crc = [zlib.crc32(whole[4 * a : 4 * b]) for a, b in zip(at.tolist(), (at + length).tolist())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
@@ -101,8 +107,8 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, e
         return pd.DataFrame(sweep(dict(zip(pdf.length.tolist(), pdf.n.tolist())), capacity), columns=["length", "first_rank", "n", "first_sequence", "offset"])
 
     by_length = ranged.groupBy("length").agg(F.count("*").alias("n")).withColumn("one", F.lit(1))  # at most `capacity` rows
-    planned = by_length.groupBy("one").applyInPandas(plan, PLAN).withColumnRenamed("length", "of").withColumnRenamed("n", "many")
+    planned = cut(by_length.groupBy("one").applyInPandas(plan, PLAN)).withColumnRenamed("length", "of").withColumnRenamed("n", "many")
     ranked = ranged.join(runs.select("part", "length", "before", "first_at"), ["part", "length"]).withColumn("rank", F.col("before") + F.col("at") - F.col("first_at"))
-    # The plan's size is bounded by the capacity alone, so it is broadcast.
+    # The plan is a table of known size, so that Spark broadcasts it only under its own threshold.
     fits = (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("many"))
-    return ranked.join(F.broadcast(planned), fits).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")
+    return ranked.join(planned, fits).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_sequence") + F.col("rank") - F.col("first_rank")).alias("sequence_id"), "offset")

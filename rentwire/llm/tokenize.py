@@ -2,19 +2,23 @@
 
 A chunk is a stretch of text at whose ends the tokenizer always splits, so its ids do not depend on its neighbours:
 white-space-separated words for the vocabulary that drops white space, words with their leading space and single line
-breaks for the byte-level one. Texts with other white space go through the library whole.
+breaks for the byte-level one. Texts with other white space, and texts that hold a token that was added to the vocabulary
+(as its end mark), go through the library whole.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks that a worker remembers before it starts afresh; it bounds memory and changes no result.
-MEMO = 700_000
+MEMO = 1_500_000
+#: Bytes of text that are looked up together.
+SLICE = 4_000_000
 #: A text of this kind has a run of white space, or white space other than a space and a line feed, or some at an end, or U+0000.
 ODD = "^\\s|\\s$|\\s\\s|[^\\S \\n]|[\\x00\\x1c-\\x1f\\x85\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _MADE: dict[tuple[str, bool], Encoder] = {}
@@ -34,67 +38,69 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.drops_space = drops_space
+        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = "|".join([*added, *([] if drops_space else [ODD])])
         self.mark = "|" if drops_space else "\n"
         (self.mark_id,) = self.whole([self.mark])[0]
         self.size = self.tokenizer.get_vocab_size()
         self.forget()
 
     def forget(self) -> None:
-        self.slot: dict[str, int] = {}
+        self.known = pa.array([""], pa.string())  # a chunk's place in it is its slot
         self.pool, self.pool_n = np.empty(1 << 16, np.uint32), 0
-        self.at, self.n = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+        self.at, self.n = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: list[str]) -> None:
-        plain = [c for c in chunks if self.mark not in c]
+    def learn(self, chunks: pa.Array) -> None:
+        """Encodes chunks that are not known yet; those without the mark go through the library many at a time, with marks between."""
+        marked = pc.match_substring(chunks, self.mark)
+        plain = chunks.filter(pc.invert(marked))
+        ids, counts = [], []
         for i in range(0, len(plain), 400):
-            some = plain[i : i + 400]
+            some = plain.slice(i, 400).to_pylist()
             gap = f" {self.mark} " if self.drops_space else self.mark
-            ids = np.array(self.whole([gap.join(some) + gap.rstrip(" ")])[0], np.uint32)
-            ends = np.flatnonzero(ids == self.mark_id)
+            own = np.array(self.whole([gap.join(some) + gap.rstrip(" ")])[0], np.uint32)
+            ends = np.flatnonzero(own == self.mark_id)
             if len(ends) != len(some):
                 raise ValueError("a chunk changed beside its neighbours")
-            self.keep(some, ids[ids != self.mark_id], np.diff(np.concatenate([[-1], ends])) - 1)
-        if rest := [c for c in chunks if self.mark in c]:
-            ids = self.whole(rest)
-            self.keep(rest, np.array([y for x in ids for y in x], np.uint32), np.array([len(x) for x in ids]))
-
-    def keep(self, chunks: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        first, n = len(self.slot), len(chunks)
+            ids.append(own[own != self.mark_id])
+            counts.append(np.diff(np.concatenate([[-1], ends])) - 1)
+        rest = chunks.filter(marked)
+        for own in self.whole(rest.to_pylist()):
+            ids.append(np.array(own, np.uint32))
+            counts.append(np.array([len(own)]))
+        self.keep(pa.concat_arrays([plain, rest]), np.concatenate(ids), np.concatenate(counts).astype(np.int64))
+
+    def keep(self, chunks: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
         while self.pool_n + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
-        while first + n > len(self.at):
-            self.at, self.n = (np.concatenate([x, np.empty_like(x)]) for x in (self.at, self.n))
         self.pool[self.pool_n : self.pool_n + len(ids)] = ids
-        self.at[first : first + n] = self.pool_n + np.concatenate([[0], np.cumsum(counts)[:-1]])
-        self.n[first : first + n] = counts
+        self.at = np.concatenate([self.at, self.pool_n + np.cumsum(counts) - counts])
+        self.n = np.concatenate([self.n, counts])
         self.pool_n += len(ids)
-        self.slot.update(zip(chunks, range(first, first + n)))
+        self.known = pa.concat_arrays([self.known, chunks])
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of each text. A null text is empty."""
-        texts = pc.fill_null(texts, "")
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+        even = pc.if_else(pa.array(~odd), texts, "") if odd.any() else texts
         if self.drops_space:
-            odd = np.zeros(len(texts), bool)
-            parts = pc.split_pattern(pc.replace_substring_regex(texts, "[\\t\\n\\r]", " "), " ")
+            parts = pc.split_pattern(pc.replace_substring_regex(even, "[\\t\\n\\r]", " "), " ")
         else:
-            odd = pc.match_substring_regex(texts, ODD).to_numpy(zero_copy_only=False)
-            even = pc.if_else(pa.array(~odd), texts, "") if odd.any() else texts
             parts = pc.split_pattern(pc.replace_substring(pc.replace_substring(even, " ", "\x00 "), "\n", "\x00\n\x00"), "\x00")
         sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = parts.flatten().dictionary_encode()
-        names = coded.dictionary.to_pylist()
-        if len(self.slot) > MEMO:
+        if len(self.known) > MEMO:
             self.forget()
-        if "" not in self.slot:
-            self.keep([""], np.empty(0, np.uint32), np.array([0]))
-        if new := [x for x in names if x not in self.slot]:
-            self.learn(new)
-        slots = np.fromiter((self.slot[x] for x in names), np.int64, len(names))[coded.indices.to_numpy()]
+        slot_of = pc.index_in(coded.dictionary, value_set=self.known)
+        if slot_of.null_count:
+            self.learn(coded.dictionary.filter(slot_of.is_null()))
+            slot_of = pc.index_in(coded.dictionary, value_set=self.known)
+        slots = slot_of.to_numpy().astype(np.int64)[coded.indices.to_numpy()]
         each = self.n[slots]
         total = int(each.sum())
         ends = np.cumsum(each)
