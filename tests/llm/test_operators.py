@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rentwire.llm import arrow_tokens, best_fit, html_blocks, language, license_digest, near_duplicates, pivot_search, private_data, queries, trie_counts, wu_manber
 from rentwire.llm.tokenize import vocabulary_path
 
-ODD = [None, "", " ", "\n\t", "x", "x", "A b", "a B", "12345 !!! ???", "word " * 3000, "é" * 500 + " ünï", "日本語 テキスト", "<|endoftext|> a|b", "a  b\tc\x1cd"]
+ODD = [None, "", " ", "\n\t", "x", "x", "A b", "a B", "12345 !!! ???", "word " * 3000, "é" * 500 + " ünï", "日本語 テキスト", "<|endoftext|> a|b", "text <|endoftext|> more", "a<|ENDOFTEXT|>b <|startoftext|>", "a  b\tc\x1cd"]
 LOREM = "of the and to in that was he it with for on are as at by this be from or one had not but what all".split()
 
 
@@ -192,7 +192,6 @@ def ids_of(name, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(vocabulary_path(name))
-    t.encode_special_tokens = True
     return [x.ids for x in t.encode_batch([r or "" for r in rows], add_special_tokens=False)]
 
 
@@ -264,14 +263,44 @@ def test_main_text_query_joins_blocks_by_two_line_feeds(spark, tmp_path):
     assert got.text == "\n\n".join(["Head", ("One sentence is here. " * 5).strip(), ("Another one follows. " * 5).strip()]) and got.n_chars == len(got.text)
 
 
+def wrong_share(pages):
+    model, wrong, total = html_blocks.trained(), 0, 0
+    for page, labels in pages:
+        cut_up = html_blocks.blocks(page)
+        wrong, total = wrong + int((model.label([cut_up])[0] != np.array(labels)).sum()), total + len(labels)
+    return wrong / total
+
+
 def test_labeller_on_drawn_pages():
     r = random.Random(77)
-    model, wrong, total = html_blocks.trained(), 0, 0
-    for _ in range(80):
-        page, labels = html_blocks.training_page(r)
-        got = model.label([html_blocks.blocks(page)])[0]
-        wrong, total = wrong + int((got != np.array(labels)).sum()), total + len(labels)
-    assert wrong <= 0.01 * total
+    assert wrong_share([html_blocks.training_page(r) for _ in range(150)]) <= 0.02
+
+
+#: Container names that no drawn page of the training has.
+UNSEEN = {"main": "newsbody artikel nota-cuerpo lead-copy readable", "menu": "hauptnavi linkbar crumbs", "other": "reklame boxout werbung partners infobox-promo", "comments": "thread talkback meinungen", "head": "kopfzeile hd-top", "foot": "fusszeile ft-base"}
+
+
+def test_labeller_on_unseen_containers():
+    r = random.Random(78)
+    assert wrong_share([html_blocks.training_page(r, UNSEEN) for _ in range(150)]) <= 0.04
+
+
+def labelled(page):
+    cut_up = html_blocks.blocks(page)
+    return [b.text for b, main in zip(cut_up, html_blocks.trained().label([cut_up])[0]) if main]
+
+
+def test_main_text_without_article_elements():
+    cells = "<html><body><table><tr><td><a href='/'>Home</a><br><a href='/n'>News</a></td><td><h1>Town council votes for a bridge</h1><p>The council decided on Monday to build a bridge over the river, which will cost ten million.</p><p>Work will begin in spring, said the mayor.</p></td></tr></table></body></html>"
+    assert labelled(cells) == ["Town council votes for a bridge", "The council decided on Monday to build a bridge over the river, which will cost ten million.", "Work will begin in spring, said the mayor."]
+    box = "<html><body><div class='story-body'><p>The council decided on Monday to build a bridge.</p><div class='most-read'><h3>Most read</h3><ul><li><a href='/a'>Rain hits the coast</a></li><li><a href='/b'>Team wins the cup</a></li></ul></div><p>Work will begin in spring, said the mayor.</p></div></body></html>"
+    assert labelled(box) == ["The council decided on Monday to build a bridge.", "Work will begin in spring, said the mayor."]
+
+
+def test_blocks_of_malformed_pages():
+    assert [b.text for b in html_blocks.blocks("<div>" * 30_000 + "x" + "</p>" * 30_000 + "y")] == ["x", "y"]
+    assert [b.text for b in html_blocks.blocks("<p>a<p>b</div></td><li>c<li>d<table><td>e<td>f <!-- <p>no")] == ["a", "b", "c", "d", "e", "f"]
+    assert html_blocks.blocks("") == [] and html_blocks.Page().around().shape == (0, 8)
 
 
 def test_digests_are_stable():
