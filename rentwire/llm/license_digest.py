@@ -120,14 +120,13 @@ def oracle(known: tuple[tuple[str, str], ...] = KNOWN) -> str:
         form = f"regexp_replace({form}, '{pattern}', '{to}', 'g')".replace("{}", "{0}")
     form = f"trim({form})"
     values = ", ".join(f"('{form_}', '{name}')" for form_, name in sorted({(canonical_text(t), n) for n, t in known}))
-    longest = 4 * max(len(text) for _, text in known)
     return f"""
 WITH known(form, license) AS (VALUES {values}),
 docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, unnest(string_split(text, chr(10))) AS line FROM docs),
-found AS (SELECT doc_id, pos, license FROM lines JOIN known ON {form.replace("{0}", "line")} = form WHERE length(line) BETWEEN 1 AND {longest}),
+found AS (SELECT doc_id, pos, license FROM lines JOIN known ON {form.replace("{0}", "line")} = form WHERE length(line) > 0),
 notices AS (SELECT doc_id, count(DISTINCT pos) AS n FROM found GROUP BY doc_id),
-whole AS (SELECT doc_id, license FROM docs LEFT JOIN known ON {form.replace("{0}", "text")} = form AND length(text) BETWEEN 1 AND {longest}),
+whole AS (SELECT doc_id, license FROM docs LEFT JOIN known ON {form.replace("{0}", "text")} = form AND length(text) > 0),
 names AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses FROM (SELECT doc_id, license FROM found UNION SELECT doc_id, license FROM whole WHERE license IS NOT NULL) GROUP BY doc_id)
 SELECT w.doc_id, w.license AS whole_license, coalesce(n.n, 0) AS n_notices, coalesce(m.licenses, '') AS licenses
 FROM whole w LEFT JOIN notices n USING (doc_id) LEFT JOIN names m USING (doc_id)"""
