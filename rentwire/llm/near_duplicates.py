@@ -130,7 +130,7 @@ def band_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select("node", "n", "registers").mapInArrow(run, "key long, node long, n long")
 
 
-def confirm(pairs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, members: DataFrame, width: int, percent: int, made: list[str]) -> DataFrame:
     """The pairs (x, y) that are links: estimated from registers, then confirmed on whole sets."""
 
     def run(batches):
@@ -152,15 +152,17 @@ def confirm(pairs: DataFrame, members: DataFrame, width: int, percent: int) -> D
             yield part.select(["x", "y"]).filter(pa.array(good))
 
     sides = [members.select(F.col("node").alias(c), *(F.col(k).alias(f"{k}_{c}") for k in ("n", "registers", "text"))) for c in "xy"]
-    return beside(pairs.select("x", "y").join(sides[1], "y"), sides[0], "x", "y", pairs).mapInArrow(run, "x long, y long")
+    return beside(pairs.select("x", "y").join(sides[1], "y"), sides[0], "x", "y", pairs, made).mapInArrow(run, "x long, y long")
 
 
-def beside(rows: DataFrame, hubs: DataFrame, hub: str, spread: str, counted: DataFrame) -> DataFrame:
-    """``rows`` with the columns of ``hubs`` (one row for each value of ``hub``). The rows of one hub are dealt by ``spread`` over
-    as many tasks as their number in ``counted`` asks for, each with its own copy of the hub's row."""
-    share = counted.groupBy(hub).agg(F.ceil(F.count("*") / DEALT).alias("shares"))
-    many = hubs.join(share, hub).withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares").cast("int") - 1))).drop("shares")
-    return rows.join(share, hub).withColumn("share", F.pmod(F.xxhash64(spread), F.col("shares")).cast("int")).drop("shares").join(many, [hub, "share"])
+def beside(rows: DataFrame, hubs: DataFrame, hub: str, spread: str, counted: DataFrame, made: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``hubs`` (one row for each value of ``hub``). Where ``counted`` has many rows of one hub, they
+    are dealt by ``spread`` over as many tasks as their number asks for, each with its own copy of the hub's row."""
+    heavy = counted.groupBy(hub).count().filter(F.col("count") > DEALT).select(hub, F.ceil(F.col("count") / DEALT).cast("int").alias("shares"))
+    heavy = cut(heavy, made)  # few rows, so that Spark knows that they are few
+    dealt = rows.join(heavy, hub, "left").withColumn("share", F.coalesce(F.pmod(F.xxhash64(spread), F.col("shares")).cast("int"), F.lit(0))).drop("shares")
+    many = hubs.join(heavy, hub, "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")
+    return dealt.join(many, [hub, "share"])
 
 
 def edited(part: pa.RecordBatch, width: int, known: dict):
@@ -257,7 +259,7 @@ def pairs_by_edits(live: DataFrame, members: DataFrame, width: int, percent: int
     relative = cut(relative, made)
     texts = members.select("node", F.col("text").alias("text_node"))
     hubs = members.select(F.col("node").alias("h"), F.col("text").alias("text_h"))
-    paired = beside(relative.join(texts, "node"), hubs, "h", "node", relative)
+    paired = beside(relative.join(texts, "node"), hubs, "h", "node", relative, made)
     c = (100 - percent) / (100 + percent)
     ranked = cut(first_edits(paired.select("h", "node", "root", "n", "m", "text_node", "text_h"), width, c, common_shingles(members, width)), made)
     to_hub = ranked.filter("linked").join(relative.select("h", "node", "hub_root"), ["h", "node"]).filter("root <> hub_root").select(F.col("h").alias("x"), F.col("node").alias("y"))
@@ -323,7 +325,7 @@ def groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
             many = live.filter(F.col("count") > PAIRWISE)
             if not many.isEmpty():
                 pairs = pairs.unionByName(pairs_by_edits(many, members, width, percent, made)).distinct()
-        found = cut(confirm(cut(pairs, made), members, width, percent), made)
+        found = cut(confirm(cut(pairs, made), members, width, percent, made), made)
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
             label = roots(links, made)
