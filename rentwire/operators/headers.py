@@ -10,16 +10,21 @@ LEAST_SCORE = 340
 NOISE = "the of a in per is and or for to usd yr year yearly annual annually mo month monthly psf sf sqft amt amount value no num number id".split()
 #: Default fields: (field, required, synonyms best first, words that rule it out). A fuller table is a parameter of score().
 FIELDS = (
+    ("propertyName", False, ("property name", "building name"), ()),
     ("address", True, ("street address", "property address", "address", "street"), ("email", "ip address", "web")),
     ("city", False, ("city", "town", "municipality"), ()),
     ("state", False, ("state", "province"), ("status", "real estate")),
     ("zip", False, ("zip code", "zip", "postal code"), ()),
+    ("county", False, ("county", "parish"), ()),
+    ("market", False, ("market", "metro"), ("sub",)),
+    ("submarket", False, ("submarket", "sub market"), ()),
+    ("district", False, ("district", "neighborhood"), ()),
     ("latitude", False, ("latitude", "lat"), ()),
     ("longitude", False, ("longitude", "lon", "lng"), ()),
-    ("propertyName", False, ("property name", "building name"), ()),
-    ("propertySubtype", False, ("property subtype", "subtype"), ()),
     ("propertyType", False, ("property type",), ("subtype",)),
+    ("propertySubtype", False, ("property subtype", "subtype"), ()),
     ("buildingClass", False, ("property class", "building class", "class"), ()),
+    ("yearBuilt", False, ("year built", "built"), ()),
     ("leaseDate", False, ("start date", "commencement date", "lease date", "commencement"), ("end", "expir", "signed")),
     ("executionDate", False, ("signed date", "execution date", "date signed"), ()),
     ("expirationDate", False, ("end date", "expiration date", "expiry"), ()),
@@ -27,23 +32,47 @@ FIELDS = (
     ("leaseType", False, ("lease type",), ("transaction",)),
     ("rateType", False, ("rate type", "rent type"), ()),
     ("transactionType", False, ("lease transaction type", "transaction type"), ()),
+    ("suite", False, ("suite", "unit"), ()),
+    ("floor", False, ("floor", "floors"), ()),
     ("areaLeased", True, ("area leased", "leased area", "square feet", "size", "rsf"), ("office area", "rent", "rate")),
+    ("officeArea", False, ("office area", "office area deprecated"), ()),
     ("baseRent", True, ("base rent yearly", "base rent", "starting rent", "rent", "rate"), ("type", "free", "effective", "escal")),
     ("effectiveRent", False, ("effective rent", "net effective rent"), ()),
     ("opex", False, ("opex yearly", "opex", "operating expenses"), ()),
-    ("escalation", False, ("escalations", "escalation", "annual increase"), ()),
+    ("escalation", False, ("escalations", "escalation", "annual increase"), ("type", "percent", "value", "comment")),
+    ("escalationType", False, ("escalation type",), ()),
+    ("escalationPercent", False, ("escalation percent",), ()),
+    ("escalationValue", False, ("escalation value", "escalation amount"), ()),
+    ("escalationComments", False, ("escalation comments", "escalation notes"), ()),
     ("freeRent", False, ("free rent months", "free rent", "abatement"), ()),
     ("tiAllowance", False, ("ti allowance", "tenant improvements", "ti"), ("notes", "as is")),
-    ("lessee", False, ("tenant", "lessee"), ("agent", "rep", "naics", "improve")),
+    ("tiAsIs", False, ("tis as is", "ti as is", "as is"), ()),
+    ("tiNotes", False, ("ti notes", "ti comments"), ()),
+    ("otherConcessions", False, ("other concessions", "concessions"), ()),
     ("lessor", False, ("lessor", "landlord", "owner"), ("sub", "agent", "rep")),
-    ("suite", False, ("suite", "unit"), ()),
-    ("floor", False, ("floor", "floors"), ()),
+    ("sublessor", False, ("sublessor", "sublandlord"), ()),
+    ("lessee", False, ("tenant", "lessee"), ("agent", "rep", "naics", "improve")),
+    ("lessorBroker", False, ("listing agent s", "listing agent", "landlord agent"), ()),
+    ("lessorBrokerFirm", False, ("listing representative", "landlord representative", "listing firm"), ()),
+    ("lesseeBroker", False, ("tenant agent s", "tenant agent"), ()),
+    ("lesseeBrokerFirm", False, ("tenant representative", "tenant rep firm"), ()),
+    ("brokers", False, ("brokers", "broker"), ()),
+    ("naicsCode", False, ("tenant naics code", "naics code", "naics"), ()),
     ("notes", False, ("notes", "comments", "remarks"), ("ti", "escal")),
     ("compId", False, ("comp id", "record id"), ()),
     ("confidentiality", False, ("confidentiality", "confidential"), ()),
 )
 
 
+#: Fields whose column of deals is not their own name in snake case.
+OF_COLUMN = {"lat": "latitude", "lon": "longitude"}
+
+
+def camel(column: str) -> str:
+    first, *rest = column.split("_")
+    return first + "".join(x.capitalize() for x in rest)
+
+
 def normalize_header(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(x, F.lit(""))), "[‘’“”]", ""), "[^a-z0-9]+", " "))
 

@@ -102,5 +102,20 @@ def drop_counts(evaluated: DataFrame) -> DataFrame:
     return evaluated.filter("drop_reason is not null").groupBy(F.substring_index("drop_reason", " (", 1).alias("reason")).agg(F.count("*").alias("n"))
 
 
+def scan_counts(evaluated: DataFrame, clustered: DataFrame | None = None) -> DataFrame:
+    """reason, n: dropped items by reason, with a row 'duplicate' for articles that a story holds already."""
+    counts = drop_counts(evaluated)
+    if clustered is None:
+        return counts
+    duplicates = clustered.agg(F.count_if(F.col("role") == "duplicate").alias("n")).select(F.lit("duplicate").alias("reason"), "n")
+    return counts.unionByName(duplicates)
+
+
 def source_counts(items: DataFrame) -> DataFrame:
     return items.groupBy("origin").agg(F.count("*").alias("items"))
+
+
+def source_totals(results: DataFrame) -> DataFrame:
+    """One row over source results (origin, ok, items, error): sources, ok, failed, items, errors (the failed ones, sorted)."""
+    failed = F.when(~F.col("ok"), F.concat_ws(": ", "origin", F.nullif("error", F.lit(""))))
+    return results.agg(F.count("*").alias("sources"), F.count_if("ok").alias("ok"), F.count_if(~F.col("ok")).alias("failed"), F.coalesce(F.sum("items"), F.lit(0)).alias("items"), F.array_sort(F.collect_list(failed)).alias("errors"))

@@ -16,6 +16,8 @@ TEXT = {
     "brokers": "brokers", "naicsCode": "naics_code", "notes": "notes", "compId": "comp_id",
 }
 
+FIELDS = ("address", "city", "state", "zip", "latitude", "longitude", "leaseDate", "executionDate", "expirationDate", "termMonths", "yearBuilt", "areaLeased", "officeArea", "baseRent", "effectiveRent", "opex", "freeRent", "tiAllowance", "confidentiality", *TEXT)
+
 
 def term_units(records: DataFrame, column_map: DataFrame) -> DataFrame:
     """sheet_id, in_years: the unit of each sheet's term column, by its header, else by the words in its first rows, else by the middle of its numbers."""
@@ -39,9 +41,11 @@ def normalize(records: DataFrame, column_map: DataFrame) -> DataFrame:
     """Typed deals of all sheets. One row of map a sheet is joined; the rest is a projection."""
     maps = column_map.groupBy("sheet_id").agg(F.map_from_entries(F.collect_list(F.struct("field", "header"))).alias("headers"))
     own = records.join(maps, "sheet_id", "left").join(term_units(records, column_map), "sheet_id", "left")
+    looked_up = [F.try_element_at("record", F.try_element_at("headers", F.lit(f))).alias(f"_{f}") for f in FIELDS]
+    own = own.select("sheet_id", "source_row", "record", "in_years", *looked_up)
 
     def pick(field: str) -> Column:
-        return F.when(F.try_element_at("headers", F.lit(field)).isNotNull(), F.try_element_at("record", F.try_element_at("headers", F.lit(field))))
+        return F.col(f"_{field}")
 
     number = lambda f: cells.to_number(pick(f))
     deals = own.select(

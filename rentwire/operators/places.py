@@ -100,11 +100,11 @@ def retain_cache(cache: DataFrame, most: int = MOST_CACHED) -> DataFrame:
     return cache.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r").orderBy(F.desc("ts"), "address_key").limit(most)
 
 
-def sites(deals: DataFrame) -> DataFrame:
+def sites(deals: DataFrame, with_rows: bool = True) -> DataFrame:
     """site_id, lat, lon, label, city, grade, deals, deal_rows: deals of one coordinate (five decimals).
 
     label: the first property name, else address, else city. deal_rows: source rows newest first, undated last of 1970.
-    Only row numbers are kept of the deals, so that a large site stays small.
+    with_rows=False leaves deal_rows out: counts alone, which stay small however many deals a site has.
     """
     placed = deals.filter("lat is not null and lon is not null")
 
@@ -118,7 +118,7 @@ def sites(deals: DataFrame) -> DataFrame:
     key = F.format_string("s:%.5f,%.5f", "lat", "lon")
     out = placed.groupBy(key.alias("site_id")).agg(
         F.min_by("lat", "source_row").alias("lat"), F.min_by("lon", "source_row").alias("lon"), F.coalesce(*(first(c) for c in have), F.lit("Unnamed location")).alias("label"),
-        F.coalesce(first("city"), F.lit("")).alias("city"), grade.alias("g"), F.count("*").alias("deals"), rows.alias("deal_rows"),
+        F.coalesce(first("city"), F.lit("")).alias("city"), grade.alias("g"), F.count("*").alias("deals"), *([rows.alias("deal_rows")] if with_rows else []),
     )
     return out.withColumn("grade", F.element_at(F.array(*map(F.lit, GRADES)), F.col("g") + 1)).drop("g")
 

@@ -27,11 +27,22 @@ def largest_figures(articles: DataFrame) -> DataFrame:
     return each.groupBy("kind").agg(F.max("value").alias("value"), F.max_by("seq", F.struct("value", -F.col("seq"))).alias("seq"))
 
 
-def digest(articles: DataFrame, judged: DataFrame) -> DataFrame:
-    """One row: stories, busiest category and its count, verdict counts in words."""
-    counts = articles.groupBy("category").agg(F.count("*").alias("n"))
-    busiest = counts.agg(F.sum("n").alias("stories"), F.max_by("category", F.struct("n", "category")).alias("busiest"), F.max("n").alias("busiest_n"))
-    v = judged.agg(*(F.count_if(F.col("verdict") == x).alias(x.replace("-", "_")) for x in ("corroborated", "discrepancy", "single-source")))
-    both = busiest.crossJoin(v)  # one row each
-    line = F.concat_ws(" ", news.spelled_count(F.col("corroborated")), news.plural(F.col("corroborated"), "story"), F.lit("corroborated"))
-    return both.withColumn("line", line)
+def digest(articles: DataFrame, judged: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """One row: stories, busiest category and its count, verdict counts and their line, and as arrays the lead of each category
+    (in ``order``, then by name), the largest figures and the notes of discrepancies (by story).
+
+    ``articles`` are the primaries. Notes are one array of short texts: what outlets differ in, not what they say.
+    """
+    lead = leads(articles)
+    place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("category")), F.lit(0)), F.lit(len(order) + 1)) if order else F.lit(0)
+    busiest = lead.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("stories"), F.max_by("category", F.struct("n", -place, "category")).alias("busiest"), F.max("n").alias("busiest_n"),
+        F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), "category", "n", "lead"))), lambda x: F.struct(x["category"].alias("category"), x["n"].alias("n"), x["lead"].alias("seq"))).alias("leads"),
+    )
+    figures = largest_figures(articles).agg(F.array_sort(F.collect_list(F.struct("kind", "value", "seq"))).alias("figures"))
+    differ = F.col("verdict") == "discrepancy"
+    notes = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(differ, F.struct("cluster_id", "details")))), lambda x: x["details"]))
+    v = judged.agg(*(F.count_if(F.col("verdict") == x).alias(x.replace("-", "_")) for x in ("corroborated", "discrepancy", "single-source")), notes.alias("notes"))
+    both = busiest.crossJoin(figures).crossJoin(v)  # one row each
+    many = F.when(F.col("corroborated") == 1, F.lit("story")).otherwise(F.lit("stories"))
+    return both.withColumn("line", F.concat_ws(" ", news.spelled_count(F.col("corroborated")), many, F.lit("corroborated")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rentwire.functions import cells
+from rentwire.functions import cells, display as show
 from rentwire.operators import filters, shapes, stats
 from rentwire.operators.filters import Filters
 
@@ -248,6 +248,63 @@ def dashboard(spark, sf_dir):
     return rounded(m["totals"].crossJoin(m["kpis"].select("weighted_base_rent", "median_area")).crossJoin(m["signing"].select(F.col("signed_late_count").alias("late"))))
 
 
+_COMMAS = "format('{{:,}}', CAST(floor({0} + 0.5) AS BIGINT))"
+_ONE = "printf('%.1f', floor(({0}) * 10 + 0.5) / 10)"
+_PLAIN = "CASE WHEN floor({0} * 10 + 0.5) % 10 = 0 THEN CAST(CAST(floor({0} * 10 + 0.5) / 10 AS BIGINT) AS VARCHAR) ELSE " + _ONE + " END"
+_CENTS = "CAST(floor(abs({0}) * 100 + 0.5) AS BIGINT)"
+_MONEY = "CASE WHEN {0} < 0 THEN '-$' ELSE '$' END || format('{{:,}}', " + _CENTS + " // 100) || '.' || lpad(CAST(" + _CENTS + " % 100 AS VARCHAR), 2, '0')"
+#: Figures of many sizes, in quarters, so that both engines round the same numbers.
+_FIGURES = "SELECT l_orderkey, l_linenumber, l_partkey, (l_orderkey * 7919 + l_partkey) % 4000000 / 4.0::DOUBLE AS x, (l_orderkey % 700) / 4.0::DOUBLE AS m, CAST(l_partkey % 400 - 200 AS BIGINT) AS d, l_linestatus FROM lineitem"
+
+
+@register(
+    "L26_display",
+    f"""WITH f AS ({_FIGURES}) SELECT l_orderkey, l_linenumber, l_partkey, {_COMMAS.format('x')} || ' SF' AS area, {_MONEY.format('x')} AS money,
+CASE WHEN l_linestatus = 'O' THEN {_MONEY.format('m')} || ' /SF/Mo' WHEN m > 0 AND m < 400 THEN {_MONEY.format('m')} || ' /SF/Yr' ELSE '$' || {_COMMAS.format('m')} END AS rent,
+CASE WHEN m < 12 THEN {_PLAIN.format('m')} || ' mos' ELSE {_ONE.format('m / 12')} || ' yrs' END AS years,
+CASE WHEN floor(m * 10 + 0.5) = 10 THEN '1 mo' WHEN floor(m * 10 + 0.5) < 120 THEN {_PLAIN.format('m')} || ' mos' ELSE {_PLAIN.format('m')} || ' mos (' || {_PLAIN.format('(floor(m * 10 + 0.5) / 10 / 12)')} || ' yrs)' END AS months,
+CASE WHEN x = 0 THEN '0' WHEN x >= 10000 THEN {_COMMAS.format('x / 1000')} || 'K' WHEN x >= 1000 THEN {_ONE.format('x / 1000')} || 'K' WHEN x >= 10 THEN {_COMMAS.format('x')} ELSE {_ONE.format('x')} END AS compact,
+{_ONE.format('m')} || '%' AS percent, CASE WHEN abs(d) < 62 THEN d || ' days' ELSE CASE WHEN d < 0 THEN '-' ELSE '' END || {_ONE.format('abs(d) / 30.44')} || ' mos' END AS lag FROM f""",
+)
+def display_text(spark, sf_dir):
+    f = spark.sql(_FIGURES.replace("FROM lineitem", "FROM {lineitem}").replace("::DOUBLE", "D"), lineitem=table(spark, sf_dir, "lineitem"))
+    x, m = F.col("x"), F.col("m")
+    rate = F.when(F.col("l_linestatus") == "O", F.lit("Monthly")).otherwise(F.lit(""))
+    return f.select(
+        "l_orderkey", "l_linenumber", "l_partkey", show.area(x).alias("area"), show.money(x).alias("money"), show.rent(m, rate).alias("rent"), show.years(m).alias("years"), show.months(m).alias("months"),
+        show.compact(x).alias("compact"), show.percent(m).alias("percent"), show.lag_days(F.col("d")).alias("lag"),
+    )
+
+
+_SIGNED = "SELECT count(execution_date) AS signed, min(execution_date) AS since, max(execution_date) AS until FROM deals"
+_DAY = "strftime({0}, '%b %-d, %Y')"
+
+
+@register(
+    "L52_lines",
+    f"""{D}, k AS ({_KPIS}), s AS ({_SIGNED}) SELECT 'deals' AS id, {_COMMAS.format('deal_count')} AS value, {_COMMAS.format('mapped_count')} || ' on the map' AS note FROM k
+UNION ALL SELECT 'signed', {_COMMAS.format('signed')}, {_DAY.format('since')} || ' to ' || {_DAY.format('until')} FROM s
+UNION ALL SELECT 'selection', {_COMMAS.format('deal_count')} || ' of ' || {_COMMAS.format('deal_count')} || ' deals · ' || date_range_label || ' · ' || {_COMMAS.format('site_count')} || ' mapped locations', {_COMMAS.format('signed')} || ' of ' || {_COMMAS.format('deal_count')} || ' matching deals carry one.' FROM k, s""",
+)
+def lines(spark, sf_dir):
+    from .dashboard import kpi_lines, selection_line
+
+    d = deals(spark, sf_dir)
+    k, s = stats.kpis(d), stats.signing(d)
+    counted = k.select(F.col("deal_count").alias("matching"), F.col("deal_count").alias("total_deals"))
+    told = kpi_lines(k, s).filter("id in ('deals', 'signed')").select("id", "value", "note")
+    return told.unionByName(selection_line(counted, k, s).select(F.lit("selection").alias("id"), F.col("line").alias("value"), F.col("coverage").alias("note")))
+
+
+@register("L33_shape_areas", f"SELECT s_suppkey, round({shapes.RADIUS_M}::DOUBLE * {shapes.RADIUS_M} * radians(0.5) * abs(sin(radians(s_suppkey % 60 + 0.25)) - sin(radians(s_suppkey % 60 - 0.25))), 2) AS area, true AS near FROM supplier")
+def shape_areas(spark, sf_dir):
+    """A square of half a degree around each supplier, and whether a circle's ring has the circle's area but for a hundredth."""
+    y, x, d = F.col("s_suppkey") % 60, -F.col("s_suppkey") % 90, 0.25
+    square = F.array(*(F.struct((y + sy * d).alias("lat"), (x + sx * d).alias("lon")) for sy, sx in ((-1, -1), (-1, 1), (1, 1), (1, -1))))
+    ring = shapes.ring_area(shapes.circle_ring(y.cast("double"), x.cast("double"), F.lit(5000.0)))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", F.round(shapes.ring_area(square), 2).alias("area"), F.abs(ring / (3.141592653589793 * 5000.0**2) - 1).between(0, 0.01).alias("near"))
+
+
 # Cells: numbers, dates and durations are spelled out in several ways and read back; the oracle has the values themselves.
 _SPELL_NUMBER = """SELECT l_orderkey, l_linenumber, l_partkey, k, i, c, CASE k
   WHEN 0 THEN '$' || CAST(i AS VARCHAR(20)) || '.' || lpad(CAST(c AS VARCHAR(20)), 2, '0')

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from rentwire.functions import display as show
 from rentwire.operators import filters, stats
 
 
@@ -28,3 +29,32 @@ def model(deals: DataFrame, chosen: filters.Filters, split_by: str = "lease_type
         "lag_bins": stats.histogram(stats.with_lag(kept), "lag_days", 12),
         "coverage": stats.coverage(kept),
     }
+
+
+def kpi_lines(kpis: DataFrame, signing: DataFrame) -> DataFrame:
+    """place, id, label, value, note: the tiles of the dashboard as text, those of signing last. Both inputs are one row."""
+    c = F.col
+    none, per_sf = F.lit(None).cast("string"), F.lit("/SF")
+    or_dash = lambda x, shown: F.when(c(x).isNull(), F.lit(show.EMPTY)).otherwise(shown)
+    tiles = (
+        ("deals", "Deals", show.number(c("deal_count")), F.concat_ws(" ", show.number(c("mapped_count")), F.lit("on the map"))),
+        ("area", "Total area leased", show.compact(c("total_area")), F.when(c("median_area").isNotNull(), F.concat_ws(" ", F.lit("Median"), show.area(c("median_area"))))),
+        ("rent", "Base rent", or_dash("weighted_base_rent", F.concat_ws(" ", show.money(c("weighted_base_rent")), per_sf)), F.lit("Annual, weighted by area leased")),
+        ("term", "Average term", show.years(c("average_term")), F.when(c("average_term").isNull(), F.lit("No term data")).otherwise(show.short_months(c("average_term")))),
+        ("freeRent", "Average free rent", or_dash("average_free_rent", F.concat(F.format_number(F.round("average_free_rent", 1), 1), F.lit(" mos"))), F.lit("Across deals that report it")),
+        ("ti", "Average TI", or_dash("average_ti", F.concat_ws(" ", show.money(c("average_ti")), per_sf)), F.when(c("average_opex").isNotNull(), F.concat(F.lit("OpEx "), show.money(c("average_opex")), F.lit(" /SF/Yr")))),
+        ("signed", "Deals signed", show.number(c("signed_count")), F.when(c("signed_from").isNotNull(), F.concat_ws(" to ", show.date(c("signed_from")), show.date(c("signed_to")))).otherwise(F.lit("No signed dates mapped"))),
+        ("lag", "Signing to commencement", or_dash("median_lag_days", show.lag_days(c("median_lag_days"))), F.when(c("paired_count") == 0, F.lit("Needs both a signed date and a lease date")).otherwise(F.concat(F.lit("Median across "), show.number(c("paired_count")), F.lit(" deals with both dates")))),
+        ("late", "Signed after commencement", F.when(c("paired_count") == 0, F.lit(show.EMPTY)).otherwise(show.number(c("signed_late_count"))), F.lit("Papered after the tenant took the space")),
+    )
+    rows = [F.struct(F.lit(k).alias("place"), F.lit(i).alias("id"), F.lit(label).alias("label"), value.alias("value"), F.coalesce(note, none).alias("note")) for k, (i, label, value, note) in enumerate(tiles, 1)]
+    return kpis.crossJoin(signing).select(F.inline(F.array(*rows)))
+
+
+def selection_line(totals: DataFrame, kpis: DataFrame, signing: DataFrame) -> DataFrame:
+    """One row: line (how much is selected, its dates and places) and coverage (how many carry a signed date)."""
+    matching, total = (F.format_number(x, 0) for x in ("matching", "total_deals"))
+    sites = F.when(F.col("site_count") > 0, F.concat(F.format_number("site_count", 0), F.lit(" mapped locations")))
+    line = F.concat_ws(" · ", F.concat(matching, F.lit(" of "), total, F.lit(" deals")), "date_range_label", sites)
+    coverage = F.when(F.col("signed_count") == 0, F.lit("No signed dates are mapped in the current selection.")).otherwise(F.concat(F.format_number("signed_count", 0), F.lit(" of "), matching, F.lit(" matching deals carry one.")))
+    return totals.crossJoin(kpis).crossJoin(signing).select(line.alias("line"), coverage.alias("coverage"))

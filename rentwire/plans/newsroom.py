@@ -136,6 +136,12 @@ def source_results(spark, sf_dir):
     return each.groupBy(F.substring_index("origin", "|", 1).alias("origin")).agg(F.every("ok").alias("ok"), F.sum("items").alias("items"))
 
 
+@register("N11_source_totals", "SELECT count(*) AS sources, count(*) FILTER (WHERE ok) AS ok, count(*) FILTER (WHERE NOT ok) AS failed, CAST(sum(CASE WHEN ok THEN n ELSE 0 END) AS BIGINT) AS items, coalesce(list_sort(list(o || ': not a whole feed') FILTER (WHERE NOT ok)), []) AS errors FROM (SELECT doc_id % 7 <> 6 AS ok, (doc_id % 7) || '|' || (doc_id // 3500) AS o, count(*) AS n FROM documents GROUP BY 1, 2)")
+def source_totals(spark, sf_dir):
+    f = _feeds(spark, sf_dir)
+    return items.source_totals(feeds.source_results(f, feeds.parse(f)))
+
+
 @register("N2_atom_entries", f"WITH i AS ({_ITEMS}) SELECT seq, link, published FROM i")
 def atom_entries(spark, sf_dir):
     i = item_table(spark, sf_dir)
@@ -156,7 +162,7 @@ def read_pages(spark, sf_dir):
     return pages.extract(table(spark, sf_dir, "pages").select("url", "html")).select("url", F.length("text").alias("n_chars"), F.size("links").alias("links"), "image")
 
 
-@register("N14_redirects")
+@register("N14_redirects", "SELECT url, url AS target FROM pages")
 def redirects(spark, sf_dir):
     made = table(spark, sf_dir, "pages").select("url", F.concat(F.lit("<a href='https://news.google.com/x'>a</a><a href='"), "url", F.lit("'>b</a>")).alias("html"))
     return pages.extract(made).select("url", pages.redirect_target(F.col("links")).alias("target"))
@@ -270,7 +276,14 @@ def largest_figures(spark, sf_dir):
 @register("N27_digest")
 def digest(spark, sf_dir):
     a = _story_articles(spark, sf_dir)
-    return brief.digest(a, stories.verdicts(a, stories.cluster(a)))
+    clustered = stories.cluster(a)
+    return brief.digest(stories.dedupe(a, clustered), stories.verdicts(a, clustered), ORDER)
+
+
+@register("N10_scan_counts")
+def scan_counts(spark, sf_dir):
+    evaluated = items.evaluate(item_table(spark, sf_dir), V)
+    return items.scan_counts(evaluated, stories.cluster(_story_articles(spark, sf_dir)))
 
 
 @register("N28_ages", "SELECT o_orderkey, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN CASE WHEN m < 10 THEN ['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine'][m] ELSE m || '' END || CASE WHEN m = 1 THEN ' minute ago' ELSE ' minutes ago' END WHEN m < 2880 THEN CASE WHEN m // 60 < 10 THEN ['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine'][m // 60] ELSE (m // 60) || '' END || CASE WHEN m // 60 = 1 THEN ' hour ago' ELSE ' hours ago' END ELSE CASE WHEN m // 1440 < 10 THEN ['one', 'two', 'three', 'four', 'five', 'six', 'seven', 'eight', 'nine'][m // 1440] ELSE (m // 1440) || '' END || CASE WHEN m // 1440 = 1 THEN ' day ago' ELSE ' days ago' END END AS age FROM (SELECT o_orderkey, o_orderkey % 20000 AS m FROM orders)")
@@ -285,15 +298,27 @@ def stamps(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", news.ap_stamp(F.col("ts")).alias("stamp"))
 
 
-@register("N30_incremental_scan", f"WITH {_EVALUATED} SELECT seq, rtrim(split_part(url, '#', 1), '/') AS url_key, category, published FROM evaluated WHERE drop_reason IS NULL")
-def incremental_scan(spark, sf_dir):
-    """The documents' items as a file stream, run to its end into the shared folder."""
+def _scanned(spark, sf_dir, name: str, made, look_back: str = scan.LOOK_BACK):
+    """A file stream of the documents' items, each of them twice, run to its end into the shared folder."""
     folder = shared_folder(spark)
     batch = item_table(spark, sf_dir)
-    batch.write.parquet(f"{folder}/items")
+    batch.unionByName(batch).write.parquet(f"{folder}/items")
     stream = spark.readStream.schema(spark.read.parquet(f"{folder}/items").schema).parquet(f"{folder}/items")
-    scan.run_available(scan.fresh(stream, V).select("seq", "url_key", "category", "published"), f"{folder}/kept", f"{folder}/state")
-    return spark.read.schema("seq long, url_key string, category string, published timestamp").parquet(f"{folder}/kept")
+    out = made(scan.fresh(stream, V, look_back))
+    scan.run_available(out, f"{folder}/{name}", f"{folder}/state")
+    return spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+
+
+@register("N30_incremental_scan", f"WITH {_EVALUATED} SELECT seq, rtrim(split_part(url, '#', 1), '/') AS url_key, category, published FROM evaluated WHERE drop_reason IS NULL")
+def incremental_scan(spark, sf_dir):
+    """Every item comes twice and is kept once."""
+    return _scanned(spark, sf_dir, "kept", lambda kept: kept.select("seq", "url_key", "category", "published"))
+
+
+@register("N30_hourly", f"WITH {_EVALUATED}, kept AS (SELECT * FROM evaluated WHERE drop_reason IS NULL) SELECT date_trunc('hour', published) AS hour, category, count(*) AS n FROM kept WHERE date_trunc('hour', published) + INTERVAL 1 HOUR <= (SELECT max(published) - INTERVAL 2 HOUR FROM kept) GROUP BY ALL")
+def hourly_counts(spark, sf_dir):
+    """The hours that the watermark, two hours behind here, has passed at the end."""
+    return _scanned(spark, sf_dir, "hourly", scan.hourly, "2 hours")
 
 
 # Sheets: a messy sheet for each nation, made of customers.
@@ -323,6 +348,16 @@ def _mapped(spark, sf_dir):
 _SHEETS = "(SELECT DISTINCT 'sheet-' || c_nationkey AS sheet_id FROM customer)"
 
 
+@register("L1_cells", "SELECT CAST(k AS INTEGER) AS col_no, count(*) AS n, CAST(sum(length(v)) AS BIGINT) AS chars FROM (SELECT unnest([c_custkey || '', c_name, 'two' || chr(10) || 'lines, \"quoted\"', NULL, c_mktsegment]) AS v, unnest(range(5)) AS k FROM customer) WHERE v IS NOT NULL GROUP BY 1")
+def read_sheets(spark, sf_dir):
+    """Customers written as delimited files with quoted line breaks and a blank column, read back as cells."""
+    folder = shared_folder(spark)
+    c = table(spark, sf_dir, "customer")
+    c.select(F.col("c_custkey").cast("string"), "c_name", F.lit('two\nlines, "quoted"').alias("t"), F.lit("").alias("blank"), "c_mktsegment").write.csv(folder, quote='"', escape='"', emptyValue="")
+    read = sheets.read_cells(spark, folder)
+    return read.groupBy("col_no").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
+
+
 @register("L2_header_rows", f"SELECT sheet_id, 3 AS row_no FROM {_SHEETS}")
 def header_rows(spark, sf_dir):
     return sheets.header_rows(sheet_cells(spark, sf_dir)).select("sheet_id", "row_no")
@@ -340,11 +375,25 @@ def records(spark, sf_dir):
     return sheets.records(cells, heads, names).select("sheet_id", "source_row", F.col("record")["Tenant"].alias("tenant"), F.col("record")["Area Leased"].alias("area"))
 
 
-@register("L8_header_scores", f"SELECT sheet_id, * EXCLUDE (sheet_id) FROM {_SHEETS}, (VALUES ('Tenant', 'lessee', 1000), ('Property Address', 'address', 995), ('Start Date', 'leaseDate', 1000), ('Area Leased', 'areaLeased', 1000), ('Rate Type', 'rateType', 1000), ('Lease Term (Years)', 'termMonths', 717)) v(header, field, score)")
+def _score_sql() -> str:
+    """Scores of all of _HEADERS against all fields, by the same rule in SQL."""
+    table_of = ", ".join(f"('{f}', {k}, {rank}, '{synonym}', [{', '.join(repr(x) for x in avoid)}]::VARCHAR[])" for k, (f, _, synonyms, avoid) in enumerate(headers.FIELDS) for rank, synonym in enumerate(synonyms))
+    names = ["Tenant", "Property Address", "City", "State", "Start Date", "Lease Term (Years)", "Area Leased", "Base Rent Yearly", "Rate Type", "Notes", "Notes (2)", "Column 12"]
+    noise = ", ".join(repr(x) for x in headers.NOISE)
+    return f"""WITH f(field, field_no, rank, s, avoid) AS (VALUES {table_of}), h(header) AS (VALUES {', '.join(f"('{x}')" for x in names)}),
+n AS (SELECT header, trim(regexp_replace(lower(header), '[^a-z0-9]+', ' ', 'g')) AS h FROM h),
+t AS (SELECT *, string_split(h, ' ') AS ht, string_split(s, ' ') AS st, replace(h, ' ', '') AS hq, replace(s, ' ', '') AS sq, list_filter(string_split(s, ' '), lambda x: NOT list_contains([{noise}], x)) AS mt FROM n, f),
+p AS (SELECT header, field, CASE WHEN h = s OR hq = sq THEN 1000 - 5 * rank END AS exact, CASE WHEN len(list_filter(avoid, lambda x: contains(h, x))) > 0 THEN 0
+  WHEN contains(' ' || h || ' ', ' ' || s || ' ') THEN 600 + 25 * len(st) + 100 * len(st) / len(ht) - 4 * rank
+  WHEN length(sq) >= 4 AND contains(hq, sq) THEN 420 + 120 * length(sq) / length(hq) - 4 * rank
+  WHEN len(mt) >= 2 AND len(list_filter(mt, lambda x: NOT list_contains(ht, x))) = 0 THEN 380 + 20 * len(mt) - 4 * rank ELSE 0 END AS loose FROM t),
+scores AS (SELECT header, field, CAST(coalesce(max(exact), floor(greatest(max(loose), 0) + 0.5)) AS INTEGER) AS score FROM p GROUP BY ALL)
+SELECT sheet_id, header, field, score FROM {_SHEETS}, scores"""
+
+
+@register("L8_header_scores", _score_sql())
 def header_scores(spark, sf_dir):
-    scored = _mapped(spark, sf_dir)[3]
-    wanted = [("Tenant", "lessee"), ("Property Address", "address"), ("Start Date", "leaseDate"), ("Area Leased", "areaLeased"), ("Rate Type", "rateType"), ("Lease Term (Years)", "termMonths")]
-    return scored.filter(F.struct("header", "field").isin([F.struct(F.lit(h), F.lit(f)) for h, f in wanted])).select("sheet_id", "header", "field", "score")
+    return _mapped(spark, sf_dir)[3].select("sheet_id", "header", "field", "score")
 
 
 @register("L9_column_map", f"SELECT sheet_id, * EXCLUDE (sheet_id) FROM {_SHEETS}, (VALUES ('Tenant', 'lessee'), ('Property Address', 'address'), ('City', 'city'), ('State', 'state'), ('Start Date', 'leaseDate'), ('Lease Term (Years)', 'termMonths'), ('Area Leased', 'areaLeased'), ('Base Rent Yearly', 'baseRent'), ('Rate Type', 'rateType'), ('Notes', 'notes')) v(header, field)")
@@ -393,7 +442,7 @@ def export(spark, sf_dir):
     return e.select(F.col("Tenant").alias("tenant"), F.col("Start Date").alias("start_date"), F.col("Latitude").alias("latitude"), F.col("Lease Term").alias("term"))
 
 
-@register("L6_round_trip", "SELECT count(*) AS n, sum(CAST(l_linenumber * 12 AS DOUBLE)) AS months FROM lineitem")
+@register("L6_round_trip", "SELECT count(*) AS n, sum(CAST(l_linenumber * 12 AS DOUBLE)) AS months, 45 AS headers FROM lineitem")
 def round_trip(spark, sf_dir):
     """The export written as CSV and read back through the sheet reader, header matching and normalisation."""
     folder = shared_folder(spark)
@@ -403,7 +452,9 @@ def round_trip(spark, sf_dir):
     made = rows.select(F.lit("export").alias("sheet_id"), F.monotonically_increasing_id().alias("source_row"), F.map_filter(F.map_from_arrays(F.array(*map(F.lit, rows.columns)), F.array(*(f"`{c}`" for c in rows.columns))), lambda k, v: v.isNotNull()).alias("record"))
     mapped = headers.assign(headers.score(spark.createDataFrame([("export", c) for c in rows.columns], "sheet_id string, header string"), headers.field_table(spark)))
     back = normalize.normalize(made, mapped)
-    return back.agg(F.count("*").alias("n"), F.sum("term_months").alias("months"))
+    own = spark.createDataFrame([(header, headers.OF_COLUMN.get(column, headers.camel(column))) for header, column in sheets.EXPORT], "header string, field string")
+    same = mapped.join(own, ["header", "field"]).agg(F.count("*").cast("int").alias("headers"))  # headers that lead back to the field that they came from
+    return back.agg(F.count("*").alias("n"), F.sum("term_months").alias("months")).crossJoin(same)
 
 
 # Places: suppliers as addresses and sites.
@@ -468,6 +519,29 @@ def sites(spark, sf_dir):
     return places.sites(deals(spark, sf_dir)).select("site_id", "deals")
 
 
+_LABELS = "coalesce(min_by(trim(property_name), source_row) FILTER (WHERE trim(property_name) <> ''), min_by(trim(city), source_row) FILTER (WHERE trim(city) <> ''), 'Unnamed location')"
+
+
+@register("L60_site_labels", f"{D}, one AS (SELECT lat, lon, city, source_row, property_name FROM (SELECT *, count(*) OVER (PARTITION BY lat, lon, source_row) AS same FROM deals) WHERE lat IS NOT NULL) SELECT site_id, deals, label_known, grade FROM (SELECT printf('s:%.5f,%.5f', lat, lon) AS site_id, count(*) AS deals, {_LABELS} IS NOT NULL AS label_known, 'approximate' AS grade FROM one GROUP BY 1)")
+def site_labels(spark, sf_dir):
+    """Counts alone, of sites of any size, with a label and a grade."""
+    s = places.sites(deals(spark, sf_dir), with_rows=False)
+    return s.select("site_id", "deals", (F.length("label") > 0).alias("label_known"), "grade")
+
+
+@register("L55_tagged_grades", "SELECT provider, grade, count(*) AS n FROM (SELECT unnest(['photon', 'nominatim']) AS provider, ['rooftop', 'parcel', 'interpolated', 'approximate'][s_suppkey % 4 + 1] AS grade FROM supplier) GROUP BY ALL")
+def tagged_grades(spark, sf_dir):
+    """Responses of two providers whose grade is told by tags."""
+    s = table(spark, sf_dir, "supplier")
+    k = F.col("s_suppkey") % 4
+    tag = lambda *values: F.element_at(F.array(*map(F.lit, values)), (k + 1).cast("int"))
+    key, value = tag("building", "office", "highway", "place"), tag("yes", "company", "residential", "city")
+    photon = F.concat(F.lit('{"features":[{"geometry":{"coordinates":[-97.5,31]},"properties":{"osm_key":"'), key, F.lit('","osm_value":"'), value, F.lit('"}}]}'))
+    nominatim = F.concat(F.lit('[{"lat":"31","lon":"-97.5","class":"'), key, F.lit('","type":"'), value, F.lit('"}]'))
+    both = s.select(F.col("s_suppkey").cast("string").alias("address_key"), F.inline(F.array(F.struct(F.lit("photon").alias("provider"), photon.alias("body")), F.struct(F.lit("nominatim").alias("provider"), nominatim.alias("body")))))
+    return places.parse_responses(both).groupBy("provider", "grade").agg(F.count("*").alias("n"))
+
+
 @register("L61_grades", "SELECT count(*) FILTER (WHERE l_linenumber = 1) AS building_grade, count(*) FILTER (WHERE l_linenumber <> 1) AS unlocated FROM lineitem")
 def grades(spark, sf_dir):
     d = _address_deals(spark, sf_dir).withColumn("geo_precision", F.when(F.col("lat").isNotNull(), F.lit("parcel")).otherwise(F.lit("interpolated")))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from rentwire.operators.tables import numbered
+
 #: Rows looked at for a header, and rows after each that its consistency is judged by.
 HEAD_ROWS, AFTER = 25, 5
 #: Header and field of the export's columns, in order.
@@ -19,17 +21,24 @@ EXPORT = (
 )
 
 
-def read_cells(spark: SparkSession, path: str, sep: str = ",", most_columns: int = 256, encoding: str = "UTF-8") -> DataFrame:
-    """sheet_id (the file), row_no (in file order), col_no, value: every cell as text; quoted cells may hold line breaks.
+def read_cells(spark: SparkSession, path: str, sep: str = ",", columns: int | None = None, encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+    """sheet_id (the file), row_no (in file order), col_no, value: every cell as text; a quote in quotes is doubled.
 
-    The order of rows comes from Spark's file splits, so a row number is its place in the file.
+    columns: of the widest sheet; None counts them in a pass of its own. A row with more is an error and never cut. With
+    multi_line, quoted cells may hold line breaks and a file is one task (and, to be counted, one text of at most 2 GB);
+    without, large files are split. A row number is its place in its file.
     """
-    names = [f"c{k}" for k in range(most_columns)]
-    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path, sep=sep, header=False, multiLine=True, encoding=encoding, mode="PERMISSIVE")
+    if columns is None:
+        bare = F.regexp_replace("value", '"[^"]*+"', "")
+        line = F.explode(F.split(bare, r"\r\n|\r|\n"))
+        lines = spark.read.option("encoding", encoding).text(path, wholetext=multi_line).select(line.alias("value"))
+        columns = 1 + int(lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(sep), F.lit("")))).alias("n")).first().n or 0)
+    names = [f"c{k}" for k in range(columns)]
+    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).csv(path, sep=sep, header=False, multiLine=multi_line, encoding=encoding, quote='"', escape='"', mode="PERMISSIVE", maxColumns=columns)
     rows = rows.select(F.col("_metadata.file_path").alias("sheet_id"), F.monotonically_increasing_id().alias("at"), F.array(*names).alias("cells"))
     first = rows.groupBy("sheet_id").agg(F.min("at").alias("first"))
-    numbered = rows.join(first, "sheet_id").select("sheet_id", (F.col("at") - F.col("first")).alias("row_no"), "cells")
-    return as_cells(numbered)
+    placed = rows.join(first, "sheet_id").select("sheet_id", (F.col("at") - F.col("first")).alias("row_no"), "cells")
+    return as_cells(placed)
 
 
 def as_cells(rows: DataFrame) -> DataFrame:
@@ -44,9 +53,10 @@ def numeric(x: Column) -> Column:
 def header_rows(cells: DataFrame) -> DataFrame:
     """sheet_id, row_no, score: the header row of each sheet, the best of its first rows with at least two filled cells.
 
-    Only the first rows of a sheet are shuffled. Blank rows are not there, so places count filled rows.
+    Blank rows are not there, so places count filled rows. Rows are counted where they lie; of a sheet, only the first
+    filled rows of each task meet.
     """
-    filled = cells.filter(F.col("row_no") < 4 * (HEAD_ROWS + AFTER)).groupBy("sheet_id", "row_no").agg(F.count("*").alias("filled"), F.avg((~numeric(F.col("value"))).cast("double")).alias("text_ratio"))
+    filled = cells.groupBy("sheet_id", "row_no").agg(F.count("*").alias("filled"), F.avg((~numeric(F.col("value"))).cast("double")).alias("text_ratio"))
     rows = W.partitionBy("sheet_id").orderBy("row_no")  # a bounded number of rows a sheet
     placed = filled.withColumn("i", F.row_number().over(rows) - 1).filter(F.col("i") < HEAD_ROWS + AFTER)
     after = placed.withColumn("next", F.collect_list("filled").over(rows.rowsBetween(1, AFTER)))
@@ -70,10 +80,10 @@ def header_names(cells: DataFrame, heads: DataFrame) -> DataFrame:
 
 
 def records(cells: DataFrame, heads: DataFrame, names: DataFrame) -> DataFrame:
-    """sheet_id, source_row (from 1), record (header to value) of the rows below the header row."""
+    """sheet_id, source_row (from 1), record (header to value) of the rows below the header row, as a written table."""
     below = cells.join(heads.select("sheet_id", F.col("row_no").alias("head")), "sheet_id").filter("row_no > head").join(names, ["sheet_id", "col_no"])
     rows = below.groupBy("sheet_id", "row_no").agg(F.map_from_entries(F.collect_list(F.struct("header", "value"))).alias("record"))
-    return rows.withColumn("source_row", F.row_number().over(W.partitionBy("sheet_id").orderBy("row_no"))).select("sheet_id", "source_row", "record")
+    return numbered(rows, "sheet_id", "row_no", "source_row").select("sheet_id", F.col("source_row").cast("int").alias("source_row"), "record")
 
 
 def sheet_errors(cells: DataFrame, heads: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from rentwire.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-FAST = [n for n in ORACLES if n.split("_")[0] in {"L14", "L17", "L20", "L21", "L29", "L32", "L35", "L37", "L39", "L43", "L44", "L46", "L48", "L49", "L50", "L2", "L3", "L9", "L28", "L56", "L58", "L64", "L66", "N1", "N6", "N7", "N19", "N23", "N28"}]
+FAST = [n for n in ORACLES if n.split("_")[0] in {"L14", "L17", "L20", "L21", "L29", "L32", "L35", "L37", "L39", "L43", "L44", "L46", "L48", "L49", "L50", "L1", "L2", "L3", "L4", "L6", "L8", "L9", "L26", "L28", "L33", "L52", "L55", "N11", "N14", "N17", "N30", "L56", "L58", "L64", "L66", "N1", "N6", "N7", "N19", "N23", "N28"}]
 
 
 def norm(v):
