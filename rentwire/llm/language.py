@@ -13,10 +13,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import U, slices, with_fields
+from ._common import U, cut, slices, with_fields
 
 DIMENSIONS = 4096
-#: Labelled rows of a language, about, that its centroids are fitted on (its first rows by hash).
+#: Labelled texts of a language, about, that its centroids are fitted on (distinct ones of a share of its rows, by hash).
 SAMPLE = 800
 CENTROIDS = 3
 ROUNDS = 8
@@ -116,11 +116,9 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     """labelled: text and lang. Rows without text or lang are left out. The model is a few vectors for each language."""
     labelled = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     idf = inverse_frequencies(labelled)
-    counts = labelled.groupBy("lang").count().collect()  # a row for each language
-    share = F.lit(0.0)
-    for lang, n in counts:
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
-    picked = labelled.filter(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(1 << 30)) < share * (1 << 30))
+    shares = cut(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share")))  # a row for each language
+    # Sampling by the text's hash takes all copies of a text or none; they are one row before any vector is made.
+    picked = labelled.withColumn("h", F.xxhash64("text", F.lit(3))).join(shares, "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).dropDuplicates(["lang", "h"])
 
     def vectorise(batches):
         for part in slices(batches, "text", most_bytes=1_000_000, most_rows=256):
@@ -129,7 +127,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
             yield pa.RecordBatch.from_arrays([part.column("lang").filter(some), pa.array([x.tobytes() for x in v[n_letters > 0]], pa.binary())], ["lang", "v"])
 
     def means(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.frombuffer(b, np.float32) for b in sorted(pdf.v)[: 4 * sample]])  # copies of one sampled text come together
+        x = np.stack([np.frombuffer(b, np.float32) for b in sorted(pdf.v)])  # about `sample` rows: distinct texts of a share of the rows
         c = spherical_means(x, k, ROUNDS)
         least = np.quantile((x @ c.T).max(axis=1), 0.001) * SLACK
         return pd.DataFrame({"lang": pdf.lang.iloc[0], "at": range(len(c)), "v": [y.astype(np.float32).tobytes() for y in c], "least": float(least)})
