@@ -1,9 +1,15 @@
 """Token counts under a unigram model, by dynamic programming over a shared trie (operator 8).
 
-Pre-tokens are white-space-separated words with a mark in front. The distinct pre-tokens of a slice of texts form a trie;
-the best score of every prefix is computed once, from the scores of its shorter prefixes and of the piece that ends it,
-depth by depth in numpy, and each terminal node keeps the number of pieces on its best path. Texts add up their words'
-counts. Scores are whole numbers, so ties are exact: the higher score wins, then fewer pieces.
+Pre-tokens are white-space-separated words with a mark in front. The distinct pre-tokens of a slice of texts that a worker
+has not met yet form a trie; the best score of every prefix is computed once, from the scores of its shorter prefixes and of
+the piece that ends it, depth by depth in numpy, and each terminal node keeps the number of pieces on its best path. Behind
+LONG characters few words share a prefix, so a longer word goes on alone from the scores of its node there. Texts add up
+their words' counts.
+
+The vocabulary is a merge vocabulary: its stored scores are the negated ranks of merges (-2 for the first, -31,740 for the
+last), no log-probabilities, and single letters, which merges begin with, rank last. Sums of them would shun every letter and
+mean nothing. So a piece's log-probability is taken from its rank by Zipf's law, in whole thousandths of a nat. Ties are
+exact that way: the higher score wins, then fewer pieces.
 """
 
 from __future__ import annotations
@@ -20,8 +26,12 @@ from ._common import U, keys, mix, slices, with_fields
 from .tokenize import vocabulary_path
 
 MARK = "▁"
-#: Words of more characters are scored alone.
+#: Depth of the trie; the rest of a longer word is scored alone.
 LONG = 48
+#: Distinct words whose counts a worker remembers before it starts afresh; it bounds memory and changes no result.
+MEMO = 800_000
+#: Stands behind the end of shorter words; no character.
+PAD = 0x110000
 #: Score of a byte of a character that no piece holds.
 BYTE = -20_000
 
@@ -43,13 +53,31 @@ class Lookup:
         self.scores = pieces(path)
         self.longest = max(map(len, self.scores))
         self.factor = keys(max(LONG, self.longest) + 2, 21)
-        hashes = np.array([self.hash_of(x) for x in self.scores], U)
+        names, values = list(self.scores), np.array(list(self.scores.values()), np.int64)
+        size = np.array([len(x) for x in names])
+        hashes = np.empty(len(names), U)
+        for n in np.unique(size).tolist():
+            own = np.flatnonzero(size == n)
+            points = np.frombuffer("".join(names[k] for k in own).encode("utf-32-le"), np.uint32).reshape(-1, n)[:, ::-1]
+            hashes[own] = mix(((points.astype(U) + U(1)) * self.factor[:n]).sum(axis=1, dtype=U))
         order = np.argsort(hashes)
-        self.hashes, self.values = hashes[order], np.array(list(self.scores.values()), np.int64)[order]
-
-    def hash_of(self, piece: str) -> int:
-        points = np.array([ord(c) for c in reversed(piece)], U)
-        return int(mix((points * self.factor[: len(points)]).sum(dtype=U)[None])[0])
+        self.hashes, self.values = hashes[order], values[order]
+        self.start()
+
+    def start(self) -> None:
+        self.known, self.counts = pa.array([""], pa.string()), np.zeros(1, np.int64)
+
+    def counted(self, words: pa.Array) -> np.ndarray:
+        """Pieces of each of these distinct words; "" has none."""
+        if len(self.known) > MEMO:
+            self.start()
+        at = pc.index_in(words, value_set=self.known)
+        if at.null_count:
+            new = words.filter(at.is_null())
+            self.counts = np.concatenate([self.counts, count_words([MARK + x for x in new.to_pylist()], self)])
+            self.known = pa.concat_arrays([self.known, new])
+            at = pc.index_in(words, value_set=self.known)
+        return self.counts[at.to_numpy()]
 
     def find(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = mix(sums)
@@ -62,10 +90,9 @@ def lookup(path: str) -> Lookup:
     return Lookup(path)
 
 
-def count_alone(word: str, own: Lookup) -> int:
-    """The same counts for one word."""
-    best: list[tuple[int, int]] = [(0, 0)]
-    for end in range(1, len(word) + 1):
+def go_on(word: str, best: list[tuple[int, int]], own: Lookup) -> int:
+    """Pieces of a word whose prefixes up to len(best) - 1 characters have the given best (score, - pieces)."""
+    for end in range(len(best), len(word) + 1):
         n = len(word[end - 1].encode("utf-8", "surrogatepass"))
         options = [(best[end - 1][0] + BYTE * n, best[end - 1][1] - n)]
         for size in range(1, min(own.longest, end) + 1):
@@ -78,15 +105,13 @@ def count_alone(word: str, own: Lookup) -> int:
 def count_words(words: list[str], own: Lookup) -> np.ndarray:
     """Pieces of each of the distinct words."""
     out = np.zeros(len(words), np.int64)
-    alone = [len(w) > LONG or "\0" in w for w in words]
-    short = sorted((w, k) for k, w in enumerate(words) if not alone[k])
-    for k in np.flatnonzero(alone):
-        out[k] = count_alone(words[k], own)
-    if not short:
+    if not words:
         return out
+    short = sorted((w[:LONG], k) for k, w in enumerate(words))
     size = np.array([len(w) for w, _ in short])
     depth = int(size.max())
-    points = np.frombuffer("".join(w.ljust(depth, "\0") for w, _ in short).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(short), depth)
+    points = np.full((len(short), depth), PAD, np.uint32)
+    points[np.arange(depth) < size[:, None]] = np.frombuffer("".join(w for w, _ in short).encode("utf-32-le", "surrogatepass"), np.uint32)
     fresh = np.ones(points.shape, bool)  # whether a row's prefix differs from the row's before
     fresh[1:] = np.logical_or.accumulate(points[1:] != points[:-1], axis=1)
     fresh &= np.arange(depth) < size[:, None]
@@ -105,7 +130,7 @@ def count_words(words: list[str], own: Lookup) -> np.ndarray:
         best, fewest = s + BYTE * n, c + n
         sums = np.zeros(len(row), U)
         for length in range(1, min(own.longest, d) + 1):
-            sums = sums + points[row, d - length].astype(U) * own.factor[length - 1]
+            sums = sums + (points[row, d - length].astype(U) + U(1)) * own.factor[length - 1]
             known, value = own.find(sums)
             if known.any():
                 s, c = above(length)
@@ -117,6 +142,10 @@ def count_words(words: list[str], own: Lookup) -> np.ndarray:
     for d in range(1, depth + 1):
         ends = np.flatnonzero(size == d)
         out[[short[k][1] for k in ends]] = count[d][node[ends, d - 1]]
+    for k in np.flatnonzero(size == LONG):
+        if len(words[short[k][1]]) > LONG:
+            at = [0, *node[k].tolist()]
+            out[short[k][1]] = go_on(words[short[k][1]], [(int(score[d][at[d]]), -int(count[d][at[d]])) for d in range(LONG + 1)], own)
     return out
 
 
@@ -137,9 +166,8 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
             parts = pc.split_pattern(plain, " ")
             text = np.repeat(np.arange(len(plain)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
             coded = parts.flatten().dictionary_encode()
-            names = coded.dictionary.to_pylist()
-            each = count_words([MARK + x if x else "" for x in names], own)
-            real = np.array([x != "" for x in names], bool)
+            each = own.counted(coded.dictionary)
+            real = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
             at = coded.indices.to_numpy()
             n = np.bincount(text, real[at], len(plain)).astype(np.int64)
             tokens = np.bincount(text, each[at], len(plain)).astype(np.int64)

@@ -153,9 +153,28 @@ def test_top_k(spark):
         assert [got[q][k + 1] for k in range(10)] == [(-s, k) for s, k in want]
     assert set(got) == set(range(0, 700, 100))
     assert pivot_search.top_k(df.limit(0), F.lit(True)).count() == 0
+    twice = spark.createDataFrame([(0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [3.0, 0.0])], "vec_id long, embedding array<float>")
+    assert sorted((r["rank"], r.vec_id, r.score) for r in pivot_search.top_k(twice, F.col("vec_id") == 0).collect()) == [(1, 1, 3 << 20), (1, 1, 6 << 20), (2, 0, 2 << 20), (2, 0, 2 << 20)]
     assert pivot_search.top_k(df.filter("vec_id < 4"), F.col("vec_id") == 0).count() == 3
 
 
+def test_bounds_spare_blocks_of_clustered_vectors(spark):
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(40, 16)) * 3
+    x = (centres[r.integers(0, 40, 12_000)] + r.normal(size=(12_000, 16)) * 0.05) * r.uniform(0.5, 1.5, 12_000)[:, None]
+    df = pivot_search.cut(pivot_search.integers(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>"), 1024))
+    s = pivot_search.space(df, 64)
+    blocks = pivot_search.build_index(df, s).toPandas()
+    m = np.floor(x * 1024)
+    q = m[::200]
+    d, kth = s.distances(s.lifted(q, query=True)), np.sort(q @ m.T, axis=1)[:, -11]
+    reach = np.sqrt((q * q).sum(axis=1) + s.most - 2 * kth)
+    to = d[:, blocks["pivot"].to_numpy()]
+    near = np.maximum(to - blocks.high.to_numpy(), blocks.low.to_numpy() - to) <= reach[:, None] + s.slack
+    large = np.sqrt((q * q).sum(axis=1))[:, None] * blocks.norm.to_numpy() >= kth[:, None]
+    assert (near & large).mean() < 0.6 and (near & large).mean() < near.mean()
+
+
 def test_licenses(spark):
     mit = dict(license_digest.KNOWN)["MIT"]
     rows = [*ODD, "Copyright (c) 2020 A\n" + license_digest.KNOWN[0][1].upper(), "text\nReleased under the MIT licence.\nmore\nLicensed under CC BY-NC 4.0", "Released under the MIT License. And more"]
@@ -210,14 +229,31 @@ def test_token_files(spark):
     assert arrow_tokens.store_and_read(table(spark, ["a"]).limit(0)).count() == 0
 
 
+def plain_pieces(word, scores, byte=-20_000):
+    """The number of pieces of the best cut of a word, from all cuts of its rest, right to left."""
+    rest = [(0, 0)]  # best (score, - pieces) of the last 0, 1, ... characters
+    for n in range(1, len(word) + 1):
+        own = word[len(word) - n :]
+        size = len(own[0].encode("utf-8", "surrogatepass"))
+        cuts = [(rest[n - 1][0] + byte * size, rest[n - 1][1] - size)]
+        cuts += [(rest[n - k][0] + scores[own[:k]], rest[n - k][1] - 1) for k in range(1, n + 1) if own[:k] in scores]
+        rest.append(max(cuts))
+    return -rest[-1][1]
+
+
 def test_token_counts(spark):
-    rows = texts(20)
-    own = trie_counts.lookup(vocabulary_path("piece_bpe_32k.model"))
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path("piece_bpe_32k.model"))
+    own = [sp.id_to_piece(k) for k in range(sp.get_piece_size()) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k))]
+    scores = {x: -round(1000 * np.log((k + 2) * np.log(len(own) + 2))) for k, x in enumerate(own)}
+    long = "antidisestablishmentarianism" * 4
+    rows = [*texts(20), long, f"{long}x {long}y {long[:47]} {long[:48]} {long[:49]}", "a\0 a a\0b", "é" * 60 + "😀"]
     got = {r.doc_id: (r.n_pretokens, r.n_tokens) for r in trie_counts.count_tokens(table(spark, rows)).collect()}
     for k, t in enumerate(rows):
-        w = re.split(r"[\t-\r \xa0  -     　]+", t or "")
-        w = [x for x in w if x]
-        assert got[k] == (len(w), sum(trie_counts.count_alone(trie_counts.MARK + x, own) for x in w)), t
+        w = [x for x in re.split(r"[\t-\r \xa0\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", t or "") if x]
+        each = {x: plain_pieces(trie_counts.MARK + x, scores) for x in set(w)}
+        assert got[k] == (len(w), sum(each[x] for x in w)), t
 
 
 def test_packing(spark):
