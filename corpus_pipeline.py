@@ -13,14 +13,20 @@ from rentwire.llm._common import cut, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts that are too far from every language; fills a missing lang."""
+    """Drops texts that are too far from every language, null and letterless ones with them; fills a missing lang.
+
+    Rows are judged by their text alone: rows that repeat and rows without doc_id are kept or dropped each. An empty table stays empty.
+    """
     known = language.identify(docs, language.fit(docs))
     lang = F.coalesce("lang", "lang_pred")
     return known.filter(~F.col("rejected")).withColumn("lang", lang).select(docs.columns)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (five-word shingles, 0.8): the one with the smallest doc_id."""
+    """Keeps one document of each group of near duplicates (five-word shingles, 0.8): the one with the smallest doc_id.
+
+    Rows without doc_id come after all others; of rows that repeat a doc_id and its text one stays. Texts without words stay.
+    """
     kept = near_duplicates.groups(docs).filter("kept").select(F.col("doc_id").alias("kept_doc"), F.col("text_hash").alias("kept_hash")).distinct()
     once = docs.dropDuplicates(["doc_id", "text"]) if near_duplicates.repeats_ids(docs) else docs
     same = F.col("doc_id").eqNullSafe(F.col("kept_doc")) & (F.xxhash64("text") == F.col("kept_hash"))
@@ -28,18 +34,18 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a twentieth of their words or more in benchmark passages."""
+    """Drops documents with a twentieth of their words or more in benchmark passages; rows that repeat go or stay together, an empty benchmark drops none."""
     found = wu_manber.search_benchmark(docs, table(spark, sf_dir, "benchmark"))
     return found.filter(~wu_manber.contaminated()).select(docs.columns)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks personal data in the texts."""
+    """Masks personal data in the texts; every row stays, a null text null."""
     return private_data.mask(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents' tokens into sequences of 2048."""
+    """Packs the documents' tokens into sequences of 2048. Rows that repeat are packed as often as they come, a null doc_id stays null, a null text is an end token."""
     return best_fit.pack(docs)
 
 
