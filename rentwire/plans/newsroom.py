@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from rentwire.functions import news
 from rentwire.operators import headers, items, normalize, pages, places, stories
 from rentwire.operators.items import Vocabulary
-from rentwire.operators.tables import shared_folder
+from rentwire.operators.tables import cut, shared_folder
 from rentwire.sources import feeds, sheets
 from rentwire.streaming import scan
 
@@ -338,9 +338,10 @@ def sheet_cells(spark, sf_dir):
 
 
 def _mapped(spark, sf_dir):
-    cells = sheet_cells(spark, sf_dir)
-    heads = sheets.header_rows(cells)
-    names = sheets.header_names(cells, heads)
+    """Cells, header rows, names, scores and the column map; what later steps read more than once is written."""
+    cells = cut(sheet_cells(spark, sf_dir))
+    heads = cut(sheets.header_rows(cells))
+    names = cut(sheets.header_names(cells, heads))
     scored = headers.score(names.select("sheet_id", "header"), headers.field_table(spark))
     return cells, heads, names, scored, headers.assign(scored)
 
@@ -422,7 +423,7 @@ def previews(spark, sf_dir):
 
 def _normalized(spark, sf_dir):
     cells, heads, names, _, mapped = _mapped(spark, sf_dir)
-    return normalize.normalize(sheets.records(cells, heads, names), mapped)
+    return normalize.normalize(sheets.records(cells, heads, names), cut(mapped))
 
 
 @register("L27_term_units", f"SELECT sheet_id, true AS in_years FROM {_SHEETS}")
