@@ -15,10 +15,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a worker remembers before it starts afresh; it bounds memory and changes no result.
-MEMO = 1_500_000
+from ._common import gathered
+
+#: Chunks that a worker remembers before it forgets those that came once; it bounds memory and changes no result.
+MEMO = 600_000
 #: Bytes of text that are looked up together.
-SLICE = 4_000_000
+SLICE = 2_500_000
 #: A text of this kind has a run of white space, or white space other than a space and a line feed, or some at an end, or U+0000.
 ODD = "^\\s|\\s$|\\s\\s|[^\\S \\n]|[\\x00\\x1c-\\x1f\\x85\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 _MADE: dict[tuple[str, bool], Encoder] = {}
@@ -44,12 +46,22 @@ class Encoder:
         self.mark = "|" if drops_space else "\n"
         (self.mark_id,) = self.whole([self.mark])[0]
         self.size = self.tokenizer.get_vocab_size()
-        self.forget()
+        self.start()
 
-    def forget(self) -> None:
+    def start(self) -> None:
         self.known = pa.array([""], pa.string())  # a chunk's place in it is its slot
         self.pool, self.pool_n = np.empty(1 << 16, np.uint32), 0
-        self.at, self.n = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.at, self.n, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def forget(self) -> None:
+        """Keeps the chunks that came more than once, or none if those are too many."""
+        kept = np.flatnonzero(self.used > 1)
+        kept = kept[kept > 0]  # slot 0 is the empty chunk
+        known, n, ids = self.known.take(pa.array(kept)), self.n[kept], self.pool[gathered(self.at[kept], self.n[kept])]
+        self.start()
+        if len(kept) < MEMO // 2:
+            self.keep(known, ids, n)
+        pa.default_memory_pool().release_unused()
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -80,6 +92,7 @@ class Encoder:
         self.pool[self.pool_n : self.pool_n + len(ids)] = ids
         self.at = np.concatenate([self.at, self.pool_n + np.cumsum(counts) - counts])
         self.n = np.concatenate([self.n, counts])
+        self.used = np.concatenate([self.used, np.zeros(len(counts), np.int64)])
         self.pool_n += len(ids)
         self.known = pa.concat_arrays([self.known, chunks])
 
@@ -101,10 +114,10 @@ class Encoder:
             self.learn(coded.dictionary.filter(slot_of.is_null()))
             slot_of = pc.index_in(coded.dictionary, value_set=self.known)
         slots = slot_of.to_numpy().astype(np.int64)[coded.indices.to_numpy()]
+        self.used += np.bincount(slots, minlength=len(self.used))
         each = self.n[slots]
-        total = int(each.sum())
         ends = np.cumsum(each)
-        ids = self.pool[np.repeat(self.at[slots] - (ends - each), each) + np.arange(total)]
+        ids = self.pool[gathered(self.at[slots], each)]
         text_ends = np.concatenate([[0], ends])[np.cumsum(sizes)]
         counts = np.diff(np.concatenate([[0], text_ends]))
         if odd.any():
