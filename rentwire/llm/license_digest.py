@@ -92,14 +92,24 @@ def digests(spark: SparkSession, known) -> DataFrame:
     return spark.createDataFrame(rows, "digest string, license string")
 
 
-def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def texts_of(spark: SparkSession, folder: str) -> DataFrame:
+    """license (the file's name without its ending) and text of a folder of licence files, for scan()."""
+    name = F.regexp_replace(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), r"\.[A-Za-z]+$", "")
+    return spark.read.text(folder, wholetext=True).select(name.alias("license"), F.col("value").alias("text"))
+
+
+def scan(docs: DataFrame, known: tuple[tuple[str, str], ...] = KNOWN, more: DataFrame | None = None) -> DataFrame:
     """doc_id, whole_license, n_notices, licenses: a row for each row of ``docs`` (doc_id, text; other columns play no part).
 
     whole_license: the licence whose text the whole document is, else null. n_notices: lines that are a known text.
     licenses: names of both, distinct, sorted, comma-joined; empty for none. A null, empty or blank text has none;
     rows that repeat have the same result each; an empty table gives no rows. ``known`` is broadcast: it is code, not data.
+    more: further known texts (license, text), a table of any size, of which Spark sees how to join it; null texts know nothing.
     """
     table = F.broadcast(digests(docs.sparkSession, known))
+    if more is not None:
+        own = more.filter(F.length("text") > 0).select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license").join(table, "digest", "left_anti")
+        table = cut(digests(docs.sparkSession, known).unionByName(own.groupBy("digest").agg(F.min("license").alias("license"))))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     # Every text and line is digested: a canonical form has no bound on what it leaves out.
     lines = source.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("at", "line")).filter(F.length("line") > 0)

@@ -79,6 +79,11 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The registers of the union of two sets."""
+    return np.maximum(a, b)
+
+
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Maximum-likelihood Jaccard similarity of pairs of sketches with known set sizes (rows are pairs)."""
     up, down = (a > b).sum(axis=1), (a < b).sum(axis=1)

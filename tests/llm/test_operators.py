@@ -63,6 +63,16 @@ def test_near_duplicates(spark, monkeypatch, width, pairwise):
     assert got == components(rows, width)
 
 
+def test_registers_merge_and_estimate():
+    r = np.random.default_rng(2)
+    u = np.unique(r.integers(0, 2**63, 600).astype(np.uint64))
+    a, b = u[:500], u[100:]
+    ra, rb, both = near_duplicates.registers([a, b, u])
+    assert (near_duplicates.merged(ra, rb) == both).all()
+    near = near_duplicates.estimate(ra[None], rb[None], np.array([500.0]), np.array([500.0]))[0]
+    assert abs(near - 400 / 600) < 0.12
+
+
 def test_near_duplicates_of_an_empty_table(spark):
     assert near_duplicates.groups(table(spark, ["a"]).limit(0)).count() == 0
 
