@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rentwire.functions import news
 
@@ -25,30 +27,52 @@ def prepared(articles: DataFrame, orgs: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+def evidence(orgs: Column, facts: Column) -> Column:
+    """Keys of what an article names and counts: two articles share one if they share an organization or have figures of a kind within two percent.
+
+    Figures fall into steps of a little over two percent; each has the keys of its step and of the next.
+    """
+    keys = [F.transform(orgs, lambda o: F.concat(F.lit("org:"), o))]
+    for kind in ("money", "headcount", "sqft"):
+        step = lambda v: F.floor(F.log(v.cast("double")) / math.log(1.0205))
+        keys.append(F.flatten(F.transform(facts[kind], lambda v, kind=kind: F.array(*(F.concat(F.lit(f"{kind}:"), (step(v) + k).cast("string")) for k in (0, 1))))))
+    return F.array_distinct(F.concat(*keys))
+
+
 def candidate_links(p: DataFrame) -> DataFrame:
     """x, y: pairs that the greedy rule could ever join, so that components of them can be clustered apart.
 
-    Equal url keys and equal titles are chained to the smallest seq (a star, not a clique). Token pairs meet on the rarest
-    tokens of each title (a prefix long enough that titles of Jaccard 0.45 or more share one), one title a set of tokens.
+    Equal url keys, titles and token sets are chained to the smallest seq (a star, not a clique). Titles of Jaccard 0.8 or more
+    meet on the rarest of their tokens (a prefix long enough that they share one). Less like ones can only join with
+    evidence, so they meet on a token of a longer prefix together with a key of their evidence, one of each token set and key.
     """
+
     def star(key: str) -> DataFrame:
         keyed = p.filter(F.col(key) != "")
         hub = keyed.groupBy("scan_id", key).agg(F.min("seq").alias("x"), F.count("*").alias("n")).filter("n > 1").select("scan_id", key, "x")
         return keyed.select("scan_id", key, F.col("seq").alias("y")).join(hub, ["scan_id", key]).filter("x <> y").select("x", "y")
 
-    titles = p.filter(F.size("tokens") > 0).groupBy("scan_id", F.array_sort("tokens").alias("tokens")).agg(F.min("seq").alias("seq"))
-    members = p.filter(F.size("tokens") > 0).select("scan_id", F.array_sort("tokens").alias("tokens"), F.col("seq").alias("y")).join(titles.withColumnRenamed("seq", "x"), ["scan_id", "tokens"]).filter("x <> y").select("x", "y")
-    titles = cut(titles.withColumn("n", F.size("tokens")))
-    words = titles.select("scan_id", "seq", "n", F.explode("tokens").alias("t"))
+    worded = p.filter(F.size("tokens") > 0).withColumn("tokens", F.array_sort("tokens"))
+    titles = cut(worded.groupBy("scan_id", "tokens").agg(F.min("seq").alias("title")).withColumn("n", F.size("tokens")))
+    members = worded.select("scan_id", "tokens", F.col("seq").alias("y")).join(titles.select("scan_id", "tokens", F.col("title").alias("x")), ["scan_id", "tokens"]).filter("x <> y").select("x", "y")
+    words = titles.select("scan_id", "title", "n", F.explode("tokens").alias("t"))
     often = words.groupBy("scan_id", "t").agg(F.count("*").alias("df"))
-    ranked = words.join(often, ["scan_id", "t"]).groupBy("scan_id", "seq", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda s: s["t"]).alias("ts"))
-    prefix = ranked.select("scan_id", "seq", "n", F.explode(F.slice("ts", F.lit(1), (F.col("n") - F.ceil(F.col("n") * LOOSE) + 1).cast("int"))).alias("t"))
-    other = prefix.select("scan_id", "t", F.col("seq").alias("y"), F.col("n").alias("m"))
-    met = prefix.join(other, ["scan_id", "t"]).filter((F.col("seq") < F.col("y")) & (F.least("n", "m") >= F.greatest("n", "m") * LOOSE)).select(F.col("seq").alias("x"), "y").distinct()
-    sides = [titles.select(F.col("seq").alias(c), F.col("tokens").alias(f"t{c}")) for c in "xy"]
-    both = F.size(F.array_intersect("tx", "ty"))
-    near = met.join(sides[0], "x").join(sides[1], "y").filter(both >= LOOSE * (F.size("tx") + F.size("ty") - both)).select("x", "y")
-    return star("url_key").unionByName(star("norm")).unionByName(members).unionByName(near).distinct()
+    ranked = cut(words.join(often, ["scan_id", "t"]).groupBy("scan_id", "title", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda s: s["t"]).alias("ts")))
+
+    def met(rows: DataFrame, share: float, *keys: str) -> DataFrame:
+        """Pairs of rows (seq, title, n, ts) that share the keys and a token of their prefixes and are alike enough by size."""
+        prefix = rows.withColumn("t", F.explode(F.slice("ts", F.lit(1), (F.col("n") - F.ceil(F.col("n") * share) + 1).cast("int")))).drop("ts")
+        other = prefix.select(*keys, "t", F.col("seq").alias("y"), F.col("title").alias("other"), F.col("n").alias("m"))
+        pairs = prefix.join(other, [*keys, "t"]).filter((F.col("title") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * share)).select(F.col("seq").alias("x"), "y", "title", "other").distinct()
+        sides = [titles.select(F.col("title").alias(c), F.col("tokens").alias(f"t_{c}")) for c in ("title", "other")]
+        both = F.size(F.array_intersect("t_title", "t_other"))
+        return pairs.join(sides[0], "title").join(sides[1], "other").filter(both >= share * (F.size("t_title") + F.size("t_other") - both)).select("x", "y")
+
+    near = met(ranked.withColumn("seq", F.col("title")), NEAR, "scan_id")
+    proven = worded.select("scan_id", "tokens", "seq", F.explode(evidence(F.col("orgs"), F.col("facts"))).alias("evidence")).groupBy("scan_id", "tokens", "evidence").agg(F.min("seq").alias("seq"))
+    proven = proven.join(titles.select("scan_id", "tokens", "title"), ["scan_id", "tokens"]).drop("tokens").join(ranked, ["scan_id", "title"])
+    loose = met(proven, LOOSE, "scan_id", "evidence")
+    return star("url_key").unionByName(star("norm")).unionByName(members).unionByName(near).unionByName(loose).distinct()
 
 
 def replay(members: pd.DataFrame) -> pd.DataFrame:

@@ -100,3 +100,36 @@ def test_scan_drops_repeats_and_late_items(spark, tmp_path):
         stream = spark.readStream.schema(kind).parquet(str(tmp_path / "flat"))
         scan.run_available(scan.fresh(stream, v).select("url_key", "published"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted(r.url_key[-1] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b", "d", "e", "g"]
+
+
+def greedy(rows, orgs):
+    """The clustering rule over all articles in plain Python: (seq, title, summary, source, url, score, money in millions, organizations)."""
+    out, clusters = {}, []
+    for seq, title, _, source, url, _, money, named in sorted(rows, key=lambda a: (-a[5], a[0])):
+        tokens, key = set(title.lower().split()), url.split("#")[0].rstrip("/")
+        for c in clusters:
+            like = len(tokens & c["tokens"]) / len(tokens | c["tokens"])
+            proof = bool(named & c["orgs"]) or (money and c["money"] and abs(money - c["money"]) <= 0.02 * max(money, c["money"]))
+            if key in c["urls"] or title.lower() in c["norms"] or like >= 0.8 or (like >= 0.45 and proof):
+                out[seq] = (c["id"], "duplicate" if source in c["sources"] else "corroborator")
+                c["sources"].add(source), c["urls"].add(key), c["norms"].add(title.lower())
+                break
+        else:
+            clusters.append({"id": seq, "tokens": tokens, "money": money, "orgs": named, "urls": {key}, "norms": {title.lower()}, "sources": {source}})
+            out[seq] = (seq, "primary")
+    return out
+
+
+def test_clusters_with_evidence_equal_the_greedy_rule(spark):
+    import random
+
+    r = random.Random(9)
+    words, orgs = "clinic opens tower strike grant lab county doctors city bridge".split(), ("mercy", "unity")
+    rows = []
+    for k in range(150):
+        money, named = r.choice((0, 100, 101, 103, 150)), {o for o in orgs if r.random() < 0.15}
+        title = " ".join(r.sample(words, r.randint(3, 6)))
+        rows.append((k, title, f"It costs ${money} million." if money else "", f"s{r.randint(0, 3)}", f"https://x.example.com/{r.randint(0, 400)}", r.randint(0, 9), money, named))
+    df = spark.createDataFrame([(*x[:6], sorted(x[7])) for x in rows], "seq long, title string, summary string, source string, url string, score int, topic_hits array<string>").withColumn("published", F.lit("2024-01-01").cast("timestamp"))
+    got = {x.seq: (x.cluster_id, x.role) for x in stories.cluster(df.repartition(5), orgs).collect()}
+    assert got == greedy(rows, orgs)
