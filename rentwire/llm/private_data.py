@@ -1,16 +1,19 @@
 """Personal data by bootstrapped contextual extraction (operator 2), in DataFrame functions alone.
 
 Regular expressions find base spans of four kinds. Each is a seed instance; tokens that look like identifiers (they hold
-a digit) and lie in no base span are further instances. The words around an instance are its lexical patterns. In each round a pattern's
-confidence is the mean score of its distinct instances, and an instance's score is the confidence of its best trusted
-pattern; trusted patterns of the last round add the spans of the identifiers that they stand beside.
+a digit) and lie in no base span are further instances, and those with the shape of a known kind of secret are seeds too. The
+words around an instance are its lexical patterns. In each round a pattern's confidence is the mean score of its distinct
+instances, and an instance's score is the confidence of its best trusted pattern. A pattern is trusted if it has support and
+confidence and if its words, wherever they occur in the corpus, stand beside an instance often enough: "token =" may be,
+"and the" is not. Trusted patterns of the last round add the spans of the identifiers that they stand beside, secrets
+included: a shape alone adds no span.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ._common import cut
+from ._common import cut, discard
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kind of added spans.
@@ -26,11 +29,21 @@ PATTERNS = {
 #: What a text holds at least if it has a match.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][ -]?[0-9][ -]?[0-9]", "phone": r"\+[0-9]"}
 PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-IDENTIFIER = r"(?<!\S)(?=\S{6})[^\s0-9]*+[0-9]\S*+"
+#: Characters that end an identifier besides white space, as in token="..." or (no. 12345).
+ENDS = r"\s\"'`=<>(){}\[\],;|"
+IDENTIFIER = rf"(?<![^{ENDS}])(?=[^{ENDS}]{{6}})[^{ENDS}0-9]*+[0-9][^{ENDS}]*+"
+#: Shapes of secrets: hexadecimal digests and keys, and published forms of access keys and tokens.
+SECRETS = (
+    "(?=[0-9]*+[a-f])(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{64})", "A(?:KIA|SIA)[0-9A-Z]{16}", "gh[opsu]_[A-Za-z0-9]{36}", "xox[abprs]-[A-Za-z0-9-]{10,}",
+    "[sr]k_(?:live|test)_[A-Za-z0-9]{16,}", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "AIza[A-Za-z0-9_-]{35}",
+)
+SECRET = f"^(?:{'|'.join(SECRETS)})$"
 #: Characters of an identifier without the punctuation around it, and of its contexts.
 LEAST, LEFT, RIGHT = 6, 60, 40
 ROUNDS = 3
 SUPPORT, CONFIDENCE = 3.0, 0.75
+#: Least share of the occurrences of a pattern's rarest word that stand beside an instance.
+SPECIFIC = 0.1
 STRETCH = 256
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 SEED = "array<struct<start:int,kind:int,end:int,instance:bigint>>"
@@ -106,8 +119,9 @@ def overlaps(spans: Column, start: Column, end: Column) -> Column:
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words of a context, digits as 0."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[0-9]", "0"), r"\s+"), lambda w: w != "")
+    """Lower-cased words of a context without the punctuation around them, digits as 0."""
+    plain = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]", "0"), r"[^\s\p{L}\p{M}\p{N}]++(?=\s|$)|(?<=^|\s)[^\s\p{L}\p{M}\p{N}]++", " ")
+    return F.filter(F.split(plain, r"\s+"), lambda w: w != "")
 
 
 def before(pieces: Column, at: Column) -> Column:
@@ -128,26 +142,25 @@ def after(pieces: Column, at: Column) -> Column:
 def read_spans(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, base and the instances of each row (text null: empty): its base spans, and the identifiers outside them."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    core = r"[\p{L}\p{N}](?:\S*[\p{L}\p{N}])?"
+    core = r"[\p{L}\p{N}](?:.*[\p{L}\p{N}])?"
     some = F.filter(found(F.col("text"), IDENTIFIER), lambda x: F.length(F.regexp_extract(x["m"], core, 0)) >= LEAST)
 
     def token(x: Column) -> Column:
         inner = F.regexp_extract(x["m"], core, 0)
         start = x["start"] + F.instr(x["m"], F.substring(inner, 1, 1000)) - 1
-        return F.struct(start.cast("int").alias("start"), (start + F.length(inner)).cast("int").alias("end"), F.xxhash64(F.lower(inner)).alias("instance"), F.lit(False).alias("seed"))
+        return F.struct(start.cast("int").alias("start"), (start + F.length(inner)).cast("int").alias("end"), F.xxhash64(F.lower(inner)).alias("instance"), inner.rlike(SECRET).alias("seed"), F.lit(False).alias("base"))
 
     def seed(x: Column) -> Column:
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["instance"].alias("instance"), F.lit(True).alias("seed"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["instance"].alias("instance"), F.lit(True).alias("seed"), F.lit(True).alias("base"))
 
-    def instance(x: Column) -> Column:  # punctuation next to an instance is no word of its context
-        left = words(F.regexp_replace(before(F.col("pieces"), x["start"]), r"[^\s\p{L}\p{N}]+$", ""))
-        right = words(F.regexp_replace(after(F.col("pieces"), x["end"]), r"^[^\s\p{L}\p{N}]+", ""))
+    def instance(x: Column) -> Column:
+        left, right = words(before(F.col("pieces"), x["start"])), words(after(F.col("pieces"), x["end"]))
         two = F.array_join(F.slice(left, -2, 2), " ")
         patterns = F.array(F.concat(F.lit("<"), F.try_element_at(left, F.lit(-1))), F.when(F.size(left) > 1, F.concat(F.lit("<"), two)), F.concat(F.lit(">"), F.try_element_at(right, F.lit(1))))
-        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["instance"].alias("instance"), F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"), x["seed"].alias("seed"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["instance"].alias("instance"), F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"), x["seed"].alias("seed"), x["base"].alias("known"))
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,instance:bigint,seed:boolean>>)")
+    none = F.expr("cast(array() as array<struct<start:int,end:int,instance:bigint,seed:boolean,base:boolean>>)")
     tokens = F.when(F.col("text").rlike("[0-9]"), F.transform(some, token)).otherwise(none)
     read = source.select("doc_id", "text", seeds(F.col("text")).alias("seeds"), tokens.alias("tokens"))
     outside = F.filter("tokens", lambda x: ~overlaps(F.col("seeds"), x["start"], x["end"]))
@@ -158,18 +171,28 @@ def read_spans(docs: DataFrame) -> DataFrame:
     return read.select("doc_id", "text_hash", base.alias("base"), F.transform("instances", instance).alias("instances"))
 
 
-def discover(read: DataFrame) -> DataFrame:
+def specific(occurrences: DataFrame, graph: DataFrame, docs: DataFrame, made: list[str]) -> DataFrame:
+    """The patterns that may be trusted: SUPPORT distinct instances or more, and words that are SPECIFIC for them."""
+    beside = occurrences.select(F.explode("patterns").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("beside"))
+    asked = graph.groupBy("pattern").count().filter(F.col("count") >= SUPPORT).join(beside, "pattern").select("pattern", "beside", F.explode(F.split(F.substring("pattern", 2, 1000), " ")).alias("word"))
+    asked = cut(asked, made)
+    spoken = docs.select(F.explode(words(F.col("text").cast("string"))).alias("word")).join(cut(asked.select("word").distinct(), made), "word", "left_semi")
+    counts = spoken.groupBy("word").count()
+    return cut(asked.join(counts, "word").groupBy("pattern").agg(F.min("count").alias("n"), F.first("beside").alias("beside")).filter(F.col("beside") >= F.col("n") * SPECIFIC).select("pattern"), made)
+
+
+def discover(read: DataFrame, docs: DataFrame, made: list[str]) -> DataFrame:
     """doc_id, text_hash, added: the spans that trusted patterns add (only rows that have any)."""
-    occurrences = cut(read.select("doc_id", "text_hash", F.inline("instances")))
-    graph = cut(occurrences.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")))
-    score = F.col("seed")
-    scored = graph.withColumn("score", score)
+    occurrences = cut(read.select("doc_id", "text_hash", F.inline("instances")), made)
+    graph = cut(occurrences.select(F.explode("patterns").alias("pattern"), "instance", "seed").groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")), made)
+    graph = cut(graph.join(specific(occurrences, graph, docs, made), "pattern", "left_semi"), made)
+    scored = graph.withColumn("score", F.col("seed"))
     for _ in range(ROUNDS):
         confidence = scored.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum("score").alias("support"))
-        trusted = cut(confidence.filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "confidence"))
+        trusted = cut(confidence.filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "confidence"), made)
         best = graph.join(trusted, "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
-        scored = cut(graph.join(best, "instance", "left").withColumn("score", F.greatest("seed", F.coalesce("best", F.lit(0.0)))).drop("best"))
-    fresh = occurrences.filter(~F.col("seed")).select("doc_id", "text_hash", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern", "left_semi")
+        scored = cut(graph.join(best, "instance", "left").withColumn("score", F.greatest("seed", F.coalesce("best", F.lit(0.0)))).drop("best"), made)
+    fresh = occurrences.filter(~F.col("known")).select("doc_id", "text_hash", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern", "left_semi")
     span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")
     return fresh.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("added"))
 
@@ -180,8 +203,11 @@ def extract(docs: DataFrame) -> DataFrame:
     ``docs`` needs doc_id and text; other columns play no part. A null or empty text has no spans, rows that repeat
     have the same spans each, an empty table gives no rows. Places are code points, ends exclusive.
     """
+    made: list[str] = []
     read = cut(read_spans(docs))
-    added = discover(read).withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h")
+    added = cut(discover(read, docs, made))
+    discard(docs.sparkSession, made)
+    added = added.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "h")
     spans = F.array_sort(F.concat("base", F.coalesce("added", F.expr(f"cast(array() as {SPAN})"))))
     joined = read.join(added, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
     return joined.select("doc_id", "text_hash", "base", spans.alias("spans"))

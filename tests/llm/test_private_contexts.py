@@ -33,3 +33,24 @@ def test_spans_are_sorted_by_start_and_kind(spark):
     got = private_data.extract(spark.createDataFrame([(0, "1.2.3.4@x.com")], "doc_id long, text string")).first()
     assert [(x.start, x.kind, x.end) for x in got.base] == [(0, 0, 13), (0, 1, 7)]
     assert got.base[0].__fields__ == ["start", "kind", "end"]
+
+
+def test_secrets_are_found_beside_trusted_patterns(spark):
+    digests = [f"{k:x}" * 2 + "ab12cd34ef56" * 3 + "99" for k in range(1, 6)]  # of 40 characters
+    digests = [(d * 2)[:40] for d in digests]
+    rows = [f'and the token = "{d}"### of it' for d in digests] + ["and the token = Qx778812Za, of it", "and the 12345678 of it", "nothing here"]
+    got = spans(spark, rows)
+    assert got[0] == "id:17:57" and got[5] == "id:16:26" and got[6] == got[7] == ""
+
+
+def test_common_words_are_no_patterns(spark):
+    rows = [f"it went to u{k}@mail.com and they went to the sea, to the hills, to bed, to work, to town, to sleep" for k in range(8)] + ["they went to QX-77812-Z and back"]
+    rows += ["to be, to go, to the, " * 40]
+    assert spans(spark, rows)[8] == ""
+
+
+def test_added_spans_of_the_test_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = private_data.extract(docs).join(docs.select("doc_id", "text"), "doc_id").select(F.explode("spans").alias("x"), "text").filter(F.col("x.kind") == len(private_data.KINDS))
+    added = [r.t for r in found.select(F.substring("text", F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("t")).collect()]
+    assert len(added) >= 10 and sum(len(t) == 40 for t in added) >= 0.9 * len(added)
