@@ -233,10 +233,11 @@ def masked(text: Column, spans: Column) -> Column:
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with personal data masked in text (a null text stays null); all columns stay, n_chars follows the text if there is one."""
     spans = extract(docs).filter(F.size("spans") > 0).select("doc_id", "text_hash", "spans").distinct()
-    spans = cut(spans.withColumnRenamed("doc_id", "private_doc").withColumnRenamed("text_hash", "private_hash").withColumnRenamed("spans", "private_spans"))
-    same = F.col("doc_id").eqNullSafe(F.col("private_doc")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("private_hash"))
-    text = F.when(F.col("private_spans").isNull(), F.col("text")).otherwise(masked(F.col("text"), F.col("private_spans")))
-    out = docs.join(spans, same, "left").withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(docs.columns)
+    spans = cut(spans.select(F.struct("doc_id", "text_hash", "spans").alias("found")))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # apart, whatever its columns are called
+    own = F.col("row.text")
+    same = F.col("row.doc_id").cast("long").eqNullSafe(F.col("found.doc_id")) & (F.xxhash64(F.coalesce(own.cast("string"), F.lit(""))) == F.col("found.text_hash"))
+    text = F.when(F.col("found").isNull(), own).otherwise(masked(own, F.col("found.spans")))
+    out = rows.join(spans, same, "left").withColumn("masked", text)
+    new = {"text": F.col("masked"), "n_chars": F.length("masked").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return out.select(*((new[c] if c in new else F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
