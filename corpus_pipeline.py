@@ -12,14 +12,23 @@ from rentwire.llm import best_fit, language, near_duplicates, private_data, wu_m
 from rentwire.llm._common import cut, table
 
 
+def apart(docs: DataFrame, names: tuple[str, ...]) -> dict[str, str]:
+    """New names of the columns that an operator would replace."""
+    return {c: f"own_{c}_of_documents" for c in docs.columns if c in names}
+
+
+def back(rows: DataFrame, docs: DataFrame, moved: dict[str, str]) -> DataFrame:
+    return rows.select(*(F.col(f"`{moved.get(c, c)}`").alias(c) for c in docs.columns))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are too far from every language, null and letterless ones with them; fills a missing lang.
 
     Rows are judged by their text alone: rows that repeat and rows without doc_id are kept or dropped each. An empty table stays empty.
     """
-    known = language.identify(docs, language.fit(docs))
-    lang = F.coalesce("lang", "lang_pred")
-    return known.filter(~F.col("rejected")).withColumn("lang", lang).select(docs.columns)
+    moved = apart(docs, ("lang_pred", "score", "rejected"))
+    known = language.identify(docs.withColumnsRenamed(moved), language.fit(docs))
+    return back(known.filter(~F.col("rejected")).withColumn("lang", F.coalesce("lang", "lang_pred")), docs, moved)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,16 +36,18 @@ def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rows without doc_id come after all others; of rows that repeat a doc_id and its text one stays. Texts without words stay.
     """
+    moved = apart(docs, ("kept_doc", "kept_hash"))
     kept = near_duplicates.groups(docs).filter("kept").select(F.col("doc_id").alias("kept_doc"), F.col("text_hash").alias("kept_hash")).distinct()
     once = docs.dropDuplicates(["doc_id", "text"]) if near_duplicates.repeats_ids(docs) else docs
     same = F.col("doc_id").eqNullSafe(F.col("kept_doc")) & (F.xxhash64("text") == F.col("kept_hash"))
-    return once.join(kept, same, "left_semi").select(docs.columns)
+    return back(once.withColumnsRenamed(moved).join(kept, same, "left_semi"), docs, moved)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a twentieth of their words or more in benchmark passages; rows that repeat go or stay together, an empty benchmark drops none."""
-    found = wu_manber.search_benchmark(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter(~wu_manber.contaminated()).select(docs.columns)
+    moved = apart(docs, ("n_words", "n_hit", "hits", "items"))
+    found = wu_manber.search_benchmark(docs.withColumnsRenamed(moved), table(spark, sf_dir, "benchmark"))
+    return back(found.filter(~wu_manber.contaminated()), docs, moved)
 
 
 def mask_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
