@@ -39,17 +39,17 @@ class Search:
         self.m, self.words = length, words
         self.block = min(2, length)
         far = length - self.block + 1
-        self.bits = max(12, int(len(starts) * length * 8).bit_length())
+        self.bits = max(12, int(len(starts) * 16).bit_length())  # nearly all blocks end some window, so there are about as many as windows
         self.shift = np.full(1 << self.bits, far, np.uint8)
         block = blocks_of(words, self.block)
         for j in range(far):  # the block that begins at j may end a window after far - 1 - j more words
             slot = self.slot(block[starts + j])
             self.shift[slot] = np.minimum(self.shift[slot], far - 1 - j)
         last = block[starts + far - 1]
-        self.order = np.argsort(last, kind="stable")
+        self.order = np.argsort(last, kind="stable").astype(np.int32)
         self.starts = starts[self.order]
-        self.suffix, self.first = np.unique(last[self.order], return_index=True)
-        self.last = np.append(self.first[1:], len(starts))
+        self.suffix, first = np.unique(last[self.order], return_index=True)
+        self.first = np.append(first, len(starts)).astype(np.int32)
 
     def slot(self, block: np.ndarray) -> np.ndarray:
         return (block >> U(64 - self.bits)).astype(np.int64)
@@ -76,7 +76,7 @@ class Search:
         bucket = np.minimum(np.searchsorted(self.suffix, block[place]), len(self.suffix) - 1)
         hit = self.suffix[bucket] == block[place]
         place, bucket = place[hit] - lead, bucket[hit]
-        n = self.last[bucket] - self.first[bucket]
+        n = self.first[bucket + 1] - self.first[bucket]
         row, place = gathered(self.first[bucket], n), np.repeat(place, n)
         for j in range(self.m):
             same = self.words[self.starts[row] + j] == words[place + j]
@@ -85,7 +85,7 @@ class Search:
 
 
 class Patterns:
-    """Searches by window length, with the items of each window. All of it is flat arrays: about nine times the benchmark's bytes."""
+    """Searches by window length, with the items of each window. All of it is flat arrays: about twelve times the benchmark's bytes."""
 
     def __init__(self, items: pd.DataFrame, width: int):
         self.words = words_of(pa.array(items.text.fillna("").tolist(), pa.string()))
@@ -96,11 +96,12 @@ class Patterns:
         for m in np.unique(length[length > 0]).tolist():
             own = np.flatnonzero(length == m)
             n = counts[own] - m + 1
-            starts, item = gathered(self.words.bounds[:-1][own], n), np.repeat(own, n)
+            starts, item = gathered(self.words.bounds[:-1][own], n).astype(np.int32), np.repeat(own, n)
             starts, group = self.distinct(starts, m)
             pairs = np.unique(group * len(self.items) + item)
             first = np.searchsorted(pairs, np.arange(len(starts) + 1) * len(self.items))
-            self.searches.append((Search(self.words.hash, starts, m), starts, pairs % len(self.items), first))
+            self.searches.append((Search(self.words.hash, starts, m), starts, (pairs % len(self.items)).astype(np.int32), first.astype(np.int32)))
+        self.words.start, self.words.end = self.words.start.astype(np.int32), self.words.end.astype(np.int32)
 
     def distinct(self, starts: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
         """The first of each set of windows with equal words, and the number of each window's set."""
