@@ -157,9 +157,38 @@ def catalogue(spark, sf_dir):
     return made.join(seen, "origin", "left_semi").select(F.regexp_replace("origin", " news$", "").alias("origin"), "url")
 
 
-@register("N12_pages")
+def _page_table(spark, sf_dir):
+    """The pages with every line break as a paragraph's end, as their paragraphs with one never close."""
+    title = F.regexp_extract("html", "<title>([^<]*)", 1)
+    return table(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("<br>"), F.lit("</b></p>")).alias("html"), title.alias("title"))
+
+
+_BARE = "replace(html, '<br>', '</b></p>')"
+for _tag in ("script", "style", "nav", "footer"):
+    _BARE = f"regexp_replace({_BARE}, '<{_tag}[^>]*>.*?</{_tag}>', '', 'gs')"
+_SPELLED = "replace(replace(regexp_replace(x, '<[^>]+>', '', 'g'), '&quot;', '\"'), '&amp;', '&')"
+#: The texts of _page_table in SQL: of the tags that these pages have, p, li and h1 hold paragraphs.
+_TEXTS = f"""r AS (SELECT page_id, url, regexp_extract(html, '<title>([^<]*)', 1) AS title, regexp_extract_all({_BARE}, '(?s)<(?:p|li|h1)>(.*?)</(?:p|li|h1)>', 1) AS found FROM pages),
+texts AS (SELECT page_id, url, title, array_to_string(list_filter(list_transform(found, lambda x: trim(regexp_replace({_SPELLED}, '\s+', ' ', 'g'))), lambda x: length(x) >= 60), chr(10)) AS text FROM r)"""
+_GUARD = "regexp_replace(regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}\p{{M}}_\s]', ' ', 'g'), '\s+', ' ', 'g')"
+#: Their status: enough of the headline's longer words begin words of the text's first 2,500 characters.
+_STATUSES = f"""{_TEXTS}, w AS (SELECT *, list_distinct(list_filter(string_split(trim({_GUARD.format('title')}), ' '), lambda x: length(x) >= 4)) AS ws, ' ' || trim({_GUARD.format('substr(text, 1, 2500)')}) || ' ' AS head FROM texts),
+statuses AS (SELECT *, CASE WHEN length(text) < 120 OR (len(ws) > 0 AND len(list_filter(ws, lambda x: contains(head, ' ' || substr(x, 1, 6)))) < least(len(ws), greatest(2, len(ws) // 3))) THEN 'unavailable' WHEN length(text) < 450 THEN 'partial' ELSE 'ok' END AS status FROM w)"""
+
+
+@register("N12_pages", f"WITH {_TEXTS} SELECT url, text, 0 AS links FROM texts")
 def read_pages(spark, sf_dir):
-    return pages.extract(table(spark, sf_dir, "pages").select("url", "html")).select("url", F.length("text").alias("n_chars"), F.size("links").alias("links"), "image")
+    return pages.extract(_page_table(spark, sf_dir).select("url", "html")).select("url", "text", F.size("links").alias("links"))
+
+
+@register("N13_pictures", "SELECT url, CASE WHEN page_id % 2 = 0 THEN regexp_extract(url, '^[a-z]+://[^/]+') || '/p/' || page_id || '.jpg' ELSE 'https://c.example.com/big.jpg' END AS picture, CASE WHEN page_id % 2 = 0 THEN 'publisher' ELSE 'in-article' END AS origin FROM pages")
+def pictures(spark, sf_dir):
+    """Every other page gets a picture of its own behind a logo; all get a small and a large one in their bodies."""
+    p = _page_table(spark, sf_dir)
+    own = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<meta property='og:image' content='/logo.png'><meta name='twitter:image' content='/p/"), F.col("page_id").cast("string"), F.lit(".jpg'>"))).otherwise(F.lit(""))
+    body = F.lit("<img src='a.jpg' width=90 height=90><img src='https://c.example.com/big.jpg' width=800 height=600>")
+    made = p.select("url", "title", F.concat(own, "html", body).alias("html"))
+    return pages.extract(made).select("url", F.col("image.url").alias("picture"), F.col("image.origin").alias("origin"))
 
 
 @register("N14_redirects", "SELECT url, url AS target FROM pages")
@@ -168,25 +197,25 @@ def redirects(spark, sf_dir):
     return pages.extract(made).select("url", pages.redirect_target(F.col("links")).alias("target"))
 
 
-@register("N15_page_status")
+@register("N15_page_status", f"WITH {_STATUSES} SELECT status, count(*) AS n FROM statuses GROUP BY status")
 def page_status(spark, sf_dir):
-    p = table(spark, sf_dir, "pages").select("url", "html", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"))
+    p = _page_table(spark, sf_dir)
     read = pages.extract(p.select("url", "html")).join(p.select("url", "title"), "url")
     return read.groupBy(pages.status(F.col("title"), F.col("text")).alias("status")).agg(F.count("*").alias("n"))
 
 
 def _articles(spark, sf_dir):
-    p = table(spark, sf_dir, "pages")
-    arts = p.select(F.col("page_id").alias("seq"), "url", F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), F.lit("").alias("summary"), (F.col("page_id") % 10).alias("score"))
+    p = _page_table(spark, sf_dir)
+    arts = p.select(F.col("page_id").alias("seq"), "url", "title", F.lit("").alias("summary"), (F.col("page_id") % 10).alias("score"))
     return pages.enrich(arts, pages.extract(p.select("url", "html")), budget=1_000_000)
 
 
-@register("N16_enriched")
+@register("N16_enriched", f"WITH {_STATUSES} SELECT page_id AS seq, status AS text_status, CASE WHEN status = 'unavailable' THEN 0 ELSE length(text) END AS n_chars FROM statuses")
 def enriched(spark, sf_dir):
     return _articles(spark, sf_dir).select("seq", "text_status", F.length("article_text").alias("n_chars"))
 
 
-@register("N29_fetch_statistics")
+@register("N29_fetch_statistics", f"WITH {_STATUSES} SELECT status AS text_status, count(*) AS n FROM statuses GROUP BY status")
 def fetch_statistics(spark, sf_dir):
     return pages.status_counts(_articles(spark, sf_dir))
 
