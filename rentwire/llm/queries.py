@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import arrow_tokens, best_fit, html_blocks, language, license_digest, near_duplicates, pivot_search, private_data, trie_counts, wu_manber
+from . import alignment, arrow_tokens, best_fit, html_blocks, language, license_digest, near_duplicates, pivot_search, private_data, spelling, trie_counts, url_rules, wu_manber
 from ._common import table
 
 
@@ -54,9 +54,27 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(pages, between="\n\n").select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("groups", "groups_sha256")
+
+
+#: The rules of the contract: host, path, verdict.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    mined = url_rules.mine(url_rules.labelled_pages(pages, table(spark, sf_dir, "labels")))
+    return url_rules.judge(pages, mined, URL_RULES).drop("url")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_near_duplicates, op2_private_data, op3_language_id, op4_exact_top_k, op5_license_scan, op6_decontamination, op7_token_files, op8_token_counts, op9_best_fit_packing, op10_main_text)
+    for f in (op1_near_duplicates, op2_private_data, op3_language_id, op4_exact_top_k, op5_license_scan, op6_decontamination, op7_token_files, op8_token_counts, op9_best_fit_packing, op10_main_text, op11_spelling_variants, op12_token_alignment, op13_url_filter)
 }
 
 _TOP_K = """

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +34,18 @@ def vocabulary_path(name: str) -> str:
 
 
 class Encoder:
-    """drops_space: the vocabulary's own rule drops all white space."""
+    """drops_space: the vocabulary's own rule drops all white space. plain: added tokens inside a text are ordinary text."""
 
-    def __init__(self, path: str, drops_space: bool):
+    lead = ""  # goes before every text
+
+    def __init__(self, path: str, drops_space: bool, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = plain
         self.drops_space = drops_space
-        added = [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        added = [] if plain else [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.odd = "|".join([*added, *([] if drops_space else [ODD])])
         self.mark = "|" if drops_space else "\n"
         (self.mark_id,) = self.whole([self.mark])[0]
@@ -49,7 +53,7 @@ class Encoder:
         self.start()
 
     def start(self) -> None:
-        self.known = pa.array([""], pa.string())  # a chunk's place in it is its slot
+        self.known, self.names = {"": 0}, [""]  # slot of each chunk, and the chunk of each slot
         self.pool, self.pool_n = np.empty(1 << 16, np.uint32), 0
         self.at, self.n, self.used = np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
@@ -57,36 +61,40 @@ class Encoder:
         """Keeps the chunks that came more than once, or none if those are too many."""
         kept = np.flatnonzero(self.used > 1)
         kept = kept[kept > 0]  # slot 0 is the empty chunk
-        known, n, ids = self.known.take(pa.array(kept)), self.n[kept], self.pool[gathered(self.at[kept], self.n[kept])]
+        names, n, ids = [self.names[k] for k in kept.tolist()], self.n[kept], self.pool[gathered(self.at[kept], self.n[kept])]
         self.start()
         if len(kept) < MEMO // 2:
-            self.keep(known, ids, n)
-        pa.default_memory_pool().release_unused()
+            self.keep(names, ids, n)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: pa.Array) -> None:
+    def joined(self, chunks: list[str]) -> np.ndarray:
+        """Ids of chunks with a mark after each."""
+        gap = f" {self.mark} " if self.drops_space else self.mark
+        return np.array(self.whole([gap.join(chunks) + gap.rstrip(" ")])[0], np.uint32)
+
+    def marked(self, chunks: list[str]) -> list[list[int]]:
+        """Ids of chunks that hold the mark."""
+        return self.whole(chunks)
+
+    def learn(self, chunks: list[str]) -> None:
         """Encodes chunks that are not known yet; those without the mark go through the library many at a time, with marks between."""
-        marked = pc.match_substring(chunks, self.mark)
-        plain = chunks.filter(pc.invert(marked))
-        ids, counts = [], []
+        plain, rest = [c for c in chunks if self.mark not in c], [c for c in chunks if self.mark in c]
+        ids, counts = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
         for i in range(0, len(plain), 400):
-            some = plain.slice(i, 400).to_pylist()
-            gap = f" {self.mark} " if self.drops_space else self.mark
-            own = np.array(self.whole([gap.join(some) + gap.rstrip(" ")])[0], np.uint32)
+            own = self.joined(plain[i : i + 400])
             ends = np.flatnonzero(own == self.mark_id)
-            if len(ends) != len(some):
+            if len(ends) != len(plain[i : i + 400]):
                 raise ValueError("a chunk changed beside its neighbours")
             ids.append(own[own != self.mark_id])
             counts.append(np.diff(np.concatenate([[-1], ends])) - 1)
-        rest = chunks.filter(marked)
-        for own in self.whole(rest.to_pylist()):
+        for own in self.marked(rest):
             ids.append(np.array(own, np.uint32))
             counts.append(np.array([len(own)]))
-        self.keep(pa.concat_arrays([plain, rest]), np.concatenate(ids), np.concatenate(counts).astype(np.int64))
+        self.keep(plain + rest, np.concatenate(ids), np.concatenate(counts).astype(np.int64))
 
-    def keep(self, chunks: pa.Array, ids: np.ndarray, counts: np.ndarray) -> None:
+    def keep(self, chunks: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
         while self.pool_n + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         self.pool[self.pool_n : self.pool_n + len(ids)] = ids
@@ -94,34 +102,47 @@ class Encoder:
         self.n = np.concatenate([self.n, counts])
         self.used = np.concatenate([self.used, np.zeros(len(counts), np.int64)])
         self.pool_n += len(ids)
-        self.known = pa.concat_arrays([self.known, chunks])
+        self.known.update(zip(chunks, range(len(self.names), len(self.names) + len(chunks))))
+        self.names += chunks
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in one array, and the number of each text. A null text is empty."""
-        texts = pc.fill_null(texts.cast(pa.string()), "")
-        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
+    def slots(self, chunks: list[str]) -> np.ndarray:
+        """The slots of distinct chunks, learnt where they are new."""
+        if len(self.names) > MEMO:
+            self.forget()
+        found = np.fromiter(map(self.known.get, chunks, repeat(-1)), np.int64, len(chunks))
+        if len(new := np.flatnonzero(found < 0)):
+            self.learn([chunks[k] for k in new.tolist()])
+            found[new] = [self.known[chunks[k]] for k in new.tolist()]
+        return found
+
+    def chunks(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The slots of the texts' chunks, the number of chunks of each text, and which texts are odd (they have none)."""
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.odd else np.zeros(len(texts), bool)
         even = pc.if_else(pa.array(~odd), texts, "") if odd.any() else texts
+        if self.lead:
+            even = pc.if_else(pc.equal(even, ""), "", pc.binary_join_element_wise(self.lead, even, ""))
         if self.drops_space:
             parts = pc.split_pattern(pc.replace_substring_regex(even, "[\\t\\n\\r]", " "), " ")
         else:
             parts = pc.split_pattern(pc.replace_substring(pc.replace_substring(even, " ", "\x00 "), "\n", "\x00\n\x00"), "\x00")
         sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = parts.flatten().dictionary_encode()
-        if len(self.known) > MEMO:
-            self.forget()
-        slot_of = pc.index_in(coded.dictionary, value_set=self.known)
-        if slot_of.null_count:
-            self.learn(coded.dictionary.filter(slot_of.is_null()))
-            slot_of = pc.index_in(coded.dictionary, value_set=self.known)
-        slots = slot_of.to_numpy().astype(np.int64)[coded.indices.to_numpy()]
+        slots = self.slots(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         self.used += np.bincount(slots, minlength=len(self.used))
+        return slots, sizes, odd
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in one array, and the number of each text. A null text is empty."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        slots, sizes, odd = self.chunks(texts)
         each = self.n[slots]
         ends = np.cumsum(each)
         ids = self.pool[gathered(self.at[slots], each)]
         text_ends = np.concatenate([[0], ends])[np.cumsum(sizes)]
         counts = np.diff(np.concatenate([[0], text_ends]))
         if odd.any():
-            own = dict(zip(np.flatnonzero(odd).tolist(), self.whole(texts.filter(pa.array(odd)).to_pylist())))
+            whole = self.whole([self.lead + x for x in texts.filter(pa.array(odd)).to_pylist()])
+            own = dict(zip(np.flatnonzero(odd).tolist(), whole))
             starts = text_ends - counts
             ids = np.concatenate([np.array(own[i], np.uint32) if i in own else ids[starts[i] : text_ends[i]] for i in range(len(counts))] or [ids])
             for i, x in own.items():

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import functools
 import math
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -65,19 +66,20 @@ class Lookup:
         self.start()
 
     def start(self) -> None:
-        self.known, self.counts = pa.array([""], pa.string()), np.zeros(1, np.int64)
+        self.known, self.counts = {"": 0}, np.zeros(1, np.int64)
 
     def counted(self, words: pa.Array) -> np.ndarray:
         """Pieces of each of these distinct words; "" has none."""
         if len(self.known) > MEMO:
             self.start()
-        at = pc.index_in(words, value_set=self.known)
-        if at.null_count:
-            new = words.filter(at.is_null())
-            self.counts = np.concatenate([self.counts, count_words([MARK + x for x in new.to_pylist()], self)])
-            self.known = pa.concat_arrays([self.known, new])
-            at = pc.index_in(words, value_set=self.known)
-        return self.counts[at.to_numpy()]
+        words = words.to_pylist()
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        if len(new := np.flatnonzero(at < 0)):
+            fresh = [words[k] for k in new.tolist()]
+            at[new] = np.arange(len(self.counts), len(self.counts) + len(fresh))
+            self.known.update(zip(fresh, at[new].tolist()))
+            self.counts = np.concatenate([self.counts, count_words([MARK + x for x in fresh], self)])
+        return self.counts[at]
 
     def find(self, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = mix(sums)
