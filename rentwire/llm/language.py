@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ._common import U, cut, slices, with_fields
 
 DIMENSIONS = 4096
-#: Labelled texts of a language, about, that its centroids are fitted on (distinct ones of a share of its rows, by hash).
+#: Labelled texts of a language, about, that its centroids are fitted on (a share of its distinct texts, by hash).
 SAMPLE = 800
 CENTROIDS = 3
 ROUNDS = 8
@@ -113,12 +113,18 @@ class Model:
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
-    """labelled: text and lang. Rows without text or lang are left out. The model is a few vectors for each language."""
+    """labelled: text and lang. Rows without text or lang are left out; no rows give a model of no languages.
+
+    The model, which is broadcast, is ``k`` vectors for each language (16 KB each), so ``lang`` has to name languages, some thousands at most.
+    A text that comes often counts once; of few texts all are taken.
+    """
     labelled = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
     idf = inverse_frequencies(labelled)
-    shares = cut(labelled.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(sample)) / F.count("*")).alias("share")))  # a row for each language
-    # Sampling by the text's hash takes all copies of a text or none; they are one row before any vector is made.
-    picked = labelled.withColumn("h", F.xxhash64("text", F.lit(3))).join(shares, "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).dropDuplicates(["lang", "h"])
+    # The sample is a share of a language's distinct texts, by their hashes; all copies of a text are one row before any vector is made.
+    keyed = labelled.withColumn("h", F.xxhash64("text", F.lit(3)))
+    texts = keyed.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n"))
+    shares = cut(texts.select("lang", F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n")).alias("share")))  # a row for each language
+    picked = keyed.join(shares, "lang").filter(F.pmod("h", F.lit(1 << 30)) < F.col("share") * (1 << 30)).dropDuplicates(["lang", "h"])
 
     def vectorise(batches):
         for part in slices(batches, "text", most_bytes=1_000_000, most_rows=256):
@@ -127,7 +133,7 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
             yield pa.RecordBatch.from_arrays([part.column("lang").filter(some), pa.array([x.tobytes() for x in v[n_letters > 0]], pa.binary())], ["lang", "v"])
 
     def means(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack([np.frombuffer(b, np.float32) for b in sorted(pdf.v)])  # about `sample` rows: distinct texts of a share of the rows
+        x = np.stack([np.frombuffer(b, np.float32) for b in sorted(pdf.v)])  # about `sample` rows: a share of the distinct texts
         c = spherical_means(x, k, ROUNDS)
         least = np.quantile((x @ c.T).max(axis=1), 0.001) * SLACK
         return pd.DataFrame({"lang": pdf.lang.iloc[0], "at": range(len(c)), "v": [y.astype(np.float32).tobytes() for y in c], "least": float(least)})
@@ -141,6 +147,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` (which needs text) with lang_pred, score and rejected.
 
     A text that is null or has no letters is ``und`` with score 0, and rejected. A model of no languages rejects all.
+    Rows are judged by their text alone, so rows that repeat are judged alike; an empty table gives no rows.
     Columns of those names are replaced; all others stay.
     """
     extra = {"lang_pred": "string", "score": "double", "rejected": "boolean"}

@@ -3,10 +3,10 @@
 Regular expressions find base spans of four kinds. Each is a seed instance; tokens that look like identifiers (they hold
 a digit) and lie in no base span are further instances, and those with the shape of a known kind of secret are seeds too. The
 words around an instance are its lexical patterns. In each round a pattern's confidence is the mean score of its distinct
-instances, and an instance's score is the confidence of its best trusted pattern. A pattern is trusted if it has support and
-confidence and if its words, wherever they occur in the corpus, stand beside an instance often enough: "token =" may be,
-"and the" is not. Trusted patterns of the last round add the spans of the identifiers that they stand beside, secrets
-included: a shape alone adds no span.
+instances, and an instance's score is the confidence of its best trusted pattern. A pattern is trusted if it has confidence,
+support by seeds alone, and if its phrase, wherever it occurs in the corpus, mostly stands beside an instance: "token =" may be,
+"went to" is not. Trusted patterns of the last round add the spans of the identifiers that they stand beside, secrets
+included: a shape alone adds no span, nor does the word behind an identifier, which only helps to score it.
 """
 
 from __future__ import annotations
@@ -41,9 +41,9 @@ SECRET = f"^(?:{'|'.join(SECRETS)})$"
 #: Characters of an identifier without the punctuation around it, and of its contexts.
 LEAST, LEFT, RIGHT = 6, 60, 40
 ROUNDS = 3
-SUPPORT, CONFIDENCE = 3.0, 0.75
-#: Least share of the occurrences of a pattern's rarest word that stand beside an instance.
-SPECIFIC = 0.1
+SUPPORT, CONFIDENCE = 3.0, 0.5
+#: Least share of a pattern's distinct instances that are seeds, and of the occurrences of its phrase that stand beside an instance.
+SEEDED, SPECIFIC = 0.25, 0.6
 STRETCH = 256
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 SEED = "array<struct<start:int,kind:int,end:int,instance:bigint>>"
@@ -171,14 +171,21 @@ def read_spans(docs: DataFrame) -> DataFrame:
     return read.select("doc_id", "text_hash", base.alias("base"), F.transform("instances", instance).alias("instances"))
 
 
+def phrases(text: Column) -> Column:
+    """Every word of a text and every two that follow each other."""
+    w = words(text)
+    n = F.size(w) - 1
+    return F.concat(w, F.when(n > 0, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.expr("cast(array() as array<string>)")))
+
+
 def specific(occurrences: DataFrame, graph: DataFrame, docs: DataFrame, made: list[str]) -> DataFrame:
-    """The patterns that may be trusted: SUPPORT distinct instances or more, and words that are SPECIFIC for them."""
+    """The patterns that may be trusted: with SUPPORT distinct seeds that are SEEDED of its instances or more, and phrases that stand beside an instance in SPECIFIC of their occurrences."""
+    support = graph.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count("*").alias("n")).filter((F.col("seeds") >= SUPPORT) & (F.col("seeds") >= SEEDED * F.col("n")))
     beside = occurrences.select(F.explode("patterns").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("beside"))
-    asked = graph.groupBy("pattern").count().filter(F.col("count") >= SUPPORT).join(beside, "pattern").select("pattern", "beside", F.explode(F.split(F.substring("pattern", 2, 1000), " ")).alias("word"))
-    asked = cut(asked, made)
-    spoken = docs.select(F.explode(words(F.col("text").cast("string"))).alias("word")).join(cut(asked.select("word").distinct(), made), "word", "left_semi")
-    counts = spoken.groupBy("word").count()
-    return cut(asked.join(counts, "word").groupBy("pattern").agg(F.min("count").alias("n"), F.first("beside").alias("beside")).filter(F.col("beside") >= F.col("n") * SPECIFIC).select("pattern"), made)
+    asked = cut(support.join(beside, "pattern").select("pattern", "beside", F.substring("pattern", 2, 1000).alias("phrase")), made)
+    spoken = docs.select(F.explode(phrases(F.col("text").cast("string"))).alias("phrase")).join(asked.select("phrase").distinct(), "phrase", "left_semi")
+    counts = spoken.groupBy("phrase").agg(F.count("*").alias("n"))
+    return cut(asked.join(counts, "phrase").filter(F.col("beside") >= F.col("n") * SPECIFIC).select("pattern"), made)
 
 
 def discover(read: DataFrame, docs: DataFrame, made: list[str]) -> DataFrame:
@@ -188,11 +195,12 @@ def discover(read: DataFrame, docs: DataFrame, made: list[str]) -> DataFrame:
     graph = cut(graph.join(specific(occurrences, graph, docs, made), "pattern", "left_semi"), made)
     scored = graph.withColumn("score", F.col("seed"))
     for _ in range(ROUNDS):
-        confidence = scored.groupBy("pattern").agg(F.avg("score").alias("confidence"), F.sum("score").alias("support"))
-        trusted = cut(confidence.filter((F.col("support") >= SUPPORT) & (F.col("confidence") >= CONFIDENCE)).select("pattern", "confidence"), made)
+        # a single word has to earn its confidence from seeds; what discovery found counts for two words alone
+        own = F.when(F.col("pattern").contains(" "), F.avg("score")).otherwise(F.avg("seed"))
+        trusted = cut(scored.groupBy("pattern").agg(own.alias("confidence")).filter(F.col("confidence") >= CONFIDENCE), made)
         best = graph.join(trusted, "pattern").groupBy("instance").agg(F.max("confidence").alias("best"))
         scored = cut(graph.join(best, "instance", "left").withColumn("score", F.greatest("seed", F.coalesce("best", F.lit(0.0)))).drop("best"), made)
-    fresh = occurrences.filter(~F.col("known")).select("doc_id", "text_hash", "start", "end", F.explode("patterns").alias("pattern")).join(trusted, "pattern", "left_semi")
+    fresh = occurrences.filter(~F.col("known")).select("doc_id", "text_hash", "start", "end", F.explode("patterns").alias("pattern")).filter(F.col("pattern").startswith("<")).join(trusted, "pattern", "left_semi")
     span = F.struct("start", F.lit(len(KINDS)).alias("kind"), "end")
     return fresh.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("added"))
 

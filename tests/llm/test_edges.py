@@ -101,3 +101,16 @@ def test_stages(spark, docs, tmp_path):
         if name == "near_duplicates":
             assert sorted((r.doc_id, r.text[:3]) for r in current.collect()) == [(1, "The"), (1, "Un "), (4, "w0 ")]
     assert {r.doc_id for r in pipeline.STAGES[-1][1](spark, current, "").collect()} == {1, 4}
+
+
+def test_languages_whose_texts_repeat_are_learnt(spark):
+    """20,000 rows that repeat one Polish text don't dilute the sample, and the language of few texts isn't lost."""
+    from rentwire.llm import language
+
+    rows = [(f"the house of number {k} stands on the hill and the river runs by it", "en") for k in range(1000)]
+    rows += [("dom stoi na wzgórzu, a rzeka płynie obok i szumi przez cały dzień", "pl")] * 20_000
+    for sample in (3, 800):
+        model = language.fit(spark.createDataFrame(rows, "text string, lang string"), sample=sample)
+        assert set(model.langs) == {"en", "pl"}
+    got = language.identify(spark.createDataFrame([("rzeka płynie przez wzgórze i dzień",), ("the river runs on the hill",)], "text string"), model).collect()
+    assert [r.lang_pred for r in got] == ["pl", "en"]

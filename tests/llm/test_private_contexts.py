@@ -54,3 +54,27 @@ def test_added_spans_of_the_test_tables(spark):
     found = private_data.extract(docs).join(docs.select("doc_id", "text"), "doc_id").select(F.explode("spans").alias("x"), "text").filter(F.col("x.kind") == len(private_data.KINDS))
     added = [r.t for r in found.select(F.substring("text", F.col("x.start") + 1, F.col("x.end") - F.col("x.start")).alias("t")).collect()]
     assert len(added) >= 10 and sum(len(t) == 40 for t in added) >= 0.9 * len(added)
+
+
+def test_unseen_shapes_are_found_in_trusted_contexts_alone(spark):
+    """Planted handles of a shape that no list holds, between a few seeds in the same contexts and look-alikes in others."""
+    import random
+
+    r = random.Random(4)
+    letters, plain = "bcdfghkmnpqrst", "the of and a in is was it on at by for he she river stone morning road window".split()
+    filler = lambda n: " ".join(r.choice(plain) for _ in range(n))
+    handle = lambda: f"{''.join(r.choice(letters) for _ in range(3))}_{r.randrange(1000, 9999)}{r.choice(letters)}"
+    contexts = ["please reach me at", "member badge no", "sign in as user", "my pager is"]
+    rows, planted = [], set()
+    for k in range(160):
+        value = f"{r.choice(plain)}{k}@mail.example.com" if k % 4 else f"+1 499 555 {6000 + k}"
+        rows.append(f"{filler(9)} {contexts[k % 3]} {value} {filler(6)}")
+    for k in range(100):
+        value = handle()
+        planted.add((len(rows), value))
+        rows.append(f"{filler(8)} {contexts[k % 3]} {value} {filler(7)}")
+    for _ in range(200):
+        rows.append(f"{filler(6)} {r.choice(plain)} {r.choice(plain)} {handle()} {filler(8)}")  # the same shape in plain prose
+    rows += [filler(40) for _ in range(300)]
+    found = {(k, rows[k][int(a) : int(b)]) for k, s in spans(spark, rows).items() for kind, a, b in (x.split(":") for x in s.split(",") if x) if kind == "id"}
+    assert len(found & planted) >= 0.9 * len(planted) and len(found & planted) >= 0.9 * len(found)
