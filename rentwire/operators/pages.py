@@ -19,12 +19,11 @@ from rentwire.functions import news
 #: Elements that hold an article's paragraphs, page furniture, and elements whose text is none.
 TEXTUAL = frozenset("p li h1 h2 h3 blockquote".split())
 FURNITURE = frozenset("nav header footer aside form".split())
+#: Other elements that a paragraph or a list entry cannot reach out of.
+HOLDERS = frozenset("article section main div ul ol table tbody tr td".split())
 SILENT = FURNITURE | frozenset("script style noscript svg figure figcaption button iframe select template".split())
 #: Names of a page's own picture, best first.
 OWN_PICTURE = (("og:image", "og:image:url", "og:image:secure_url"), ("twitter:image", "twitter:image:src"))
-#: Defaults of parameters: words that make a paragraph boilerplate, and a picture's address no picture of the story.
-BOILERPLATE = ("subscribe", "newsletter", "sign up", "sign in", "log in", "cookie", "privacy policy", "terms of use", "terms of service", "all rights reserved", "copyright ©", "advertisement", "follow us", "read more:", "related:", "more from", "download the app")
-NO_PICTURE = ("logo", "icon", "sprite", "avatar", "placeholder", "pixel", "spacer", "blank", "badge", "button", "banner", "advert", "share", "emoji", ".svg")
 LEAST_PARAGRAPH = 60
 
 _MARK = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style)\b.*?</(?P=raw)\s*>|<(?P<shut>/?)(?P<tag>[a-z][a-z0-9]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<[^<>]*>", re.I | re.S)
@@ -32,19 +31,52 @@ _ATTRIBUTE = re.compile(r"([a-z][\w:-]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"
 READ = "url string, paragraphs array<string>, links array<string>, own array<struct<url:string,kind:int>>, pictures array<struct<url:string,alt:string,width:string,height:string,late:boolean>>"
 
 
+def _with_implied_ends(marks: list[tuple]) -> list[tuple]:
+    """The marks with an end for each paragraph or list entry that has none: where the next one begins, or what it stands in ends."""
+    out: list[tuple] = []
+    open_: list[str] = []  # the textual elements that are open, and what else was opened inside of one
+
+    def end(*tags: str) -> None:
+        """Ends the innermost open element if it is one of these."""
+        if open_ and open_[-1] in tags:
+            out.append((open_.pop(), -1, "", {}))
+
+    for tag, turn, text, attributes in marks:
+        if turn > 0 and tag in TEXTUAL:
+            end("p")
+            if tag == "li":
+                end("li")
+            open_.append(tag)
+        elif turn > 0 and tag in HOLDERS:
+            if open_:
+                open_.append(tag)
+        elif turn < 0 and tag in HOLDERS | TEXTUAL:
+            if tag != "p":
+                end("p")
+            if tag in HOLDERS:
+                end("li")
+            if open_ and open_[-1] == tag:
+                open_.pop()
+            elif tag in TEXTUAL:
+                tag = ""  # nothing of it is open
+        out.append((tag, turn, text, attributes))
+    return out
+
+
 def _depths(turns: list[int]) -> list[int]:
     """How many elements are open behind each mark."""
     return list(accumulate(turns, lambda depth, turn: max(0, depth + turn)))
 
 
 def read_page(page: str) -> tuple[list[str], list[str], list[dict], list[dict]]:
-    """Paragraphs, links, the page's own pictures and those in its body. A paragraph is the text of an outermost textual element; one that never closes is none."""
+    """Paragraphs, links, the page's own pictures and those in its body. A paragraph is the text of an outermost textual element; one that nothing ends is none."""
     marks: list[tuple[str, int, str, dict]] = []  # tag, +1 or -1, the text behind it, attributes
     found = list(_MARK.finditer(page))
     for m, after in zip(found, [*(x.start() for x in found[1:]), len(page)]):
         tag = (m["tag"] or "").lower()
         attributes = {k.lower(): references.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m["attrs"])} if tag in ("a", "img", "meta") and not m["shut"] else {}
         marks.append((tag, -1 if m["shut"] else 1, page[m.end() : after], attributes))
+    marks = _with_implied_ends(marks)
     turns = lambda tags: [turn if tag in tags else 0 for tag, turn, _, _ in marks]
     silent, furniture = _depths(turns(SILENT)), _depths(turns(FURNITURE))
     textual = _depths([min(turn, 0) if quiet else turn for turn, quiet in zip(turns(TEXTUAL), silent)])
@@ -88,8 +120,8 @@ def _any_of(x: Column, words: tuple[str, ...]) -> Column:
     return F.exists(F.array(*map(F.lit, words)), lambda w: lowered.contains(w)) if words else F.lit(False)
 
 
-def body_text(paragraphs: Column, boilerplate: tuple[str, ...] = BOILERPLATE, most_text: int | None = None) -> Column:
-    """Paragraphs of LEAST_PARAGRAPH characters or more that don't begin as boilerplate, a line each. most_text: characters kept; None keeps all."""
+def body_text(paragraphs: Column, boilerplate: tuple[str, ...] = (), most_text: int | None = None) -> Column:
+    """Paragraphs of LEAST_PARAGRAPH characters or more, a line each; none whose first 200 characters hold a phrase of ``boilerplate`` (in lower case). most_text: characters kept; None keeps all."""
     kept = F.filter(paragraphs, lambda p: (F.length(p) >= LEAST_PARAGRAPH) & ~_any_of(F.substring(p, 1, 200), boilerplate))
     text = F.array_join(kept, "\n")
     return text if most_text is None else F.substring(text, 1, most_text)
@@ -108,12 +140,19 @@ def _pixels(x: Column) -> Column:
     return F.coalesce(F.regexp_extract(x, r"^\s*(\d+)\s*(?:px)?\s*$", 1).try_cast("int"), F.lit(0))
 
 
-def picture(url: Column, title: Column, own: Column, pictures: Column, excluded: tuple[str, ...] = NO_PICTURE, most: int = 25) -> Column:
+def _thumbnail(url: Column) -> Column:
+    """Whether an address says that the picture is a small copy: by the word, or by a size of two or three digits a side before the ending, as in ``x-150x90.jpg``."""
+    whole = lambda n: F.length(n).between(2, 3) & n.try_cast("int").isNotNull()
+    sized = lambda part: (F.size(F.split(F.substring_index(part, ".", 1), "x")) == 2) & F.forall(F.split(F.substring_index(part, ".", 1), "x"), whole) & part.contains(".")
+    return F.lower(url).contains("thumb") | F.exists(F.slice(F.split(F.lower(url), "-"), 2, 1 << 20), sized)
+
+
+def picture(url: Column, title: Column, own: Column, pictures: Column, excluded: tuple[str, ...] = (), most: int = 25) -> Column:
     """Struct of url, alt, origin: the page's own picture, else the best of the first ``most`` in its body, if it is worth 2 points or more.
 
     Points: up to 3 for an early place (half a one less for each before), 3 or 2 for 240,000 or 60,000 pixels, 1.5 for each of
     up to three words that its description shares with the headline (by six letters), half a one if it loads late, one less
-    for a thumbnail. Pictures with a side under 120 are none.
+    for a thumbnail. Pictures with a side under 120, or with a word of ``excluded`` (in lower case) in their address, are none.
     """
     usable = lambda x: ~_any_of(x["url"], excluded)
     published = F.try_element_at(F.array_sort(F.transform(F.filter(own, usable), lambda x, i: F.struct(x["kind"].alias("kind"), i.alias("i"), x["url"].alias("url")))), F.lit(1))
@@ -125,7 +164,7 @@ def picture(url: Column, title: Column, own: Column, pictures: Column, excluded:
         shared = F.size(F.filter(wanted, lambda w: alt.contains(F.concat(F.lit(" "), w))))
         size = F.when(wide * high >= 240_000, 3.0).when(wide * high >= 60_000, 2.0).otherwise(0.0)
         small = wide.between(1, 119) | high.between(1, 119)
-        total = F.greatest(F.lit(0.0), 3 - i / 2) + size + 1.5 * F.least(F.lit(3), shared) + F.when(x["late"], 0.5).otherwise(0.0) - F.when(x["url"].rlike(r"(?i)thumb|-\d{2,3}x\d{2,3}\."), 1.0).otherwise(0.0)
+        total = F.greatest(F.lit(0.0), 3 - i / 2) + size + 1.5 * F.least(F.lit(3), shared) + F.when(x["late"], 0.5).otherwise(0.0) - F.when(_thumbnail(x["url"]), 1.0).otherwise(0.0)
         return F.struct(F.when(usable(x) & ~small, total).otherwise(F.lit(-1.0)).alias("points"), (-i).alias("place"), x["url"].alias("url"), x["alt"].alias("alt"))
 
     best = F.array_max(F.transform(F.slice(pictures, 1, most), points))
@@ -133,7 +172,7 @@ def picture(url: Column, title: Column, own: Column, pictures: Column, excluded:
     return F.when(published.isNotNull(), made(published["url"], title, "publisher")).when(best["points"] >= 2, made(best["url"], F.when(best["alt"] != "", best["alt"]).otherwise(title), "in-article"))
 
 
-def extract(pages: DataFrame, boilerplate: tuple[str, ...] = BOILERPLATE, excluded: tuple[str, ...] = NO_PICTURE, most_page: int | None = None, most_text: int | None = None) -> DataFrame:
+def extract(pages: DataFrame, boilerplate: tuple[str, ...] = (), excluded: tuple[str, ...] = (), most_page: int | None = None, most_text: int | None = None) -> DataFrame:
     """url, text, links, image of stored pages (url, html and, for the picture's choice, title). Pages are read whole unless the caller bounds them."""
     found = read(pages, most_page)
     if "title" in pages.columns:
@@ -143,8 +182,8 @@ def extract(pages: DataFrame, boilerplate: tuple[str, ...] = BOILERPLATE, exclud
     return found.select("url", body_text(F.col("paragraphs"), boilerplate, most_text).alias("text"), "links", picture(F.col("url"), F.coalesce("title", F.lit("")), F.col("own"), F.col("pictures"), excluded).alias("image"))
 
 
-def redirect_target(links: Column, hosts: tuple[str, ...] = ("google.com", "googleusercontent.com", "gstatic.com", "googleapis.com", "youtube.com", "blogger.com")) -> Column:
-    """The first link that leads outside the given hosts."""
+def redirect_target(links: Column, hosts: tuple[str, ...]) -> Column:
+    """The first link that leads outside ``hosts`` (those of the service that redirects, with their subdomains)."""
     own = "|".join(re.escape(h) for h in hosts)
     host = lambda u: F.coalesce(F.try_parse_url(u, F.lit("HOST")), F.lit(""))
     return F.try_element_at(F.filter(links, lambda u: (host(u) != "") & ~host(u).rlike(rf"(^|\.)({own})$")), F.lit(1))

@@ -18,7 +18,7 @@ PAGE = f"""<html><head><meta property="og:image" content="/pictures/clinic.jpg">
 
 def read(spark, *rows):
     kind = "url string, html string, title string"
-    return {r.url: r for r in pages.extract(spark.createDataFrame(list(rows), kind)).collect()}
+    return {r.url: r for r in pages.extract(spark.createDataFrame(list(rows), kind), boilerplate=("newsletter",), excluded=("logo", "sprite")).collect()}
 
 
 def test_pages(spark):
@@ -57,7 +57,7 @@ def test_word_lists_are_parameters(spark):
 
 def test_redirects(spark):
     df = spark.createDataFrame([(["https://news.google.com/x", "https://www.youtube.com/y", "https://paper.example.com/z"],), (["https://a.google.com/"],), ([],)], "links array<string>")
-    assert [r[0] for r in df.select(pages.redirect_target(F.col("links"))).collect()] == ["https://paper.example.com/z", None, None]
+    assert [r[0] for r in df.select(pages.redirect_target(F.col("links"), ("google.com", "youtube.com"))).collect()] == ["https://paper.example.com/z", None, None]
 
 
 def test_enriched_articles(spark):
