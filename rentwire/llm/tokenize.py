@@ -134,7 +134,10 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the number of each text. A null text is empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
-        slots, sizes, odd = self.chunks(texts)
+        return self.ids_of(texts, *self.chunks(texts))
+
+    def ids_of(self, texts: pa.Array, slots: np.ndarray, sizes: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` from the texts' chunks."""
         each = self.n[slots]
         ends = np.cumsum(each)
         ids = self.pool[gathered(self.at[slots], each)]
