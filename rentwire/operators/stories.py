@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rentwire.functions import news
 
-from .components import roots
-from .tables import cut
+from . import similar
+from .tables import cut, discard, ordered, partitions
 
 NEAR, LOOSE = 0.8, 0.45
 
@@ -27,103 +27,166 @@ def prepared(articles: DataFrame, orgs: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def evidence(orgs: Column, facts: Column) -> Column:
-    """Keys of what an article names and counts: two articles share one if they share an organization or have figures of a kind within two percent.
+#: Articles that one task decides at once, about.
+BLOCK = 20_000
+KINDS = ("money", "headcount", "sqft")
 
-    Figures fall into steps of a little over two percent; each has the keys of its step and of the next.
-    """
-    keys = [F.transform(orgs, lambda o: F.concat(F.lit("org:"), o))]
-    for kind in ("money", "headcount", "sqft"):
-        step = lambda v: F.floor(F.log(v.cast("double")) / math.log(1.0205))
-        keys.append(F.flatten(F.transform(facts[kind], lambda v, kind=kind: F.array(*(F.concat(F.lit(f"{kind}:"), (step(v) + k).cast("string")) for k in (0, 1))))))
-    return F.array_distinct(F.concat(*keys))
 
+def atoms(orgs: Column, facts: Column) -> Column:
+    """What an article names and counts: array of (kind, name, value)."""
+    made = lambda kind, name, value: F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.cast("double").alias("value"))
+    of = lambda kind: F.transform(facts[kind], lambda v: made(kind, F.lit(""), v))
+    figures = [of(kind) for kind in KINDS]
+    return F.array_distinct(F.concat(F.transform(orgs, lambda o: made("org", o, F.lit(0))), *figures))
 
-def candidate_links(p: DataFrame) -> DataFrame:
-    """x, y: pairs that the greedy rule could ever join, so that components of them can be clustered apart.
 
-    Equal url keys, titles and token sets are chained to the smallest seq (a star, not a clique). Titles of Jaccard 0.8 or more
-    meet on the rarest of their tokens (a prefix long enough that they share one). Less like ones can only join with
-    evidence, so they meet on a token of a longer prefix together with a key of their evidence, one of each token set and key.
-    """
+def rooms(scan: Column, kind: Column, name: Column, value: Column) -> Column:
+    """Where an atom meets those that agree with it: organizations by name; figures fall into steps of a little over two percent, and each is in the room of its step and of the next."""
+    step = F.floor(F.log(F.abs(value)) / math.log(1.0205))
+    figure = F.array(*(F.concat_ws("|", scan, kind, F.signum(value).cast("int"), step + k) for k in (0, 1)))
+    return F.when(kind == "org", F.array(F.concat_ws("|", scan, kind, name))).when(value == 0, F.array(F.concat_ws("|", scan, kind))).otherwise(figure)
+
+
+def agree(x: Column, y: Column) -> Column:
+    return (x == y) | (F.abs(x - y) <= F.greatest(F.abs(x), F.abs(y)) * 0.02)
+
 
-    def star(key: str) -> DataFrame:
-        keyed = p.filter(F.col(key) != "")
-        hub = keyed.groupBy("scan_id", key).agg(F.min("seq").alias("x"), F.count("*").alias("n")).filter("n > 1").select("scan_id", key, "x")
-        return keyed.select("scan_id", key, F.col("seq").alias("y")).join(hub, ["scan_id", key]).filter("x <> y").select("x", "y")
+def likenesses(p: DataFrame, made: list[str]) -> tuple[DataFrame, DataFrame]:
+    """unit, ord: the units of each article: its title (a set of tokens), and its title with each of its atoms; and i, j: which units are so like that a story of one takes the other.
 
+    Titles alike at NEAR are, and titles alike at LOOSE with atoms that agree. Both ways round; a title of several articles also
+    goes with itself. Units without such a partner are left out. p: scan_id, ord, tokens, orgs, facts.
+    """
     worded = p.filter(F.size("tokens") > 0).withColumn("tokens", F.array_sort("tokens"))
-    titles = cut(worded.groupBy("scan_id", "tokens").agg(F.min("seq").alias("title")).withColumn("n", F.size("tokens")))
-    members = worded.select("scan_id", "tokens", F.col("seq").alias("y")).join(titles.select("scan_id", "tokens", F.col("title").alias("x")), ["scan_id", "tokens"]).filter("x <> y").select("x", "y")
-    words = titles.select("scan_id", "title", "n", F.explode("tokens").alias("t"))
+    titles = cut(worded.groupBy("scan_id", "tokens").agg(F.min("ord").alias("title"), F.count("*").alias("articles")), made)
+    words = titles.select("scan_id", "title", F.explode("tokens").alias("t"))
     often = words.groupBy("scan_id", "t").agg(F.count("*").alias("df"))
-    ranked = cut(words.join(often, ["scan_id", "t"]).groupBy("scan_id", "title", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda s: s["t"]).alias("ts")))
-
-    def met(rows: DataFrame, share: float, *keys: str) -> DataFrame:
-        """Pairs of rows (seq, title, n, ts) that share the keys and a token of their prefixes and are alike enough by size."""
-        prefix = rows.withColumn("t", F.explode(F.slice("ts", F.lit(1), (F.col("n") - F.ceil(F.col("n") * share) + 1).cast("int")))).drop("ts")
-        other = prefix.select(*keys, "t", F.col("seq").alias("y"), F.col("title").alias("other"), F.col("n").alias("m"))
-        pairs = prefix.join(other, [*keys, "t"]).filter((F.col("title") < F.col("other")) & (F.least("n", "m") >= F.greatest("n", "m") * share)).select(F.col("seq").alias("x"), "y", "title", "other").distinct()
-        sides = [titles.select(F.col("title").alias(c), F.col("tokens").alias(f"t_{c}")) for c in ("title", "other")]
-        both = F.size(F.array_intersect("t_title", "t_other"))
-        return pairs.join(sides[0], "title").join(sides[1], "other").filter(both >= share * (F.size("t_title") + F.size("t_other") - both)).select("x", "y")
-
-    near = met(ranked.withColumn("seq", F.col("title")), NEAR, "scan_id")
-    proven = worded.select("scan_id", "tokens", "seq", F.explode(evidence(F.col("orgs"), F.col("facts"))).alias("evidence")).groupBy("scan_id", "tokens", "evidence").agg(F.min("seq").alias("seq"))
-    proven = proven.join(titles.select("scan_id", "tokens", "title"), ["scan_id", "tokens"]).drop("tokens").join(ranked, ["scan_id", "title"])
-    loose = met(proven, LOOSE, "scan_id", "evidence")
-    return star("url_key").unionByName(star("norm")).unionByName(members).unionByName(near).unionByName(loose).distinct()
-
-
-def replay(members: pd.DataFrame) -> pd.DataFrame:
-    """The greedy rule over one component: each article joins the first story that it fits, else begins one."""
-    m = members.sort_values(["score", "published", "seq"], ascending=[False, False, True], kind="stable")
-    stories: list[dict] = []
-    rows = []
-
-    def figures_agree(a, b) -> bool:
-        def fits(x, y):
-            most = max(abs(x), abs(y))
-            return x == y or (most > 0 and abs(x - y) <= most * 0.02)
-
-        return any(fits(x, y) for kind in ("money", "headcount", "sqft") for x in a[kind] for y in b[kind])
-
-    for r in m.itertuples():
-        tokens, orgs = set(r.tokens), set(r.orgs)
-        role = "primary"
-        for s in stories:
-            union = tokens | s["tokens"]
-            like = len(tokens & s["tokens"]) / len(union) if union else 0.0
-            if not ((r.url_key and r.url_key in s["urls"]) or r.norm in s["norms"] or like >= NEAR or (like >= LOOSE and (orgs & s["orgs"] or figures_agree(r.facts, s["facts"])))):
-                continue
-            role = "duplicate" if r.source in s["sources"] else "corroborator"
-            if role == "corroborator":
-                s["sources"].add(r.source)
-            s["urls"].add(r.url_key)
-            s["norms"].add(r.norm)
-            break
+    ranked = cut(words.join(often, ["scan_id", "t"]).groupBy("scan_id", "title").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "t"))), lambda s: s["t"]).alias("ts")), made)
+    near = similar.pairs(ranked.select(F.col("title").alias("id"), F.col("title").alias("owner"), F.col("scan_id").alias("room"), "ts"), NEAR, made)
+    near = near.select((F.col("x") * 2).alias("x"), (F.col("y") * 2).alias("y"))
+    own = cut(worded.join(titles.select("scan_id", "tokens", "title"), ["scan_id", "tokens"]).select("scan_id", "ord", "title", atoms(F.col("orgs"), F.col("facts")).alias("atoms")), made)
+    claims = own.select("scan_id", "ord", "title", F.explode("atoms").alias("a")).select("scan_id", "ord", "title", "a.*")
+    items = cut(claims.groupBy("scan_id", "title", "kind", "name", "value").agg(F.min("ord").alias("first")).withColumn("item", F.monotonically_increasing_id()), made)
+    placed = items.select(F.col("item").alias("id"), F.col("title").alias("owner"), F.explode(rooms(F.col("scan_id"), F.col("kind"), F.col("name"), F.col("value"))).alias("room"), "scan_id").join(ranked.select("scan_id", F.col("title").alias("owner"), "ts"), ["scan_id", "owner"])
+    loose = similar.pairs(placed.select("id", "owner", "room", "ts"), LOOSE, made)
+    value = lambda side: items.select(F.col("item").alias(side), F.col("value").alias(f"value_{side}"))
+    loose = loose.join(value("x"), "x").join(value("y"), "y").filter(agree(F.col("value_x"), F.col("value_y"))).select((F.col("x") * 2 + 1).alias("x"), (F.col("y") * 2 + 1).alias("y"))
+    one_way = cut(near.unionByName(loose), made)
+    itself = titles.filter("articles > 1").select((F.col("title") * 2).alias("i"), (F.col("title") * 2).alias("j"))
+    links = cut(one_way.select(F.col("x").alias("i"), F.col("y").alias("j")).unionByName(one_way.select(F.col("y").alias("i"), F.col("x").alias("j"))).unionByName(itself), made)
+    of_items = claims.join(items.drop("first"), ["scan_id", "title", "kind", "name", "value"]).select((F.col("item") * 2 + 1).alias("unit"), "ord")
+    units = own.select((F.col("title") * 2).alias("unit"), "ord").unionByName(of_items)
+    return cut(units.join(links.select(F.col("i").alias("unit")).distinct(), "unit", "left_semi"), made), links
+
+
+def decide(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
+    """The greedy rule over the undecided articles of a block, in order: the state of each is 1 (begins a story), 0 (is like one that does) or null (waits for an article of another block)."""
+    near: dict[int, list[int]] = {}
+    for i, j in zip(links.i.tolist(), links.j.tolist()):
+        near.setdefault(i, []).append(j)
+    taken, waiting, rows = set(), set(), []
+    for at, own in nodes.sort_values("ord", kind="stable").groupby("ord", sort=True):
+        units = own.unit.tolist()
+        if not taken.isdisjoint(units):
+            state = 0
         else:
-            s = {"id": r.seq, "tokens": tokens, "orgs": orgs, "facts": r.facts, "urls": {r.url_key}, "norms": {r.norm}, "sources": {r.source}}
-            stories.append(s)
-        rows.append((r.scan_id, r.seq, s["id"], role, len(rows)))
-    return pd.DataFrame(rows, columns=["scan_id", "seq", "cluster_id", "role", "place"])
+            waits = bool(own.waits.any()) or not waiting.isdisjoint(units)
+            state = None if waits else 1
+            (waiting if waits else taken).update(j for i in units for j in near.get(i, ()))
+        rows.append((at, state))
+    return pd.DataFrame(rows, columns=["ord", "state"]).astype({"state": "Int32"})
 
 
-def cluster(articles: DataFrame, orgs: tuple[str, ...] = ()) -> DataFrame:
-    """scan_id, seq, cluster_id (seq of the primary), role (primary, corroborator, duplicate), place (order within the component).
+def beginners(units: DataFrame, links: DataFrame, made: list[str]) -> DataFrame:
+    """unit, ord of the articles in ``units`` that begin a story: no earlier one that begins a story is like them.
 
-    Equal to the greedy rule over each whole scan: articles of different components can never join one story.
+    In each round the undecided articles are dealt in their order to blocks of about BLOCK, and each block decides what depends
+    on no undecided article of an earlier block. What a beginner is like to is then settled in joins.
+    """
+    open_, begun = units, []
+    while True:
+        asked = open_.select("ord").distinct()
+        parts = max(1, -(-asked.count() // BLOCK))
+        dealt = cut(asked.repartitionByRange(parts, "ord").withColumn("block", F.spark_partition_id()), made)
+        if dealt.isEmpty():
+            break
+        own = cut(open_.join(dealt, "ord"), made)
+        first = own.groupBy("unit").agg(F.min("ord").alias("first"))
+        earliest = links.join(first.withColumnRenamed("unit", "j"), "j").groupBy(F.col("i").alias("unit")).agg(F.min("first").alias("first"))
+        starts = dealt.groupBy("block").agg(F.min("ord").alias("start"))
+        nodes = own.join(earliest, "unit", "left").join(starts, "block").select("block", "ord", "unit", F.coalesce(F.col("first") < F.col("start"), F.lit(False)).alias("waits"))
+        within = own.select("block", "unit").distinct()
+        inner = within.withColumnRenamed("unit", "i").join(links, "i").join(within.withColumnRenamed("unit", "j"), ["block", "j"]).select("block", "i", "j")
+        nodes, inner = cut(nodes, made), cut(inner, made)  # a cogroup needs sides of their own
+        states = cut(nodes.groupBy("block").cogroup(inner.groupBy("block")).applyInPandas(decide, "ord long, state int"), made)
+        fresh = cut(own.join(states.filter("state = 1").select("ord"), "ord", "left_semi").select("unit", "ord"), made)
+        begun.append(fresh)
+        left = open_.join(states.filter("state is null").select("ord"), "ord", "left_semi")
+        taken = links.join(fresh.groupBy(F.col("unit").alias("j")).agg(F.min("ord").alias("first")), "j").groupBy(F.col("i").alias("unit")).agg(F.min("first").alias("first"))
+        settled = left.join(taken, "unit").filter("first < ord").select("ord").distinct()
+        open_ = cut(left.join(settled, "ord", "left_anti"), made)
+    found = units.limit(0)
+    for some in begun:
+        found = found.unionByName(some.select(*units.columns))
+    return found
+
+
+def follow(chains: DataFrame, stories: DataFrame, made: list[str]) -> DataFrame:
+    """ord, story: ``stories`` (ord, story or null) with each article of a chain (chain, ord) taken by the earliest story that any article before it in the chain is in.
+
+    The least value of all articles before is found over ranges of the chains, so that a chain of any length is spread over
+    tasks; repeated until nothing changes, as articles are in chains of urls and of titles.
+    """
+    ranged = cut(chains.repartitionByRange(partitions(chains.sparkSession), "chain", "ord").withColumn("part", F.spark_partition_id()), made)
+    earlier = W.partitionBy("chain").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    within = W.partitionBy("chain", "part").orderBy("ord").rowsBetween(W.unboundedPreceding, -1)
+    while True:
+        now = ranged.join(stories, "ord")
+        before = now.groupBy("chain", "part").agg(F.min("story").alias("story")).select("chain", "part", F.min("story").over(earlier).alias("before"))
+        least = now.withColumn("inner", F.min("story").over(within)).join(before, ["chain", "part"]).select("ord", F.least("before", "inner").alias("found")).groupBy("ord").agg(F.min("found").alias("found"))
+        better = F.col("found").isNotNull() & (F.col("story").isNull() | (F.col("found") < F.col("story")))
+        moved = cut(stories.join(least, "ord", "left").select("ord", F.least("story", "found").alias("story"), better.alias("moved")), made)
+        stories = moved.select("ord", "story")
+        if moved.filter("moved").isEmpty():
+            return stories
+
+
+def cluster(articles: DataFrame, orgs: tuple[str, ...] = (), scratch: list[str] | None = None) -> DataFrame:
+    """scan_id, seq, cluster_id (seq of the primary), role (primary, corroborator, duplicate), place (rises with the order within a scan).
+
+    Equal to the greedy rule over each whole scan, in the order of score, time and seq: an article joins the first story that holds
+    its url or title or whose primary is like it, else it begins one. An article with the url or title of an earlier one never
+    begins a story; of the others those begin one that no earlier beginner is like. An article's story is the earliest of those
+    whose beginner is like it and those of the articles before it with its url or its title. In a story, the first
+    article of each source but the primary's corroborates, the others are duplicates. scratch: gets the path of the result's table.
     """
-    p = cut(prepared(articles, orgs))
-    links = cut(candidate_links(p))
-    alone = p.withColumn("component", F.col("seq"))
-    if not links.isEmpty():
-        alone = p.join(roots(links), F.col("seq") == F.col("node"), "left").withColumn("component", F.coalesce("root", "seq")).drop("node", "root")
-    kinds = "scan_id string, seq long, cluster_id long, role string, place int"
-    sizes = W.partitionBy("scan_id", "component")
-    sized = alone.withColumn("_n", F.count("*").over(sizes))
-    single = sized.filter("_n = 1").select("scan_id", "seq", F.col("seq").alias("cluster_id"), F.lit("primary").alias("role"), F.lit(0).alias("place"))
-    return sized.filter("_n > 1").drop("_n").groupBy("scan_id", "component").applyInPandas(replay, kinds).unionByName(single)
+    made: list[str] = []
+    last = lambda x: F.coalesce(F.negative(x), F.lit(float("inf")))
+    order = F.struct(last(F.col("score").cast("double")).alias("a"), last(F.unix_micros("published").cast("double")).alias("b"), F.col("seq").alias("c"))
+    p = ordered(prepared(articles, orgs).withColumn("order", order), "scan_id", "order", name="ord", scratch=made)
+    chains = []
+    for k, key in enumerate(("url_key", "norm")):
+        keyed = p.filter("url_key <> ''") if key == "url_key" else p
+        groups = keyed.groupBy("scan_id", key).agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1")
+        chains.append(keyed.select("scan_id", key, "ord").join(groups, ["scan_id", key]).select((F.col("first") * 2 + k).alias("chain"), "ord", (F.col("ord") > F.col("first")).alias("later")))
+    chains = cut(chains[0].unionByName(chains[1]), made)
+    later = chains.filter("later").select("ord").distinct()
+    units, links = likenesses(p, made)
+    begun = cut(beginners(cut(units.join(later, "ord", "left_anti"), made), links, made), made)
+    like = links.join(begun.groupBy(F.col("unit").alias("j")).agg(F.min("ord").alias("first")), "j").groupBy(F.col("i").alias("unit")).agg(F.min("first").alias("first"))
+    taken = units.join(like, "unit").filter("first < ord").groupBy("ord").agg(F.min("first").alias("story"))
+    late = later.withColumn("late", F.lit(True))
+    stories = cut(p.select("ord").join(taken, "ord", "left").join(late, "ord", "left").select("ord", F.when(F.col("story").isNull() & F.col("late").isNull(), F.col("ord")).otherwise(F.col("story")).alias("story")), made)
+    if not chains.isEmpty():
+        stories = follow(chains.select("chain", "ord"), stories, made)
+    whole = p.select("scan_id", "seq", "source", "ord").join(stories, "ord")
+    first = whole.groupBy("story", "source").agg(F.min("ord").alias("first"))
+    beginner = p.select(F.col("ord").alias("story"), F.col("seq").alias("cluster_id"))
+    told = whole.join(first.withColumnRenamed("source", "s").withColumnRenamed("story", "of"), (F.col("story") == F.col("of")) & F.col("source").eqNullSafe(F.col("s"))).join(beginner, "story")
+    role = F.when(F.col("ord") == F.col("story"), "primary").when(F.col("ord") == F.col("first"), "corroborator").otherwise("duplicate")
+    out = cut(told.select("scan_id", "seq", "cluster_id", role.alias("role"), F.col("ord").alias("place")), scratch)
+    discard(articles.sparkSession, made)
+    return out
 
 
 def dedupe(articles: DataFrame, clustered: DataFrame) -> DataFrame:

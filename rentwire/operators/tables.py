@@ -24,20 +24,43 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/rentwire-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it: later jobs neither repeat its work nor depend on an executor's disk."""
+def cut(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it: later jobs neither repeat its work nor depend on an executor's disk.
+
+    scratch: gets the table's path, for ``discard`` once nothing reads it any more.
+    """
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
+    if scratch is not None:
+        scratch.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, scratch: list[str]) -> None:
+    """Deletes tables that ``cut`` wrote."""
+    for path in scratch:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    scratch.clear()
+
+
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def ordered(df: DataFrame, *order: str, name: str, scratch: list[str] | None = None) -> DataFrame:
+    """``df`` as a written table with a long ``name`` that rises with the order, range-sorted over all tasks; it has gaps."""
+    ranged = df.repartitionByRange(partitions(df.sparkSession), *order).sortWithinPartitions(*order)
+    return cut(ranged.withColumn(name, F.monotonically_increasing_id()), scratch)
+
+
 def numbered(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
     """``df`` with the number (from 1) of each row of a group in its order, as a written table.
 
     Rows are range-sorted over all tasks; a group's number starts where the tasks before left off, so that a group of any
     size is spread over tasks and only a row for each task and group is counted.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(df.sparkSession)
     ranged = cut(df.repartitionByRange(parts, group, order).sortWithinPartitions(group, order).withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
     runs = ranged.groupBy(group, "_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy(group).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
