@@ -22,37 +22,82 @@ def _picture(media: Column) -> Column:
     return F.try_element_at(F.filter(media, lambda m: (m["_url"] != "") & ((kind(m) == "") | kind(m).startswith("image"))), F.lit(1))["_url"]
 
 
+_OPTIONS = {"attributePrefix": "_", "valueTag": "_VALUE", "ignoreNamespace": "false", "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+_OWN = ("origin", "region_implied", "topic_implied")
+
+
+def _bodies(feeds: DataFrame) -> DataFrame:
+    """origin, the implied flags, and what the parser made of each body: rss, atom, and whether it is well-formed."""
+    body = F.regexp_replace(F.trim(F.regexp_replace(F.coalesce("body", F.lit("")), "^\ufeff", "")), r"^<\?xml[^>]*\?>", "")
+    flags = [F.col(c) if c in feeds.columns else F.lit(False).alias(c) for c in _OWN[1:]]
+    read = feeds.select("origin", *flags, body.alias("body"))
+    is_atom = F.col("body").rlike("<feed[\\s>]")
+    read = read.withColumns({"rss": F.from_xml("body", f"{RSS}, _bad string", _OPTIONS), "atom": F.when(is_atom, F.from_xml("body", f"{ATOM}, _bad string", _OPTIONS))})
+    # the parser stops where the root ends, so that what comes behind it is looked at here
+    bare = F.regexp_replace("body", r"(?s)<!\[CDATA\[.*?\]\]>|<!--.*?-->|<\?.*?\?>|<!DOCTYPE[^>\[]*(?:\[.*?\])?\s*>", "")
+    root = F.regexp_extract(bare, r"^\s*<([^\s<>/!?]+)", 1)
+    ends = F.split(bare, F.concat(F.lit(r"</\Q"), root, F.lit(r"\E\s*>")), -1)
+    whole = bare.rlike(r"^\s*<[^<>]*/>\s*$") | ((F.size(ends) == 2) & (F.trim(F.regexp_replace(F.element_at(ends, -1), r"\s", "")) == ""))
+    well = F.col("rss").isNotNull() & F.col("rss._bad").isNull() & (root != "") & whole
+    return read.withColumn("well", F.coalesce(well, F.lit(False))).drop("body")
+
+
+def _rss_fields(i: Column) -> list[Column]:
+    return [
+        news.strip_html(i["title"]).alias("title"), _first(i["link"], i["guid"]).alias("link"), _first(i["description"], i["content:encoded"]).alias("summary"),
+        news.parse_time(_first(i["pubDate"], i["dc:date"])).alias("published"), _first(i["source"]["_VALUE"]).alias("source_name"), F.coalesce(i["source"]["_url"], F.lit("")).alias("source_url"),
+        F.coalesce(_picture(i["media:content"]), _picture(i["enclosure"]), _picture(i["media:thumbnail"]), F.lit("")).alias("image_url"),
+    ]
+
+
+def _atom_fields(i: Column) -> list[Column]:
+    alternate = F.try_element_at(F.filter(i["link"], lambda x: (F.coalesce(x["_rel"], F.lit("alternate")) == "alternate") & (x["_href"] != "")), F.lit(1))["_href"]
+    any_link = F.try_element_at(F.filter(i["link"], lambda x: x["_href"] != ""), F.lit(1))["_href"]
+    return [
+        news.strip_html(i["title"]).alias("title"), F.coalesce(alternate, any_link, F.lit("")).alias("link"), _first(i["summary"], i["content"]).alias("summary"),
+        news.parse_time(_first(i["published"], i["updated"])).alias("published"), *(F.lit("").alias(c) for c in ("source_name", "source_url", "image_url")),
+    ]
+
+
 def parse(feeds: DataFrame) -> DataFrame:
     """origin, region_implied, topic_implied and the fields of each item of stored feed bodies (origin, body, …).
 
-    A body that is neither gives no items; source_results() tells of it.
+    A body that is not well-formed, or is neither RSS nor Atom, gives no items; source_results() tells of it.
     """
-    body = F.regexp_replace(F.trim(F.regexp_replace("body", "^﻿", "")), r"^<\?xml[^>]*\?>", "")
-    own = [F.col(c) if c in feeds.columns else F.lit(False).alias(c) for c in ("region_implied", "topic_implied")]
-    plain = {"attributePrefix": "_", "valueTag": "_VALUE", "ignoreNamespace": "false"}
-    read = feeds.select("origin", *own, body.alias("body"))
-    rss = read.filter(F.col("body").rlike("<rss[\\s>]")).select("origin", "region_implied", "topic_implied", F.explode(F.from_xml("body", RSS, plain)["channel"]["item"]).alias("i"))
-    i = F.col("i")
-    rss = rss.select(
-        "origin", "region_implied", "topic_implied", news.strip_html(i["title"]).alias("title"), _first(i["link"], i["guid"]).alias("link"),
-        _first(i["description"], i["content:encoded"]).alias("summary"), news.parse_time(_first(i["pubDate"], i["dc:date"])).alias("published"), _first(i["source"]["_VALUE"]).alias("source_name"),
-        F.coalesce(i["source"]["_url"], F.lit("")).alias("source_url"), F.coalesce(_picture(i["media:content"]), _picture(i["enclosure"]), _picture(i["media:thumbnail"]), F.lit("")).alias("image_url"),
-    )
-    atom = read.filter(F.col("body").rlike("<feed[\\s>]")).select("origin", "region_implied", "topic_implied", F.explode(F.from_xml("body", ATOM, plain)["entry"]).alias("i"))
-    alternate = F.try_element_at(F.filter(i["link"], lambda x: (F.coalesce(x["_rel"], F.lit("alternate")) == "alternate") & (x["_href"] != "")), F.lit(1))["_href"]
-    any_link = F.try_element_at(F.filter(i["link"], lambda x: x["_href"] != ""), F.lit(1))["_href"]
-    atom = atom.select(
-        "origin", "region_implied", "topic_implied", news.strip_html(i["title"]).alias("title"), F.coalesce(alternate, any_link, F.lit("")).alias("link"), _first(i["summary"], i["content"]).alias("summary"),
-        news.parse_time(_first(i["published"], i["updated"])).alias("published"), F.lit("").alias("source_name"), F.lit("").alias("source_url"), F.lit("").alias("image_url"),
-    )
-    return rss.unionByName(atom)
-
-
-def source_results(feeds: DataFrame, items: DataFrame) -> DataFrame:
-    """origin, ok, items, error: one row a feed. A body that does not parse is one failed source; the rest go on."""
-    whole = F.col("body").rlike(r"(?s)<(rss|feed)[\s>].*</\1>\s*$")
-    counts = items.groupBy("origin").agg(F.count("*").alias("n"))
-    return feeds.select("origin", whole.alias("ok")).join(counts, "origin", "left").select("origin", "ok", F.when(F.col("ok"), F.coalesce("n", F.lit(0))).otherwise(F.lit(0)).alias("items"), F.when(~F.col("ok"), F.lit("not a whole feed")).otherwise(F.lit("")).alias("error"))
+    read = _bodies(feeds).filter("well")
+    rss = read.select(*_OWN, F.explode("rss.channel.item").alias("i")).select(*_OWN, *_rss_fields(F.col("i")))
+    return rss.unionByName(read.select(*_OWN, F.explode("atom.entry").alias("i")).select(*_OWN, *_atom_fields(F.col("i"))))
+
+
+def parse_files(spark: SparkSession, path: str, atom: bool = False) -> DataFrame:
+    """``parse`` for feed files of any size: each file is an origin and one task's, which reads it an item a row and never as a whole.
+
+    Items that don't parse, each alone, are left out; ``damaged_files`` tells of them.
+    """
+    return _items(spark, path, atom).filter("_bad is null").select("origin", *(F.lit(False).alias(c) for c in _OWN[1:]), *(_atom_fields if atom else _rss_fields)(F.struct("*")))
+
+
+def damaged_files(spark: SparkSession, path: str, atom: bool = False) -> DataFrame:
+    """origin, titled (items with a title) and damaged (items that don't parse) of each feed file that has such."""
+    counts = _items(spark, path, atom).groupBy("origin").agg(F.count("title").alias("titled"), F.count("_bad").alias("damaged"))
+    return counts.filter("damaged > 0")
+
+
+def _items(spark: SparkSession, path: str, atom: bool) -> DataFrame:
+    kind = ATOM.partition("<")[2].rpartition(">")[0].removeprefix("struct<").removesuffix(">") if atom else ITEM
+    read = spark.read.format("xml").options(**_OPTIONS, rowTag="entry" if atom else "item").schema(f"{kind}, _bad string").load(path)
+    return read.withColumn("origin", F.input_file_name())
+
+
+#: What source_results says of a body that does not parse.
+MALFORMED = "not well-formed"
+
+
+def source_results(feeds: DataFrame) -> DataFrame:
+    """origin, ok, items, error: one row a feed body. One that does not parse is one failed source; the rest go on. A well-formed body that is no feed is a source without items."""
+    n = lambda x: F.coalesce(F.when(F.size(x) > 0, F.size(x)), F.lit(0))
+    items = F.when(F.col("well"), n("rss.channel.item") + n("atom.entry")).otherwise(F.lit(0)).cast("long")
+    return _bodies(feeds).select("origin", F.col("well").alias("ok"), items.alias("items"), F.when(F.col("well"), F.lit("")).otherwise(F.lit(MALFORMED)).alias("error"))
 
 
 def catalogue(spark: SparkSession, searches: list[str], engines: dict[str, str], direct: list[tuple[str, str, bool, bool]]) -> DataFrame:
