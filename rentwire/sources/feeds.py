@@ -8,8 +8,9 @@ from rentwire.functions import news
 
 _MEDIA = "array<struct<_url:string,_medium:string,_type:string>>"
 ITEM = f"title string, link string, guid string, description string, `content:encoded` string, pubDate string, `dc:date` string, source struct<_VALUE:string,_url:string>, `media:content` {_MEDIA}, `media:thumbnail` {_MEDIA}, enclosure {_MEDIA}"
-RSS = f"channel struct<item:array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in ITEM.split(', '))}>>>"
-ATOM = "entry array<struct<title:string,link:array<struct<_href:string,_rel:string>>,summary:string,content:string,published:string,updated:string>>"
+ENTRY = "title string, link array<struct<_href:string,_rel:string>>, summary string, content string, published string, updated string"
+RSS, ATOM = (f"{at}array<struct<{', '.join(x.replace(' ', ':', 1) for x in fields.split(', '))}>>" for at, fields in (("channel struct<item:", ITEM), ("entry ", ENTRY)))
+RSS += ">"
 
 
 def _first(*xs: Column) -> Column:
@@ -84,8 +85,7 @@ def damaged_files(spark: SparkSession, path: str, atom: bool = False) -> DataFra
 
 
 def _items(spark: SparkSession, path: str, atom: bool) -> DataFrame:
-    kind = ATOM.partition("<")[2].rpartition(">")[0].removeprefix("struct<").removesuffix(">") if atom else ITEM
-    read = spark.read.format("xml").options(**_OPTIONS, rowTag="entry" if atom else "item").schema(f"{kind}, _bad string").load(path)
+    read = spark.read.format("xml").options(**_OPTIONS, rowTag="entry" if atom else "item").schema(f"{ENTRY if atom else ITEM}, _bad string").load(path)
     return read.withColumn("origin", F.input_file_name())
 
 
