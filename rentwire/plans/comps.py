@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rentwire.functions import cells, display as show
 from rentwire.operators import filters, shapes, stats
 from rentwire.operators.filters import Filters
+from rentwire.operators.medians import medians
 
 from .view import DEALS, deals, rounded, table
 
@@ -106,6 +107,12 @@ def first_page_by_text(spark, sf_dir):
     return filters.page(deals(spark, sf_dir).select("city", "source_row"), "city", False, 1, 25)
 
 
+@register("L38_deep_page", f"{D} SELECT area_leased, source_row FROM deals ORDER BY area_leased DESC NULLS LAST, source_row LIMIT 25 OFFSET 24975")
+def deep_page(spark, sf_dir):
+    """The thousandth page of 25, read from the parts of a sorted table that hold it."""
+    return filters.page_index(deals(spark, sf_dir).select("area_leased", "source_row"), "area_leased", True).page(1000, 25)
+
+
 @register("L39_report_rows", f"{D} SELECT source_row, lease_date, lessee FROM deals WHERE confidentiality NOT IN ('Confidential', 'Yes') ORDER BY lease_date DESC NULLS LAST, source_row, lessee LIMIT 100")
 def report_rows(spark, sf_dir):
     return filters.report_rows(deals(spark, sf_dir), 100, ("source_row", "lease_date", "lessee"))
@@ -123,7 +130,9 @@ def filter_lines(spark, sf_dir):
 
 @register("L41_basic_statistics", f"{D} SELECT city, round(avg(term_months), 4) AS mean, median(area_leased) AS median, sum(area_leased) AS total FROM deals GROUP BY city")
 def basic_statistics(spark, sf_dir):
-    return rounded(deals(spark, sf_dir).groupBy("city").agg(F.avg("term_months").alias("mean"), F.median("area_leased").alias("median"), F.sum("area_leased").alias("total")))
+    d = deals(spark, sf_dir).select("city", "term_months", "area_leased")
+    plain = d.groupBy("city").agg(F.avg("term_months").alias("mean"), F.sum("area_leased").alias("total"))
+    return rounded(plain.join(medians(d, ["city"], {"median": F.col("area_leased")}), "city").select("city", "mean", "median", "total"))
 
 
 @register("L42_weighted_rent", f"{D} SELECT lessor, round({_RENT}, 4) AS rent FROM deals GROUP BY lessor")
@@ -248,6 +257,35 @@ def dashboard(spark, sf_dir):
     return rounded(m["totals"].crossJoin(m["kpis"].select("weighted_base_rent", "median_area")).crossJoin(m["signing"].select(F.col("signed_late_count").alias("late"))))
 
 
+_F = f"WITH every AS ({DEALS}), deals AS (SELECT * FROM every WHERE {_PASS})"
+
+
+def _frame(name: str, sql: str, key: str, n: str, value: str, more: str) -> str:
+    return f"SELECT '{name}' AS frame, {key} AS key, CAST({n} AS BIGINT) AS n, CAST({value} AS DOUBLE) AS value, CAST({more} AS DOUBLE) AS more FROM ({sql.replace(D, _F)})"
+
+
+_FIGURES_OF = {
+    "totals": (f"{_F} SELECT (SELECT count(*) FROM every) AS total_deals, count(*) AS matching FROM deals", ("total_deals", "matching")),
+    "kpis": (f"{D} {_KPIS}", ("deal_count", "mapped_count", "site_count", "total_area", "median_area", "weighted_base_rent", "average_base_rent", "average_term", "average_free_rent", "average_ti", "average_opex")),
+    "signing": (ORACLES["L50_signing"], ("signed_count", "paired_count", "median_lag_days", "signed_late_count")),
+}
+_FRAMES = [
+    *(_frame(name, f"SELECT unnest([{', '.join(repr(x) for x in names)}]) AS key, unnest([{', '.join(f'CAST({x} AS DOUBLE)' for x in names)}]) AS value FROM ({sql})", "key", "NULL", "value", "NULL") for name, (sql, names) in _FIGURES_OF.items()),
+    *(_frame(name, _series(date, measure, only), "key || '|' || series", "deals", "amount", "avg_rent") for name, date, measure, only in (("activity", "lease_date", "area", False), ("rent_trend", "lease_date", "area", True), ("signed_activity", "execution_date", "deals", False))),
+    *(_frame(name, ORACLES[f"L44_{name}"], "place || '|' || name", "deals", "area", "avg_rent") for name in ("by_lease_type", "by_city", "by_subtype", "by_lessor")),
+    *(_frame(name, _histogram(value, target), "CAST(bin AS VARCHAR)", "count", "low", "high") for name, value, target in (("area_bins", "area_leased", 12), ("term_bins", "term_months", 10), ("lag_bins", "date_diff('day', execution_date, lease_date)", 12))),
+    _frame("coverage", ORACLES["L49_coverage"], "label", "present", "percent", "NULL"),
+]
+
+
+@register("L51_frames", "SELECT frame, key, n, round(value, 4) AS value, round(more, 4) AS more FROM (" + " UNION ALL ".join(_FRAMES) + ")")
+def frames(spark, sf_dir):
+    """All fourteen frames, from one read of the deals."""
+    from .dashboard import model, rows
+
+    return rounded(rows(model(deals(spark, sf_dir), CHOSEN, split_by="property_subtype")))
+
+
 _COMMAS = "format('{{:,}}', CAST(floor({0} + 0.5) AS BIGINT))"
 _ONE = "printf('%.1f', floor(({0}) * 10 + 0.5) / 10)"
 _PLAIN = "CASE WHEN floor({0} * 10 + 0.5) % 10 = 0 THEN CAST(CAST(floor({0} * 10 + 0.5) / 10 AS BIGINT) AS VARCHAR) ELSE " + _ONE + " END"
