@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
+from rentwire.operators.tables import cut, discard, partitions, shared_folder  # noqa: F401
+
 U = np.uint64
 #: ASCII white space, the word separator of the near-duplicate contract.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -20,50 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path under spark.checkpoint.dir.
-
-    Where that is unset, a session on one machine (tests) gets a temporary folder for it; on a cluster that is an error,
-    as no machine's own folder is safe there.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="rentwire-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/rentwire-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, scratch: list[str] | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it: later jobs neither repeat its work nor depend on an executor's disk.
-
-    scratch: gets the table's path, for ``discard`` once nothing reads it any more.
-    """
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    if scratch is not None:
-        scratch.append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, scratch: list[str]) -> None:
-    """Deletes tables that ``cut`` wrote."""
-    for path in scratch:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    scratch.clear()
-
-
 def with_fields(schema: StructType, kinds: dict[str, str]) -> StructType:
     """A schema with more columns, given as {name: SQL type}."""
     return StructType([*schema.fields, *(StructField(n, StructType.fromDDL(f"x {k}")["x"].dataType) for n, k in kinds.items())])
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def slices(batches, column: str, most_bytes: int = 1_500_000, most_rows: int = 4096):
     """Record batches in slices of bounded text, so that a task's memory follows its longest text and not its batch."""
     for batch in batches:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._common import SPACES, U, Words, cut, discard, keys, mix, separators, slices, text_bytes
-from .components import roots
+from rentwire.operators.components import roots
 
 BASE, RATE = 1.001, 20.0
 #: A pair at 0.8 shares no band with probability (1 - 0.8**5)**36, under one in a million.

@@ -171,20 +171,16 @@ def read_spans(docs: DataFrame) -> DataFrame:
     return read.select("doc_id", "text_hash", base.alias("base"), F.transform("instances", instance).alias("instances"))
 
 
-def phrases(text: Column) -> Column:
-    """Every word of a text and every two that follow each other."""
-    w = words(text)
-    n = F.size(w) - 1
-    return F.concat(w, F.when(n > 0, F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.expr("cast(array() as array<string>)")))
-
-
 def specific(occurrences: DataFrame, graph: DataFrame, docs: DataFrame, made: list[str]) -> DataFrame:
     """The patterns that may be trusted: with SUPPORT distinct seeds that are SEEDED of its instances or more, and phrases that stand beside an instance in SPECIFIC of their occurrences."""
     support = graph.groupBy("pattern").agg(F.sum("seed").alias("seeds"), F.count("*").alias("n")).filter((F.col("seeds") >= SUPPORT) & (F.col("seeds") >= SEEDED * F.col("n")))
     beside = occurrences.select(F.explode("patterns").alias("pattern")).groupBy("pattern").agg(F.count("*").alias("beside"))
     asked = cut(support.join(beside, "pattern").select("pattern", "beside", F.substring("pattern", 2, 1000).alias("phrase")), made)
-    spoken = docs.select(F.explode(phrases(F.col("text").cast("string"))).alias("phrase")).join(asked.select("phrase").distinct(), "phrase", "left_semi")
-    counts = spoken.groupBy("phrase").agg(F.count("*").alias("n"))
+    # each word beside the one before it; the few that end an asked phrase go on
+    spoken = docs.select(words(F.col("text").cast("string")).alias("w")).select(F.inline(F.arrays_zip(F.concat(F.array(F.lit("")), "w"), "w")).alias("one", "two"))
+    ends = spoken.join(cut(asked.select(F.substring_index("phrase", " ", -1).alias("two")).distinct(), made), "two", "left_semi")
+    phrases = ends.select(F.explode(F.array("two", F.concat_ws(" ", "one", "two"))).alias("phrase")).join(asked.select("phrase").distinct(), "phrase", "left_semi")
+    counts = phrases.groupBy("phrase").agg(F.count("*").alias("n"))
     return cut(asked.join(counts, "phrase").filter(F.col("beside") >= F.col("n") * SPECIFIC).select("pattern"), made)
 
 
