@@ -86,8 +86,8 @@ def merge_hits(deals: DataFrame, hits: DataFrame, looked_up: DataFrame | None =
 
 
 def seed_from_cache(deals: DataFrame, cache: DataFrame) -> DataFrame:
-    """Deals that lack coordinates take them from the cache; an entry without a grade is approximate."""
-    seen = cache.filter("address_key <> ''").select(F.col("address_key").alias("_c"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), F.coalesce("grade", F.lit("approximate")).alias("c_grade"))
+    """Deals that lack coordinates take them from the cache, an address's last entry; an entry without a grade is approximate."""
+    seen = last_entries(cache.filter("address_key <> ''")).select(F.col("address_key").alias("_c"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), F.coalesce("grade", F.lit("approximate")).alias("c_grade"))
     lacks = F.col("lat").isNull() | F.col("lon").isNull()
     joined = deals.withColumn("_k", F.when(lacks & (F.col("address_key") != ""), F.col("address_key"))).join(seen, F.col("_k") == F.col("_c"), "left")
     hit = F.col("c_lat").isNotNull()
@@ -95,9 +95,16 @@ def seed_from_cache(deals: DataFrame, cache: DataFrame) -> DataFrame:
 
 
 def retain_cache(cache: DataFrame, most: int = MOST_CACHED) -> DataFrame:
-    """The last entry of each address, the newest ``most`` of them."""
-    last = W.partitionBy("address_key").orderBy(F.desc("ts"))
-    return cache.withColumn("_r", F.row_number().over(last)).filter("_r = 1").drop("_r").orderBy(F.desc("ts"), "address_key").limit(most)
+    """The last entry of each address, the newest ``most`` of them. Of entries of one time the greatest by its columns stays, so that every run keeps the same."""
+    return last_entries(cache).orderBy(F.desc("ts"), "address_key").limit(most)
+
+
+def last_entries(cache: DataFrame) -> DataFrame:
+    """One row an address, that of the last ts (then the greatest by its columns), with map-side reduction."""
+    others = [c for c in cache.columns if c not in ("address_key", "ts")]
+    order = F.struct(*(["ts"] if "ts" in cache.columns else []), *others)
+    kept = cache.groupBy("address_key").agg(F.max(order).alias("_last"))
+    return kept.select(*(F.col("address_key") if c == "address_key" else F.col(f"_last.`{c}`").alias(c) for c in cache.columns))
 
 
 def sites(deals: DataFrame, with_rows: bool = True) -> DataFrame:
