@@ -30,11 +30,12 @@ NEAR = 2
 SLACK = 1e-6
 
 
-def integers(vectors: DataFrame, scale: int) -> DataFrame:
-    """row (a number of its own, once written), vec_id and v (array of floor(scale * x)) of the rows that take part: no null or non-finite component, no null id."""
+def integers(vectors: DataFrame, scale: int, asks: Column | None = None) -> DataFrame:
+    """row (a number of its own, once written), vec_id and v (array of floor(scale * x)) of the rows that take part: no null or non-finite component, no null id; and asks (whether a row is a query) if given, from any columns."""
     x = F.col("embedding")
     whole = x.isNotNull() & F.col("vec_id").isNotNull() & F.forall(x, lambda c: F.coalesce(c.cast("double").between(-1.7e308, 1.7e308), F.lit(False)))
-    return vectors.filter(whole).select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"))
+    more = [] if asks is None else [F.coalesce(asks, F.lit(False)).alias("asks")]
+    return vectors.filter(whole).select(*more, F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long")).alias("v"))
 
 
 def matrix(rows: list, width: int) -> np.ndarray:
@@ -194,7 +195,7 @@ def visit(index: DataFrame, s: Space, rows: np.ndarray, q: np.ndarray, k: int, n
 
 
 def top_k(vectors: DataFrame, asks: Column, k: int = 10, scale: int = 1024, pivots: int = PIVOTS, group: int = GROUP) -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each row where ``asks`` holds, the k rows of the highest inner product.
+    """query_id, rank (from 1), vec_id, score: for each row where ``asks`` (of any columns of ``vectors``) holds, the k rows of the highest inner product.
 
     ``vectors`` needs vec_id and embedding. Ties go to the smaller vec_id; fewer than k other rows give all of them. Rows
     whose id or vector is null, or whose vector holds a null or non-finite component, take no part. A shorter vector
@@ -202,8 +203,8 @@ def top_k(vectors: DataFrame, asks: Column, k: int = 10, scale: int = 1024, pivo
     are queries and candidates each: only the query's own row is no candidate.
     """
     spark = vectors.sparkSession
-    taking = cut(integers(vectors, scale))
-    queries = cut(taking.filter(asks))
+    whole = cut(integers(vectors, scale, asks))
+    queries, taking = cut(whole.filter("asks").drop("asks")), whole.drop("asks")
     total = queries.count()
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")

@@ -114,3 +114,19 @@ def test_languages_whose_texts_repeat_are_learnt(spark):
         assert set(model.langs) == {"en", "pl"}
     got = language.identify(spark.createDataFrame([("rzeka płynie przez wzgórze i dzień",), ("the river runs on the hill",)], "text string"), model).collect()
     assert [r.lang_pred for r in got] == ["pl", "en"]
+
+
+def test_vectors_of_clashing_columns_and_odd_lengths(spark):
+    """``asks`` may be of any column, columns may be called as the operator's own, and vectors may be empty or long."""
+    from rentwire.llm import pivot_search
+
+    rows = [(k, [float(k % 5), 1.0], "q" if k == 3 else "c", k, 0) for k in range(20)] + [(50, [], "c", 0, 0), (51, [0.5] * 3000, "q", 0, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string, row int, query int")
+    got = [tuple(r) for r in pivot_search.top_k(df, F.col("label") == "q", k=2).orderBy("query_id", "rank").collect()]
+    dot = lambda a, b: sum(int(x * 1024 // 1) * int(y * 1024 // 1) for x, y in zip(a, b))
+    want = []
+    for q, v, label, *_ in rows:
+        if label == "q":
+            best = sorted((-dot(v, w), k) for k, w, *_ in rows if k != q)[:2]
+            want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    assert got == sorted(want)
