@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rentwire.functions import cells, display as show
-from rentwire.operators import filters, shapes, stats
+from rentwire.operators import cover, filters, shapes, stats
 from rentwire.operators.filters import Filters
 from rentwire.operators.medians import medians
 
@@ -73,6 +73,26 @@ def in_shapes(spark, sf_dir):
     return d.select(F.inline(F.array(*own))).groupBy("kind").agg(F.count_if("inside").alias("n"))
 
 
+#: A shape for each supplier, around a point by its number: corners of the polygons from there, half the side of the rectangles, radius of the circles.
+_CORNERS, _HALF, _REACH = ((-0.1003, -0.1501), (-0.05, 0.12), (0.11, 0.08), (0.0207, 0.0103), (0.09, -0.1)), 0.1017, 9000.0
+_PLACED = "SELECT s_suppkey, 30.0005::DOUBLE + (s_suppkey * 37 % 2000) / 1000.0::DOUBLE AS cy, -97.0005::DOUBLE - (s_suppkey * 91 % 3000) / 1000.0::DOUBLE AS cx FROM supplier"
+_CROSSED = " + ".join(f"CASE WHEN (cy + {y1} > lat) <> (cy + {y2} > lat) AND lon < (cx + {x2} - (cx + {x1})) * (lat - (cy + {y1})) / (cy + {y2} - (cy + {y1})) + (cx + {x1}) THEN 1 ELSE 0 END" for (y1, x1), (y2, x2) in zip(_CORNERS, _CORNERS[-1:] + _CORNERS[:-1]))
+_AWAY = f"2 * {shapes.RADIUS_M} * asin(least(1.0, sqrt(pow(sin(radians(lat - cy) / 2), 2) + cos(radians(cy)) * cos(radians(lat)) * pow(sin(radians(lon - cx) / 2), 2))))"
+
+
+@register("L32_shape_table", f"{D}, p AS ({_PLACED}) SELECT s_suppkey, count(*) AS n FROM p, deals WHERE lat IS NOT NULL AND CASE s_suppkey % 3 WHEN 0 THEN ({_CROSSED}) % 2 = 1 WHEN 1 THEN {_AWAY} <= {_REACH} ELSE abs(lat - cy) <= {_HALF} AND abs(lon - cx) <= {_HALF} END GROUP BY s_suppkey")
+def shape_table(spark, sf_dir):
+    """Deals in each of a table of polygons, circles and rectangles."""
+    placed = spark.sql(_PLACED.replace("::DOUBLE", "D").replace("FROM supplier", "FROM {supplier}"), supplier=table(spark, sf_dir, "supplier"))
+    ring = lambda corners: F.array(*(F.struct((F.col("cy") + y).alias("lat"), (F.col("cx") + x).alias("lon")) for y, x in corners))
+    of = F.col("s_suppkey") % 3
+    kind = F.when(of == 0, "polygon").when(of == 1, "circle").otherwise("rectangle")
+    rings = F.when(of == 0, ring(_CORNERS)).when(of == 1, ring([(0.0, 0.0)])).otherwise(ring([(-_HALF, -_HALF), (_HALF, _HALF)]))
+    drawn = placed.select(F.col("s_suppkey").cast("string").alias("shape_id"), kind.alias("kind"), rings.alias("ring"), F.lit(_REACH).alias("radius"))
+    met = cover.inside(deals(spark, sf_dir).select("lat", "lon"), drawn)
+    return met.groupBy(F.col("shape_id").cast("long").alias("s_suppkey")).agg(F.count("*").alias("n"))
+
+
 @register("L34_facets", f"{D} SELECT DISTINCT * FROM (SELECT 'cities' AS facet, trim(city) AS value FROM deals UNION ALL SELECT 'states', trim(state) FROM deals UNION ALL SELECT 'lease_types', trim(lease_type) FROM deals UNION ALL SELECT 'property_subtypes', trim(property_subtype) FROM deals) WHERE value <> ''")
 def facets(spark, sf_dir):
     return filters.facets(deals(spark, sf_dir))
