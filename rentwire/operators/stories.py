@@ -163,7 +163,8 @@ def cluster(articles: DataFrame, orgs: tuple[str, ...] = (), scratch: list[str]
     made: list[str] = []
     last = lambda x: F.coalesce(F.negative(x), F.lit(float("inf")))
     order = F.struct(last(F.col("score").cast("double")).alias("a"), last(F.unix_micros("published").cast("double")).alias("b"), F.col("seq").alias("c"))
-    p = ordered(prepared(articles, orgs).withColumn("order", order), "scan_id", "order", name="ord", scratch=made)
+    written = cut(prepared(articles, orgs).withColumn("order", order), made)  # a range sort reads its input twice
+    p = ordered(written, "scan_id", "order", name="ord", scratch=made)
     chains = []
     for k, key in enumerate(("url_key", "norm")):
         keyed = p.filter("url_key <> ''") if key == "url_key" else p
