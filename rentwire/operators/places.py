@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from rentwire.functions import cells
 
-from . import shapes
+from . import cover, shapes, term_index
 
 #: Grades, worst first.
 GRADES = ("approximate", "interpolated", "parcel", "rooftop")
 MOST_CACHED = 25_000
 #: Largest footprint part in square metres, cell of the footprint join in degrees, reach of a click in metres.
-LARGEST, CELL, REACH = 40_000.0, 0.005, 90.0
+LARGEST, REACH = 40_000.0, 90.0
+#: Quadtree cells that a part's outline is covered by, about.
+FOOTPRINT_CELLS = 16
 
 
 def grade_rank(x: Column) -> Column:
@@ -137,8 +139,11 @@ def grade_counts(deals: DataFrame) -> DataFrame:
 
 # Footprints: parts are arrays of rings (outer first, then holes), rings arrays of (lng, lat).
 def part_contains(part: Column, lat: Column, lng: Column) -> Column:
-    holes = F.slice(part, F.lit(2), F.size(part))
-    return shapes.ring_contains(F.element_at(part, 1), lat, lng, "lat", "lng") & ~F.exists(holes, lambda h: shapes.ring_contains(h, lat, lng, "lat", "lng"))
+    return shapes.ring_contains(F.element_at(part, 1), lat, lng, "lat", "lng") & ~in_holes(part, lat, lng)
+
+
+def in_holes(part: Column, lat: Column, lng: Column) -> Column:
+    return F.exists(F.slice(part, F.lit(2), F.size(part)), lambda h: shapes.ring_contains(h, lat, lng, "lat", "lng"))
 
 
 def part_area(part: Column) -> Column:
@@ -157,22 +162,26 @@ def footprint_parts(footprints: DataFrame) -> DataFrame:
     return out.withColumn("area", part_area(F.col("part"))).withColumn("key", part_key(F.col("part")))
 
 
-def _cells_of(low: Column, high: Column) -> Column:
-    return F.sequence(F.floor(low / CELL).cast("long"), F.floor(high / CELL).cast("long"))
+def sites_in_parts(site: DataFrame, parts: DataFrame, scratch: list[str] | None = None) -> DataFrame:
+    """The columns of ``site`` (lat, lon) and of ``parts`` (those of footprint_parts): a row for each part and site inside it.
+
+    Each outline is covered by cells of a quadtree that are as small as the outline asks for, and sites meet cells by key. So a
+    crowded block is many keys: however many sites stand in it, a key holds those of one cell, a fraction of a building.
+    """
+    told = parts.withColumn("shape_id", F.concat_ws("#", "footprint_id", "part_no", F.md5(F.to_json(F.struct("part"))))).dropDuplicates(["shape_id"])
+    ring = F.transform(F.element_at("part", 1), lambda v: F.struct(v["lat"].alias("lat"), v["lng"].alias("lon")))
+    drawn = told.select("shape_id", F.lit("polygon").alias("kind"), ring.alias("ring"), F.lit(0.0).alias("radius"))
+    around = cover.inside(site, drawn, FOOTPRINT_CELLS, scratch).join(told, "shape_id").drop("shape_id")
+    return around.filter(~in_holes(F.col("part"), F.col("lat"), F.col("lon")))
 
 
-def match_footprints(site: DataFrame, footprints: DataFrame) -> DataFrame:
+def match_footprints(site: DataFrame, footprints: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """site_id, footprint_id, key, area: the smallest part around each rooftop site, one site a footprint (the one with most deals).
 
-    Parts over LARGEST are dropped before their bounding boxes are cut into cells, which bounds the cells of a part; sites
-    and parts meet in an equi-join on the cell.
+    Parts over LARGEST are dropped before they are covered by cells. scratch: gets the path of the table of cells.
     """
     parts = footprint_parts(footprints).filter((F.col("area") > 0) & (F.col("area") <= LARGEST))
-    outer = F.element_at("part", 1)
-    lats, lngs = F.transform(outer, lambda v: v["lat"]), F.transform(outer, lambda v: v["lng"])
-    celled = parts.withColumn("cy", F.explode(_cells_of(F.array_min(lats), F.array_max(lats)))).withColumn("cx", F.explode(_cells_of(F.array_min(lngs), F.array_max(lngs))))
-    at = site.filter("grade = 'rooftop'").withColumn("cy", F.floor(F.col("lat") / CELL).cast("long")).withColumn("cx", F.floor(F.col("lon") / CELL).cast("long"))
-    inside = at.join(celled, ["cy", "cx"]).filter(part_contains(F.col("part"), F.col("lat"), F.col("lon")))
+    inside = sites_in_parts(site.filter("grade = 'rooftop'").select("site_id", "lat", "lon", "deals", "label"), parts, scratch)
     smallest = W.partitionBy("site_id").orderBy("area", "footprint_id", "part_no")
     picked = inside.withColumn("_r", F.row_number().over(smallest)).filter("_r = 1")
     one = W.partitionBy("key").orderBy(F.desc("deals"), "label", "site_id")
@@ -222,14 +231,10 @@ def nearest_sites(clicks: DataFrame, site: DataFrame, reach: float = REACH) -> D
     return out.filter("near is not null").select("click_id", F.col("near.site_id").alias("site_id"), F.col("near.metres").alias("metres"))
 
 
-def clicks_in_footprints(clicks: DataFrame, site: DataFrame, footprints: DataFrame, stamped: DataFrame) -> DataFrame:
+def clicks_in_footprints(clicks: DataFrame, site: DataFrame, footprints: DataFrame, stamped: DataFrame, scratch: list[str] | None = None) -> DataFrame:
     """click_id, site_id: of the sites inside the clicked footprint (click: footprint_id), the nearest; none inside, the site stamped by match_footprints."""
     parts = footprint_parts(footprints).filter(F.col("area") <= LARGEST)
-    outer = F.element_at("part", 1)
-    lats, lngs = F.transform(outer, lambda v: v["lat"]), F.transform(outer, lambda v: v["lng"])
-    celled = parts.withColumn("cy", F.explode(_cells_of(F.array_min(lats), F.array_max(lats)))).withColumn("cx", F.explode(_cells_of(F.array_min(lngs), F.array_max(lngs))))
-    at = site.select("site_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.floor(F.col("lat") / CELL).cast("long").alias("cy"), F.floor(F.col("lon") / CELL).cast("long").alias("cx"))
-    inside = at.join(celled, ["cy", "cx"]).filter(part_contains(F.col("part"), F.col("s_lat"), F.col("s_lon"))).select("footprint_id", "site_id", "s_lat", "s_lon").distinct()
+    inside = sites_in_parts(site.select("site_id", "lat", "lon"), parts, scratch).select("footprint_id", "site_id", F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon")).distinct()
     near = clicks.join(inside, "footprint_id").groupBy("click_id").agg(F.min(F.struct(shapes.haversine(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon")).alias("metres"), F.col("site_id"))).alias("near"))
     stamp = stamped.groupBy("footprint_id").agg(F.min("site_id").alias("stamp"))
     return clicks.join(near, "click_id", "left").join(stamp, "footprint_id", "left").select("click_id", F.coalesce("near.site_id", "stamp").alias("site_id")).filter("site_id is not null")
@@ -242,10 +247,20 @@ def search_sites(site: DataFrame, query: str, most: int = 12) -> DataFrame:
     found = F.lit(bool(terms))
     for t in terms:
         found = found & corpus.contains(t)
-    begins = F.lower("label").startswith(query.strip().lower())
+    begins = F.coalesce(F.lower("label").startswith(query.strip().lower()), F.lit(False))
     return site.filter(found).orderBy(F.desc(begins), F.desc("deals"), F.lower("label"), "site_id").limit(most)
 
 
+def site_index(site: DataFrame, scratch: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sites ranked by deals and label, and the postings of their labels and cities, for ``search_index``."""
+    return term_index.build(site, ("label", "city"), (F.desc("deals"), F.lower("label"), F.col("site_id")), scratch)
+
+
+def search_index(index: tuple[DataFrame, DataFrame], query: str, most: int = 12) -> DataFrame:
+    """As ``search_sites``, from posting lists: of the sites only those found are read."""
+    return term_index.top(*index, query, most).drop("rank")
+
+
 def boundaries(segments: DataFrame, kind: str) -> DataFrame:
     """Segments of a county or city boundary, none at sea."""
     level = F.coalesce("admin_level", F.lit(0))

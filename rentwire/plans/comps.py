@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rentwire.functions import cells, display as show
-from rentwire.operators import cover, filters, shapes, stats
+from rentwire.operators import cover, filters, shapes, stats, term_index
 from rentwire.operators.filters import Filters
 from rentwire.operators.medians import medians
 
@@ -47,6 +47,14 @@ def keyword(spark, sf_dir):
     return d.filter(filters.keyword(d, " Asia  1")).agg(F.count("*").alias("n"))
 
 
+@register("L30_indexed_keyword", f"{D} SELECT count(*) AS n, count(DISTINCT lessee) AS lessees FROM deals WHERE contains(lower(concat_ws(' ', property_name, city, state, lessee, lessor, property_subtype, lease_type)), 'asia') AND contains(lower(concat_ws(' ', property_name, city, state, lessee, lessor, property_subtype, lease_type)), '1')")
+def indexed_keyword(spark, sf_dir):
+    """The same search from posting lists of three letters."""
+    d = deals(spark, sf_dir).drop("market")
+    rows, postings = term_index.build(d, tuple(c for c in filters.SEARCHED if c in d.columns))
+    return rows.join(term_index.holding(postings, " Asia  1"), "rank", "left_semi").agg(F.count("*").alias("n"), F.countDistinct("lessee").alias("lessees"))
+
+
 @register("L31_date_preset", f"{D} SELECT state, count(*) AS n FROM deals WHERE lease_date >= DATE '1998-03-02' AND lease_date <= DATE '1999-03-31' - INTERVAL 29 DAY GROUP BY state")
 def date_preset(spark, sf_dir):
     import datetime as dt

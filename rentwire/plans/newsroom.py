@@ -8,7 +8,7 @@ from rentwire.functions import news
 from rentwire.operators import headers, items, normalize, pages, places, stories
 from rentwire.operators.items import Vocabulary
 from rentwire.operators.tables import cut, shared_folder
-from rentwire.sources import feeds, sheets
+from rentwire.sources import feeds, quoted, sheets
 from rentwire.streaming import scan
 
 from . import brief
@@ -394,6 +394,15 @@ def read_sheets(spark, sf_dir):
     return read.groupBy("col_no").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"))
 
 
+@register("L1_split_sheets", "SELECT doc_id, lang, md5(text) AS digest FROM documents WHERE trim(text, ' ' || chr(10) || chr(9)) <> ''")
+def split_sheets(spark, sf_dir):
+    """Whole texts of documents as quoted cells of sheets, which tasks read by ranges."""
+    folder = shared_folder(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "lang", "text").write.csv(folder, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = quoted.read_rows(spark, folder).filter("trim(cells[2]) <> ''")
+    return rows.select(F.col("cells")[0].cast("long").alias("doc_id"), F.nullif(F.col("cells")[1], F.lit("")).alias("lang"), F.md5(F.col("cells")[2].cast("binary")).alias("digest"))
+
+
 @register("L2_header_rows", f"SELECT sheet_id, 3 AS row_no FROM {_SHEETS}")
 def header_rows(spark, sf_dir):
     return sheets.header_rows(sheet_cells(spark, sf_dir)).select("sheet_id", "row_no")
@@ -608,9 +617,9 @@ def footprints(spark, sf_dir):
     return places.match_footprints(_suppliers_as_sites(spark, sf_dir), _footprints(spark, sf_dir)).select("site_id", "footprint_id")
 
 
-@register("L62_points_in_footprints", "SELECT s_suppkey, true AS middle, false AS in_hole, true AS corner FROM supplier WHERE s_suppkey % 10 <> 0")
+@register("L62_points_in_footprints", "SELECT s_suppkey, true AS middle, false AS in_hole, true AS corner FROM supplier")
 def points_in_footprints(spark, sf_dir):
-    f = _footprints(spark, sf_dir).filter("footprint_id like 'g%' and s_suppkey % 10 <> 0")
+    f = _footprints(spark, sf_dir).filter("footprint_id like 'g%'")
     part, y, x = F.col("parts")[0], 30 + F.col("s_suppkey") * 0.01, -97 - F.col("s_suppkey") * 0.01
     return f.select("s_suppkey", places.part_contains(part, y, x).alias("middle"), places.part_contains(part, y + 0.0005, x).alias("in_hole"), places.part_contains(part, y + 0.0007, x + 0.0007).alias("corner"))
 
@@ -635,11 +644,11 @@ def clicks(spark, sf_dir):
     return places.nearest_sites(c, s).select("click_id", "site_id")
 
 
-@register("L69_clicks_in_footprints", "SELECT s_suppkey AS click_id, 's' || s_suppkey AS site_id FROM supplier WHERE s_suppkey % 3 <> 0")
+@register("L69_clicks_in_footprints", "SELECT s_suppkey AS click_id, 's' || s_suppkey AS site_id FROM supplier WHERE s_suppkey % 30 <> 0")
 def clicks_in_footprints(spark, sf_dir):
     s, f = _suppliers_as_sites(spark, sf_dir), _footprints(spark, sf_dir)
     k = F.substring("site_id", 2, 20).cast("long")
-    c = s.filter(k % 3 != 0).select(k.alias("click_id"), F.concat(F.lit("f"), k.cast("string")).alias("footprint_id"), (F.col("lat") + 0.0001).alias("lat"), "lon")
+    c = s.select(k.alias("click_id"), F.concat(F.when(k % 3 == 0, F.lit("g")).otherwise(F.lit("f")), k.cast("string")).alias("footprint_id"), (F.col("lat") + 0.0001).alias("lat"), "lon")
     return places.clicks_in_footprints(c, s, f, places.match_footprints(s, f))
 
 
@@ -648,6 +657,12 @@ def site_search(spark, sf_dir):
     return places.search_sites(_suppliers_as_sites(spark, sf_dir), "supplier 1").select(F.substring("site_id", 2, 20).cast("long").alias("s_suppkey"))
 
 
+@register("L67_indexed_search", "SELECT s_suppkey FROM supplier WHERE contains(lower(s_name), 'supplier#0') AND contains(lower(s_name), '1') ORDER BY starts_with(lower(s_name), '1 supplier#0') DESC, s_suppkey % 7 + 1 DESC, lower(s_name) LIMIT 12")
+def indexed_search(spark, sf_dir):
+    """Sites found from posting lists of three letters."""
+    return places.search_index(places.site_index(_suppliers_as_sites(spark, sf_dir)), "1 Supplier#0").select(F.substring("site_id", 2, 20).cast("long").alias("s_suppkey"))
+
+
 @register("L68_boundaries", "SELECT n_nationkey, CASE WHEN n_nationkey % 10 BETWEEN 1 AND 6 THEN 'county' ELSE 'city' END AS kind FROM nation WHERE n_nationkey % 3 <> 1 AND (n_nationkey % 10 BETWEEN 1 AND 6 OR n_nationkey % 10 = 8)")
 def boundaries(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select("n_nationkey", (F.col("n_nationkey") % 10).alias("admin_level"), F.when(F.col("n_nationkey") % 3 == 1, F.lit(1)).alias("maritime"))
