@@ -251,14 +251,14 @@ def search_sites(site: DataFrame, query: str, most: int = 12) -> DataFrame:
     return site.filter(found).orderBy(F.desc(begins), F.desc("deals"), F.lower("label"), "site_id").limit(most)
 
 
-def site_index(site: DataFrame, scratch: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Sites ranked by deals and label, and the postings of their labels and cities, for ``search_index``."""
+def site_index(site: DataFrame, scratch: list[str] | None = None) -> term_index.Index:
+    """Sites ranked by deals and label, and the lists of their labels and cities, for ``search_index``."""
     return term_index.build(site, ("label", "city"), (F.desc("deals"), F.lower("label"), F.col("site_id")), scratch)
 
 
-def search_index(index: tuple[DataFrame, DataFrame], query: str, most: int = 12) -> DataFrame:
+def search_index(index: term_index.Index, query: str, most: int = 12) -> DataFrame:
     """As ``search_sites``, from posting lists: of the sites only those found are read."""
-    return term_index.top(*index, query, most).drop("rank")
+    return term_index.top(index, query, most).drop("rank")
 
 
 def boundaries(segments: DataFrame, kind: str) -> DataFrame:

@@ -51,8 +51,8 @@ def keyword(spark, sf_dir):
 def indexed_keyword(spark, sf_dir):
     """The same search from posting lists of three letters."""
     d = deals(spark, sf_dir).drop("market")
-    rows, postings = term_index.build(d, tuple(c for c in filters.SEARCHED if c in d.columns))
-    return rows.join(term_index.holding(postings, " Asia  1"), "rank", "left_semi").agg(F.count("*").alias("n"), F.countDistinct("lessee").alias("lessees"))
+    index = term_index.build(d, tuple(c for c in filters.SEARCHED if c in d.columns))
+    return index.rows.join(term_index.holding(index, " Asia  1"), "rank", "left_semi").agg(F.count("*").alias("n"), F.countDistinct("lessee").alias("lessees"))
 
 
 @register("L31_date_preset", f"{D} SELECT state, count(*) AS n FROM deals WHERE lease_date >= DATE '1998-03-02' AND lease_date <= DATE '1999-03-31' - INTERVAL 29 DAY GROUP BY state")
