@@ -196,7 +196,10 @@ def dedupe(articles: DataFrame, clustered: DataFrame) -> DataFrame:
 
 
 def verdicts(articles: DataFrame, clustered: DataFrame) -> DataFrame:
-    """cluster_id, sources, verdict, details: single-source, discrepancy or corroborated, from the first four corroborators."""
+    """cluster_id, sources, verdict, details: single-source, discrepancy or corroborated, from the first four corroborators.
+
+    A source corroborates a story once, so ``sources`` holds a name for each outlet at most, and only four of them bring notes.
+    """
     text = F.concat_ws(" ", "title", "summary", *(["article_text"] if "article_text" in articles.columns else []))
     own = articles.select("seq", "source", news.facts(text).alias("facts")).join(clustered.filter("role <> 'duplicate'"), "seq")
     primary = own.filter("role = 'primary'").select("cluster_id", F.col("source").alias("p_source"), F.col("facts").alias("p_facts"))

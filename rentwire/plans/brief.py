@@ -27,11 +27,16 @@ def largest_figures(articles: DataFrame) -> DataFrame:
     return each.groupBy("kind").agg(F.max("value").alias("value"), F.max_by("seq", F.struct("value", -F.col("seq"))).alias("seq"))
 
 
-def digest(articles: DataFrame, judged: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
-    """One row: stories, busiest category and its count, verdict counts and their line, and as arrays the lead of each category
-    (in ``order``, then by name), the largest figures and the notes of discrepancies (by story).
+def discrepancies(judged: DataFrame) -> DataFrame:
+    """cluster_id, nth, note: every note of the stories whose outlets differ, a row each (16 a story at most: of four corroborators in four kinds of figures)."""
+    return judged.filter("verdict = 'discrepancy'").select("cluster_id", F.posexplode("details").alias("nth", "note"))
 
-    ``articles`` are the primaries. Notes are one array of short texts: what outlets differ in, not what they say.
+
+def digest(articles: DataFrame, judged: DataFrame, order: tuple[str, ...] = (), most_notes: int = 1000) -> DataFrame:
+    """One row: stories, busiest category and its count, verdict counts and their line, how many notes of discrepancies there are
+    (n_notes), and as arrays the lead of each category (in ``order``, then by name), the largest figures and the first notes.
+
+    ``articles`` are the primaries. notes holds the first ``most_notes`` by story; ``discrepancies`` has all of them, a row each.
     """
     lead = leads(articles)
     place = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, order)), F.col("category")), F.lit(0)), F.lit(len(order) + 1)) if order else F.lit(0)
@@ -40,9 +45,10 @@ def digest(articles: DataFrame, judged: DataFrame, order: tuple[str, ...] = ())
         F.transform(F.array_sort(F.collect_list(F.struct(place.alias("place"), "category", "n", "lead"))), lambda x: F.struct(x["category"].alias("category"), x["n"].alias("n"), x["lead"].alias("seq"))).alias("leads"),
     )
     figures = largest_figures(articles).agg(F.array_sort(F.collect_list(F.struct("kind", "value", "seq"))).alias("figures"))
-    differ = F.col("verdict") == "discrepancy"
-    notes = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(differ, F.struct("cluster_id", "details")))), lambda x: x["details"]))
-    v = judged.agg(*(F.count_if(F.col("verdict") == x).alias(x.replace("-", "_")) for x in ("corroborated", "discrepancy", "single-source")), notes.alias("notes"))
-    both = busiest.crossJoin(figures).crossJoin(v)  # one row each
+    differ = F.when(F.col("verdict") == "discrepancy", F.size("details")).otherwise(F.lit(0))
+    v = judged.agg(*(F.count_if(F.col("verdict") == x).alias(x.replace("-", "_")) for x in ("corroborated", "discrepancy", "single-source")), F.coalesce(F.sum(differ), F.lit(0)).alias("n_notes"))
+    first = discrepancies(judged).orderBy("cluster_id", "nth").limit(most_notes)
+    notes = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("cluster_id", "nth", "note"))), lambda x: x["note"]).alias("notes"))
+    both = busiest.crossJoin(figures).crossJoin(v).crossJoin(notes)  # one row each
     many = F.when(F.col("corroborated") == 1, F.lit("story")).otherwise(F.lit("stories"))
     return both.withColumn("line", F.concat_ws(" ", news.spelled_count(F.col("corroborated")), many, F.lit("corroborated")))

@@ -63,6 +63,9 @@ def test_digest(articles, clustered):
     assert [tuple(x) for x in d.leads] == [("hospitals", 1, 1), ("workforce", 2, 4), ("life_sciences", 1, 6)]
     assert [tuple(x) for x in d.figures] == [("headcount", 1200.0, 4), ("money", 150.0, 1), ("sqft", 40000.0, 6)]
     assert d.notes == ["dollar amount differs: Herald reports $150M, Tribune reports $120M"]
+    assert d.n_notes == 1 and [(r.nth, r.note) for r in brief.discrepancies(stories.verdicts(articles, clustered)).collect()] == [(0, d.notes[0])]
+    cut_off = brief.digest(stories.dedupe(articles, clustered), stories.verdicts(articles, clustered), most_notes=0).first()
+    assert cut_off.notes == [] and cut_off.n_notes == 1
     none = brief.digest(articles.limit(0), stories.verdicts(articles.limit(0), clustered.limit(0))).first()
     assert (none.stories, none.busiest, none.leads, none.figures, none.notes, none.line) == (0, None, [], [], [], "zero stories corroborated")
 
