@@ -91,3 +91,36 @@ def test_labels_of_pages(spark):
     pages = spark.createDataFrame([(1, "http://a.com"), (2, "http://b.com"), (3, "http://c.com"), (None, "http://d.com")], "page_id long, url string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, None, None), (9, 1, 1)], "doc_id long, quality int, toxic int")
     assert sorted(map(tuple, url_rules.labelled_pages(pages, labels).collect())) == [("http://a.com", False), ("http://b.com", True)]
+
+
+def test_rules_of_far_tokens_in_long_urls(spark):
+    draw = random.Random(7)
+    rows = []
+    for _ in range(900):
+        host, end = draw.choice(["evil", "shop"]), draw.choice(["ref", "id"])
+        middle = [f"m{k}" for k in range(11) if draw.random() < 0.85]
+        bad = (host == "evil" and end == "ref") or (host == "shop" and not {"m0", "m5", "m10"} - set(middle) and end == "id") or draw.random() < 0.04
+        rows.append((f"http://{host}/{'/'.join(middle)}?{end}=1", bad))
+    rows += [("http://mixed/" + "/".join(f"t{k}" for k in range(60)), k % 2 == 0) for k in range(300)]  # long, and no part of it tells anything
+    labelled = spark.createDataFrame(rows, "url string, blocked boolean")
+    tokens = {r.url: r.tokens for r in labelled.select("url", url_rules.tokens(labelled.url).alias("tokens")).distinct().collect()}
+    base = sum(b for _, b in rows) / len(rows)
+    counts = {}
+    for url, bad in rows[:900]:
+        own = sorted(tokens[url])
+        for n in range(1, len(own) + 1):
+            for c in combinations(own, n):
+                s = counts.setdefault(c, [0, 0])
+                s[0], s[1] = s[0] + 1, s[1] + bad
+    strong = {}
+    for c, (n, bad) in counts.items():
+        right, share, verdict = (bad, base, "block") if 2 * bad > n else (n - bad, 1 - base, "allow")
+        if n >= 60 and right / n >= 0.9 and right / n / share >= 1.1:
+            strong[c] = (verdict, n, round(right / n, 9))
+
+    def shorter(c):  # any smaller set that says the same
+        return any(o in strong and strong[o][0] == strong[c][0] and strong[o][2] >= strong[c][2] for n in range(1, len(c)) for o in combinations(c, n))
+
+    want = {" ".join(c): v for c, v in strong.items() if not shorter(c)}
+    got = {r.rule: (r.verdict, r.support, round(r.confidence, 9)) for r in url_rules.mine(labelled, support=60, confidence=0.9, lift=1.1).collect()}
+    assert got == want and "h:evil q:ref" in got and "h:shop p:m0 p:m10 p:m5 q:id" in got
