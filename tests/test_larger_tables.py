@@ -19,7 +19,7 @@ def same(spark, folder, name, **tables):
     assert sorted(tuple(r) for r in df.collect()) == sorted(tuple(r[k] for k in at) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", ["L63_footprint_parts", "L64_footprints"])
+@pytest.mark.parametrize("name", ["L63_footprint_parts", "L64_footprints", "L69_clicks_in_footprints"])
 def test_suppliers_of_any_number(spark, tmp_path, name):
     keys = [k for first in (0, 1999, 5720, 5980, 59_980, 359_980, 9_999_980) for k in range(first, first + 20)]
     same(spark, tmp_path, name, supplier=pa.table({"s_suppkey": pa.array(keys, pa.int64()), "s_name": [f"Supplier#{k}" for k in keys]}))
