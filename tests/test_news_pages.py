@@ -97,3 +97,16 @@ def test_key_points(spark):
     got = {x.seq: x.key_points for x in pages.key_points(df).collect()}
     for k, title, text, summary in rows:
         assert got[k] == (plain_points(title, text) or ([summary] if summary.strip() else [])), k
+
+
+def test_pages_of_one_url(spark):
+    long = f"<p>{LONG}</p>"
+    rows = [("u", "Clinic", long, 1), ("u", "Nurses", long * 2 + "<img src='https://c.example.com/a.jpg' alt='nurses'>", 2), ("v", None, None, 3), (None, "t", long, 4)]
+    got = pages.extract(spark.createDataFrame(rows, "url string, title string, html string, n int"), keep=("n",))
+    assert got.columns == ["url", "n", "text", "links", "image"]
+    assert {r.n: (r.url, r.text.count("\n") + bool(r.text), r.image and r.image.alt) for r in got.collect()} == {1: ("u", 1, None), 2: ("u", 2, "nurses"), 3: ("v", 0, None), 4: (None, 1, None)}
+    arts = spark.createDataFrame([(1, "u", "", 5), (2, "u", "", 4), (9, None, "", 1)], "seq long, url string, title string, score int")
+    best = {r.seq: (r.text_status, r.article_text.count("\n")) for r in pages.enrich(arts, got, budget=1).collect()}
+    assert best == {1: ("partial", 1), 2: ("skipped", 0), 9: ("skipped", 0)}
+    own = {r.seq: (r.text_status, len(r.article_text) > 0) for r in pages.enrich(arts, got.withColumnRenamed("n", "seq"), budget=None, key="seq").collect()}
+    assert own == {1: ("partial", True), 2: ("partial", True), 9: ("unavailable", False)}
