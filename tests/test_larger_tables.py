@@ -31,7 +31,7 @@ def page(k, url, words, times):
     return k, url, f"<html><head><title>{words} {k}</title></head><body><article><h1>{words} {k}</h1>{f'<p>{said}</p>' * times}</article></body></html>"
 
 
-@pytest.mark.parametrize("name", ["N15_page_status"])
+@pytest.mark.parametrize("name", ["N29_fetch_statistics", "N15_page_status", "N16_enriched"])
 def test_pages_that_share_a_url(spark, tmp_path, name):
     rows = [page(k, f"https://n.example.com/{k % 5}", ("Clinic opens tower", "Nurses strike again")[k // 5 % 2], k // 5) for k in range(25)]
     page_id, url, html = map(list, zip(*rows))
