@@ -67,14 +67,18 @@ def ring_contains(ring: Column, y: Column, x: Column, y_name: str = "lat", x_nam
 
 
 def ring_area(ring: Column, y_name: str = "lat", x_name: str = "lon") -> Column:
-    """Square metres inside a column of rings, on the sphere."""
-    n = F.size(ring)
+    """Square metres inside a column of rings, on the sphere. The ring is made once a row, also where it is an expression."""
+
+    def inside(ring: Column) -> Column:
+        n = F.size(ring)
+
+        def part(total: Column, i: Column) -> Column:
+            a, b = F.element_at(ring, i), F.element_at(ring, i % n + 1)
+            return total + F.radians(b[x_name] - a[x_name]) * (2 + F.sin(F.radians(a[y_name])) + F.sin(F.radians(b[y_name])))
 
-    def part(total: Column, i: Column) -> Column:
-        a, b = F.element_at(ring, i), F.element_at(ring, i % n + 1)
-        return total + F.radians(b[x_name] - a[x_name]) * (2 + F.sin(F.radians(a[y_name])) + F.sin(F.radians(b[y_name])))
+        return F.when(n >= 3, F.abs(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), part) * RADIUS_M * RADIUS_M / 2)).otherwise(F.lit(0.0))
 
-    return F.when(n >= 3, F.abs(F.aggregate(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), F.lit(0.0), part) * RADIUS_M * RADIUS_M / 2)).otherwise(F.lit(0.0))
+    return F.element_at(F.transform(F.array(ring), inside), 1)
 
 
 def area(s: Shape) -> float:

@@ -53,3 +53,10 @@ def test_cells_inside_need_no_test():
     area = lambda found: sum(np.prod(cover.sides(level)) for level, *_, sure in found if sure)
     assert len(few) <= 60 and len(many) <= 6000 and 30 < area(few) < area(many) < 100 < sum(np.prod(cover.sides(level)) for level, *_ in many)
     assert len({c[:3] for c in many}) == len(many)
+
+
+def test_a_ring_is_made_once_a_row(spark):
+    df = spark.createDataFrame([(31.0, -97.5, 5000.0)], "lat double, lon double, radius double")
+    area = df.select(shapes.ring_area(shapes.circle_ring(F.col("lat"), F.col("lon"), F.col("radius"))).alias("a"))
+    assert area._jdf.queryExecution().optimizedPlan().toString().lower().count("atan2") == 1
+    assert abs(area.first().a / (np.pi * 5000.0**2) - 1) < 0.01
