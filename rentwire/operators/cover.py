@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import shapes
-from .tables import cut
+from .tables import cut, partitions
 
 #: Cells of a shape, about: border cells are split in four until there are so many, or the cells are of DEEPEST level (two metres).
 MOST, DEEPEST = 96, 24
@@ -77,7 +77,10 @@ def cells(kind: str, points: np.ndarray, radius: float, most: int = MOST) -> lis
 
 
 def cover(drawn: DataFrame, most: int = MOST) -> DataFrame:
-    """CELLS of drawn shapes (shape_id, kind, ring: array of (lat, lon), radius in metres), as in ``shapes.Shape``."""
+    """CELLS of drawn shapes (shape_id, kind, ring: array of (lat, lon), radius in metres), as in ``shapes.Shape``.
+
+    Shapes are dealt over all tasks: a small file of them is much work.
+    """
 
     def run(batches):
         for batch in batches:
@@ -89,7 +92,8 @@ def cover(drawn: DataFrame, most: int = MOST) -> DataFrame:
             kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["shape_id", "level", "cy", "cx", "inside"])
 
-    return drawn.select(F.col("shape_id").cast("string").alias("shape_id"), "kind", "ring", F.col("radius").cast("double").alias("radius")).mapInArrow(run, CELLS)
+    told = drawn.select(F.col("shape_id").cast("string").alias("shape_id"), "kind", "ring", F.col("radius").cast("double").alias("radius"))
+    return told.repartition(partitions(drawn.sparkSession)).mapInArrow(run, CELLS)
 
 
 def holds(kind: Column, ring: Column, radius: Column, lat: Column, lon: Column) -> Column:
@@ -100,6 +104,25 @@ def holds(kind: Column, ring: Column, radius: Column, lat: Column, lon: Column)
     return F.when(kind == "rectangle", box).when(kind == "circle", shapes.haversine(middle["lat"], middle["lon"], lat, lon) <= radius).otherwise(box & shapes.ring_contains(ring, lat, lon))
 
 
+def _keys(levels: list[int]) -> Column:
+    """The cell of each level that holds (lat, lon)."""
+    lat, lon = F.col("lat"), F.col("lon")
+    return F.array(*(F.struct(F.lit(n).alias("level"), F.floor((lat + 90) / sides(n)[0]).alias("cy"), F.floor((lon + 180) / sides(n)[1]).alias("cx")) for n in levels))
+
+
+def _covered(drawn: DataFrame, most: int, scratch: list[str] | None) -> tuple[DataFrame, list[int]]:
+    """key, shape_id and sure of the cells, as a written table, and their levels (DEEPEST + 1 at most)."""
+    covered = cut(cover(drawn, most), scratch)
+    levels = sorted(r.level for r in covered.select("level").distinct().collect())
+    return covered.select(F.struct("level", "cy", "cx").alias("key"), "shape_id", F.col("inside").alias("sure")), levels
+
+
+def _tested(met: DataFrame, drawn: DataFrame) -> DataFrame:
+    """Of the rows (point, shape_id, sure) of cells at a border those whose shape holds the point."""
+    own = drawn.select(F.col("shape_id").cast("string").alias("shape_id"), "kind", "ring", "radius")
+    return met.filter(~F.col("sure")).join(own, "shape_id").filter(holds(F.col("kind"), F.col("ring"), F.col("radius"), F.col("point.lat"), F.col("point.lon")))
+
+
 def inside(points: DataFrame, drawn: DataFrame, most: int = MOST, scratch: list[str] | None = None) -> DataFrame:
     """``points`` (lat, lon and any columns) with the shape_id of each shape that holds them: a row for each point and shape.
 
@@ -107,15 +130,26 @@ def inside(points: DataFrame, drawn: DataFrame, most: int = MOST, scratch: list[
     shape without a test, at its border with the exact one. Points without coordinates and shapes without corners meet nothing.
     drawn: a row for each shape_id. scratch: gets the path of the table of cells.
     """
-    covered = cut(cover(drawn, most), scratch)
-    levels = sorted(r.level for r in covered.select("level").distinct().collect())  # DEEPEST + 1 at most
+    covered, levels = _covered(drawn, most, scratch)
     located = points.filter("lat is not null and lon is not null")
-    lat, lon = F.col("lat"), F.col("lon")
-    keys = F.array(*(F.struct(F.lit(n).alias("level"), F.floor((lat + 90) / sides(n)[0]).alias("cy"), F.floor((lon + 180) / sides(n)[1]).alias("cx")) for n in levels))
     if not levels:
         return located.limit(0).withColumn("shape_id", F.lit("")).select(*points.columns, "shape_id")
-    at = located.select(F.struct(*points.columns).alias("point"), F.explode(keys).alias("key"))
-    met = at.join(covered.select(F.struct("level", "cy", "cx").alias("key"), "shape_id", F.col("inside").alias("sure")), "key")
-    own = drawn.select(F.col("shape_id").cast("string").alias("shape_id"), "kind", "ring", "radius")
-    tested = met.filter(~F.col("sure")).join(own, "shape_id").filter(holds(F.col("kind"), F.col("ring"), F.col("radius"), F.col("point.lat"), F.col("point.lon")))
-    return met.filter("sure").select("point", "shape_id").unionByName(tested.select("point", "shape_id")).select("point.*", "shape_id")
+    met = located.select(F.struct(*points.columns).alias("point"), F.explode(_keys(levels)).alias("key")).join(covered, "key")
+    return met.filter("sure").select("point", "shape_id").unionByName(_tested(met, drawn).select("point", "shape_id")).select("point.*", "shape_id")
+
+
+def counts(points: DataFrame, drawn: DataFrame, most: int = MOST, scratch: list[str] | None = None) -> DataFrame:
+    """shape_id, n: how many of ``points`` (lat, lon) each shape holds, as ``inside`` would find them; shapes that hold none are left out.
+
+    Points of one place count together, and cells inside a shape meet the sums of their points: work follows the number of
+    cells and of the places at borders, not that of pairs of points and shapes. scratch: gets the paths of the written tables.
+    """
+    covered, levels = _covered(drawn, most, scratch)
+    placed = cut(points.filter("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.count("*").alias("n")), scratch)
+    if not levels:
+        return placed.limit(0).select(F.lit("").alias("shape_id"), "n")
+    at = placed.select(F.struct("lat", "lon", "n").alias("point"), F.explode(_keys(levels)).alias("key"))
+    sums = at.groupBy("key").agg(F.sum("point.n").alias("n"))
+    within = covered.filter("sure").join(sums, "key").select("shape_id", "n")
+    border = _tested(at.join(covered.filter(~F.col("sure")), "key"), drawn).select("shape_id", F.col("point.n").alias("n"))
+    return within.unionByName(border).groupBy("shape_id").agg(F.sum("n").alias("n"))

@@ -55,6 +55,19 @@ def test_cells_inside_need_no_test():
     assert len({c[:3] for c in many}) == len(many)
 
 
+def test_counts_equal_the_points_inside(spark):
+    r = random.Random(5)
+    made = drawn(r)
+    places = [(lat + r.uniform(-0.1, 0.1), lon + r.uniform(-0.1, 0.1)) for _, _, ring, _ in made for lat, lon in ring[:3]]
+    points = [*(r.choice(places) for _ in range(3000)), (None, 1.0), (1.0, None)]
+    df = spark.createDataFrame(points, "lat double, lon double")
+    table = spark.createDataFrame(made, "shape_id string, kind string, ring array<struct<lat:double,lon:double>>, radius double").coalesce(1)
+    want = {x.shape_id: x["count"] for x in cover.inside(df, table).groupBy("shape_id").count().collect()}
+    assert {x.shape_id: x.n for x in cover.counts(df, table).collect()} == want and sum(want.values()) > 500
+    assert cover.counts(df, table.limit(0)).count() == 0
+    assert cover.cover(table).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_a_ring_is_made_once_a_row(spark):
     df = spark.createDataFrame([(31.0, -97.5, 5000.0)], "lat double, lon double, radius double")
     area = df.select(shapes.ring_area(shapes.circle_ring(F.col("lat"), F.col("lon"), F.col("radius"))).alias("a"))
