@@ -9,6 +9,9 @@ meet are verified by their edit distance.
 
 The dictionary is fitted on a bounded sample of the words (it decides list lengths alone, never which pairs are found, as any
 dictionary that is the same for all words finds all); every word is indexed.
+
+Tables of words are joined by sorting, as their files are a small part of what they take in memory: Spark would broadcast
+them, and the index of grams too, whose size it tells by that of the words.
 """
 
 from __future__ import annotations
@@ -105,7 +108,7 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     index = vocabulary.mapInArrow(run, "gram string, place int, size int, word string, n long")
     a, b = (index.select(F.xxhash64("gram").alias("gram"), *(F.col(c).alias(f"{c}_{side}") for c in ("place", "size", "word", "n"))) for side in "xy")
     close = (F.abs(F.col("place_x") - F.col("place_y")) <= 1) & (F.abs(F.col("size_x") - F.col("size_y")) <= 1)
-    met = a.join(b, "gram").filter((F.col("word_x") < F.col("word_y")) & close)
+    met = a.join(b.hint("merge"), "gram").filter((F.col("word_x") < F.col("word_y")) & close)
     near = met.filter(F.levenshtein("word_x", "word_y", 1) == 1)
     return near.select(F.col("word_x").alias("x"), F.col("n_x"), F.col("word_y").alias("y"), F.col("n_y")).distinct()
 
@@ -122,14 +125,14 @@ def variants(vocabulary: DataFrame, scratch: list[str] | None = None) -> DataFra
     pairs = near_pairs(known)
     both = pairs.select(F.col("x").alias("word"), F.col("y").alias("other"), F.col("n_y").alias("m")).unionByName(pairs.select(F.col("y").alias("word"), F.col("x").alias("other"), F.col("n_x").alias("m")))
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct(F.negative("m").alias("m"), "other")).alias("best"))
-    judged = known.join(best, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("best.m") >= 2 * F.col("n"), F.struct(F.col("best.other").alias("form"), F.negative("best.m").alias("form_n"))).alias("f"))
+    judged = known.join(best.hint("merge"), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("best.m") >= 2 * F.col("n"), F.struct(F.col("best.other").alias("form"), F.negative("best.m").alias("form_n"))).alias("f"))
     own = cut(judged.select("word", "n", "n_near", "f.form", "f.form_n"), scratch)
     links = own.filter("form is not null").select("word", F.col("form").alias("root"))
     while True:
-        higher = cut(links.join(links.select(F.col("word").alias("root"), F.col("root").alias("above")), "root", "left").select("word", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), made)
+        higher = cut(links.join(links.select(F.col("word").alias("root"), F.col("root").alias("above")).hint("merge"), "root", "left").select("word", F.coalesce("above", "root").alias("root"), F.col("above").isNotNull().alias("moved")), made)
         links = higher.select("word", "root")
         if higher.filter("moved").isEmpty():
             break
     ends = cut(links, scratch)
     discard(spark, made)
-    return own.join(ends, "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))
+    return own.join(ends.hint("merge"), "word", "left").select("word", "n", "n_near", "form", "form_n", F.coalesce("root", "word").alias("root"))

@@ -98,3 +98,12 @@ def test_bound_covers_every_edit(spark):
                     own = spelling.decomposed(other, band, frequent)[0]
                     left = sum(any(g == own[q] for q in (p - 1, p, p + 1) if 0 <= q < len(own)) for p, g in enumerate(grams))
                     assert left >= len(grams) - bound >= 1
+
+
+def test_word_tables_are_not_broadcast(spark):
+    known = spark.createDataFrame([("street", 9), ("streets", 3), ("streat", 2)], "word string, n long")
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 1_000_000
+    for df in (spelling.near_pairs(known), spelling.variants(known)):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
